@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, decontaminate, langid, mixing, repeats, secrets, sharding, simhash
+from millrace.llm import ann, decontaminate, langid, lines, mixing, repeats, secrets, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_documents(spark, sf_dir), keep=["doc_id"])
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir), width=4, radius=4)
 
@@ -66,7 +71,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(_documents(spark, sf_dir), MIX_WEIGHTS).select("doc_id", "source", "copies", "copy_no", "mix_key", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_nearest, op4_decontaminate, op5_lpt_shards, op7_simhash, op8_language, op9_secrets, op10_poisson_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_nearest, op4_decontaminate, op5_lpt_shards, op6_line_dedup, op7_simhash, op8_language, op9_secrets, op10_poisson_mix)}
 
 SQL: dict[str, str] = {
     "op10_poisson_mix": """
