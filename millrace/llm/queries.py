@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, decontaminate, langid, lines, mixing, repeats, secrets, sharding, simhash
+from millrace.llm import ann, decontaminate, langid, lines, mixing, passages, repeats, secrets, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.near_passages(_documents(spark, sf_dir), least_words=50, similarity=0.8)
+    spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
+    return out.withColumn("spans", spans)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
 
@@ -71,7 +77,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(_documents(spark, sf_dir), MIX_WEIGHTS).select("doc_id", "source", "copies", "copy_no", "mix_key", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_nearest, op4_decontaminate, op5_lpt_shards, op6_line_dedup, op7_simhash, op8_language, op9_secrets, op10_poisson_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_passages, op4_decontaminate, op5_lpt_shards, op6_line_dedup, op7_simhash, op8_language, op9_secrets, op10_poisson_mix)}
 
 SQL: dict[str, str] = {
     "op10_poisson_mix": """
