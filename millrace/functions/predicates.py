@@ -25,37 +25,38 @@ def not_deleted(metadata: Column | str) -> Column:
     return ~json_value(metadata, "$.deleted").eqNullSafe("true")
 
 
-def json_contains(doc: Column | str, wanted: dict | list | str | int | float | bool | None, path: str = "$") -> Column:
+def json_contains(doc: Column | str, wanted: dict | list | str | int | float | bool | None) -> Column:
     """Containment of a (constant) JSON value: objects by key, arrays by element, scalars by equality.
 
-    The wanted value is flattened to path predicates when the plan is built, so each is an ordinary expression.
+    The wanted value is unfolded when the plan is built, so each of its parts is an ordinary expression.
     """
-    variant = F.try_parse_json(col(doc))
-
-    def at(value, path: str) -> Column:
-        if isinstance(value, dict):
-            found = F.schema_of_variant(F.try_variant_get(variant, path, "variant")).startswith("OBJECT")
-            for key, inner in value.items():
-                found = found & at(inner, f"{path}['{key}']")
-            return found
-        if isinstance(value, list):
-            elements = F.try_variant_get(variant, path, "array<variant>")
-            found = F.schema_of_variant(F.try_variant_get(variant, path, "variant")).startswith("ARRAY")
-            for inner in value:
-                found = found & F.exists(elements, lambda e, inner=inner: same(e, inner))
-            return found
-        return same(F.try_variant_get(variant, path, "variant"), value)
-
-    def same(v: Column, value) -> Column:
-        if value is None:
-            return F.is_variant_null(v)
-        if isinstance(value, bool):
-            return F.schema_of_variant(v).eqNullSafe("BOOLEAN") & F.try_variant_get(v, "$", "boolean").eqNullSafe(value)
-        if isinstance(value, int | float):
-            return ~F.schema_of_variant(v).isin("STRING", "BOOLEAN") & F.try_variant_get(v, "$", "double").eqNullSafe(float(value))
-        return F.schema_of_variant(v).eqNullSafe("STRING") & F.try_variant_get(v, "$", "string").eqNullSafe(value)
-
-    return F.coalesce(at(wanted, path), F.lit(False))
+    return F.coalesce(_variant_contains(F.try_parse_json(col(doc)), wanted), F.lit(False))
+
+
+def _variant_contains(v: Column, wanted) -> Column:
+    kind = F.schema_of_variant(v)
+    if isinstance(wanted, dict):
+        found = kind.startswith("OBJECT")
+        for key, inner in wanted.items():
+            found = found & _variant_contains(F.try_variant_get(v, f"$['{key}']", "variant"), inner)
+        return found
+    if isinstance(wanted, list):
+        found = kind.startswith("ARRAY")
+        elements = F.try_variant_get(v, "$", "array<variant>")
+        for inner in wanted:
+            found = found & F.exists(elements, _element_test(inner))
+        return found
+    if wanted is None:
+        return F.is_variant_null(v)
+    if isinstance(wanted, bool):
+        return kind.eqNullSafe("BOOLEAN") & F.try_variant_get(v, "$", "boolean").eqNullSafe(wanted)
+    if isinstance(wanted, int | float):
+        return ~F.coalesce(kind.isin("STRING", "BOOLEAN"), F.lit(True)) & F.try_variant_get(v, "$", "double").eqNullSafe(float(wanted))
+    return kind.eqNullSafe("STRING") & F.try_variant_get(v, "$", "string").eqNullSafe(wanted)
+
+
+def _element_test(wanted):
+    return lambda e: F.coalesce(_variant_contains(e, wanted), F.lit(False))
 
 
 def valid_at(start: Column | str, end: Column | str, at: Column) -> Column:
