@@ -4,23 +4,21 @@ A deletion-neighbourhood join. Two lines are within one edit if they are equal a
 (insertion) or from both at the same place (substitution). Each line emits the hashed keys of its deletion variants; lines with an
 equal key are linked through the earliest of them, so a template with a thousand variants gives a thousand links, not a million.
 
-Emitting a variant for every character of every line would cost the square of a line's length. Two exact reductions avoid that:
-within one edit, the first or the last half of the characters is equal, so only lines that share such a half with another line go
-on; and one edit touches one token or two neighbours, so a variant is a deletion inside such a piece, its key made of hashes of
-the tokens to the left and to the right and of the piece without the character. Tokens end after a space, punctuation, a digit or
-a character of a script written without spaces, so they stay short.
+Emitting a variant for every character of every line would cost the square of a line's length. An exact reduction avoids that: two
+lines within one edit are equal but for one block of any division into blocks. Lines emit a key for each block, made of all that
+stands before and after it, first for halves and then for ever smaller blocks; those whose key no other line has go no further.
+Deletion variants are taken from the last, short block only, and carry its key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from millrace.plans.materialize import broadcast_if_small, materialize
 
-#: Zero-width: after each character that ends a token.
-TOKEN_END = r"(?<=[\s\p{Punct}0-9\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}])"
+#: Parts a block is divided into, and the characters of a block that is not divided further.
+PARTS, BLOCK = 16, 24
 KEY = ["k1", "k2"]
 
 
@@ -39,35 +37,46 @@ def _half_keys(line: Column, least: int) -> Column:
     return F.when(n >= least, keys).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def _pieces(lines: DataFrame) -> DataFrame:
-    """(k1, k2, pos, side, piece): each token, and each two neighbours, with a hash of what stands on both sides."""
-    tokens = lines.select(*KEY, "pos", F.size(F.split("line", TOKEN_END, -1)).alias("n"), F.posexplode(F.split("line", TOKEN_END, -1)).alias("i", "token"))
-    tokens = tokens.withColumns({"gl": F.xxhash64("token", "i"), "gr": F.xxhash64("token", F.col("n") - F.col("i"), F.lit("r"))})
-    of_line = W.Window.partitionBy(*KEY).orderBy("i")
-    before = of_line.rowsBetween(W.Window.unboundedPreceding, -1)
-    through = of_line.rowsBetween(W.Window.unboundedPreceding, 0)
-    whole = W.Window.partitionBy(*KEY)
-    # what follows token i is the xor of all hashes from the right, without those up to i
-    tokens = tokens.select("*", F.coalesce(F.bit_xor("gl").over(before), F.lit(0)).alias("left"), F.bit_xor("gr").over(whole).bitwiseXOR(F.bit_xor("gr").over(through)).alias("right"))
-    tokens = tokens.select("*", F.lead("token").over(of_line).alias("token2"), F.lead("right").over(of_line).alias("right2"))
-    piece = F.array(
-        F.struct(F.xxhash64("left", "right").alias("side"), F.col("token").alias("piece")),
-        F.struct(F.xxhash64("left", "right2").alias("side"), F.concat("token", "token2").alias("piece")),
-    )
-    return tokens.select(*KEY, "pos", F.explode(piece).alias("p")).select(*KEY, "pos", "p.*").where(F.col("piece").isNotNull())
+def _blocks(texts: DataFrame) -> DataFrame:
+    """(k1, k2, pos, size, key, middle): each line's short blocks outside of which another line agrees with it.
+
+    ``size`` is the length of the shorter line of a pair: a line takes part as the shorter or equal one with its own length, and
+    as the longer one with a length less by one; blocks are counted by ``size`` from the left and from the right.
+    """
+    lines = texts.select(*KEY, "pos", "line", F.length("line").alias("n"))
+    size = F.explode(F.array(F.col("n"), F.col("n") - 1))
+    open_ = lines.select(*KEY, size.alias("size"), F.lit(0).alias("before"), F.lit(0).alias("after"))
+    done = None
+    while True:
+        middle = F.col("size") - F.col("before") - F.col("after")
+        part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+        split = open_.withColumn("mid", middle).withColumn("j", part)
+        edge = lambda j: (F.col("before") + F.floor(F.col("mid") * j / PARTS)).cast("int")
+        split = split.select(*KEY, "size", edge(F.col("j")).alias("x"), edge(F.col("j") + 1).alias("y")).where("y > x").distinct()
+        split = split.select(*KEY, "size", F.col("x").alias("before"), (F.col("size") - F.col("y")).alias("after"))
+        key = F.xxhash64("size", "before", "after", F.substring("line", F.lit(1), F.col("before")), F.substring("line", F.col("n") - F.col("after") + 1, F.col("after")))
+        keyed = materialize(split.join(lines.select(*KEY, "line", "n"), KEY).select(*KEY, "size", "before", "after", key.alias("key")))
+        shared = keyed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("key")
+        kept = materialize(keyed.join(shared, "key", "left_semi"))
+        short = kept.where(middle <= BLOCK)
+        done = short if done is None else done.union(short)
+        open_ = kept.where(middle > BLOCK)
+        if open_.isEmpty():
+            break
+    cut = F.substring("line", F.col("before") + 1, F.col("n") - F.col("before") - F.col("after"))
+    return done.join(lines, KEY).select(*KEY, "pos", "key", (F.col("n") - F.col("size")).alias("longer"), cut.alias("middle"))
 
 
 def _links(lines: DataFrame) -> DataFrame:
     """(k1, k2, to): each line with an earlier one that shares a deletion variant; ``lines`` has (k1, k2, pos, line)."""
-    without = lambda p: F.concat(F.substring("piece", F.lit(1), p - 1), F.substring("piece", p + 1, F.length("piece")))
-    place = F.sequence(F.lit(1), F.length("piece"))
-    none = F.expr("cast(array() as array<struct<key:bigint,kind:int>>)")
-    # kind 0: the piece as it is; 1: one character deleted; 2: one deleted at this place (substitution)
-    same = F.array(F.struct(F.xxhash64("side", "piece").alias("key"), F.lit(0).alias("kind")))
-    deleted = F.transform(place, lambda p: F.struct(F.xxhash64("side", without(p)).alias("key"), F.lit(1).alias("kind")))
-    replaced = F.transform(place, lambda p: F.struct(F.xxhash64("side", without(p), p).alias("key"), F.lit(2).alias("kind")))
-    variants = F.when(F.length("piece") > 0, F.concat(same, deleted, replaced)).otherwise(F.concat(same, none))
-    keyed = _pieces(lines).select(*KEY, "pos", F.explode(variants).alias("v")).select(*KEY, "pos", "v.*").distinct()
+    without = lambda p: F.concat(F.substring("middle", F.lit(1), p - 1), F.substring("middle", p + 1, F.length("middle")))
+    place = F.when(F.length("middle") > 0, F.sequence(F.lit(1), F.length("middle"))).otherwise(F.expr("cast(array() as array<int>)"))
+    # kind 0: the block as it is; 1: of the longer line, one character deleted; 2: one deleted at this place (substitution)
+    same = F.array(F.struct(F.xxhash64("key", "middle").alias("key"), F.lit(0).alias("kind")))
+    deleted = F.transform(place, lambda p: F.struct(F.xxhash64("key", without(p)).alias("key"), F.lit(1).alias("kind")))
+    replaced = F.transform(place, lambda p: F.struct(F.xxhash64("key", without(p), p).alias("key"), F.lit(2).alias("kind")))
+    variants = F.when(F.col("longer") == 1, deleted).otherwise(F.concat(same, replaced))
+    keyed = _blocks(lines).select(*KEY, "pos", F.explode(variants).alias("v")).select(*KEY, "pos", "v.*").distinct()
     # kinds 0 and 1 meet in a key of their own; kind 2 among themselves: all those of a key are within one edit of each other
     group = F.when(F.col("kind") == 2, F.lit(2)).otherwise(F.lit(1)).alias("group")
     keyed = materialize(keyed.select(*KEY, "pos", "key", group, "kind"))
