@@ -109,12 +109,12 @@ def markdown_to_text(text: Column | str) -> Column:
         (r"`([^`]*)`", "$1"),
         (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
         (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^#{1,6}\s+", ""),
+        (r"(?m)^#{1,6}[ \t]+", ""),
         (r"(\*\*|__)(.*?)\1", "$2"),
         (r"(\*|_)(.*?)\1", "$2"),
         (r"(?m)^>\s?", ""),
-        (r"(?m)^\s*[-*+]\s+", ""),
-        (r"(?m)^\s*\d+\.\s+", ""),
+        (r"(?m)^[ \t]*[-*+][ \t]+", ""),
+        (r"(?m)^[ \t]*\d+\.[ \t]+", ""),
         (r"(?m)^(-{3,}|\*{3,}|_{3,})$", ""),
         (r"\n{3,}", "\n\n"),
     ):
