@@ -38,11 +38,13 @@ class LangModel:
 
 def _grams(texts: list[str | None], orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams of lower-cased texts, each n-gram within a word padded by one space, and the text of each."""
-    joined = "\x00".join((t or "").lower() for t in texts)
+    lowered = [(t or "").lower() for t in texts]
+    joined = "\x00".join(lowered)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    row = np.cumsum(points == 0)
+    # each text with the mark after it, by length: a text may hold U+0000 itself
+    row = np.repeat(np.arange(len(lowered)), [len(t) + 1 for t in lowered])[: len(points)]
     # letters keep their code; all else is a word boundary. Above ASCII everything but spaces and punctuation counts as a letter.
     letter = ((points >= 97) & (points <= 122)) | ((points >= 0xAA) & ~((points >= 0x2000) & (points <= 0x206F)) & (points != 0xD7) & (points != 0xF7) & ~((points >= 0xAB) & (points <= 0xB4)) & ~((points >= 0xB6) & (points <= 0xB9)) & ~((points >= 0xBB) & (points <= 0xBF)))
     code = np.where(letter, points, np.uint32(32)).astype(np.uint64)

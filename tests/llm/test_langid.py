@@ -47,3 +47,12 @@ def test_scores_are_corrected_for_false_positives(spark):
     small = langid.fit(docs, F.lit(True), least_count=1, log2_positions=6, probes=1)
     assert (small.false_rate > 0.1).all()
     assert [r.lang_pred for r in langid.identify(docs, small).orderBy("doc_id").collect()] == ["x", "y"]
+
+
+def test_nul_inside_a_text_is_a_boundary():
+    texts = ["ab cd", "ef\x00gh", None, "\x00", "ij\x00"]
+    h, row = langid._grams(texts, (2, 3))
+    want, want_row = langid._grams([t and t.replace("\x00", " ") for t in texts], (2, 3))
+    for i in range(len(texts)):
+        assert sorted(h[row == i].tolist()) == sorted(want[want_row == i].tolist()), i
+    assert row.max() < len(texts)
