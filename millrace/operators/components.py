@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.materialize import materialize
+from millrace.plans.materialize import free, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if sums[0] == 0 or mark == tuple(sums):
             break
         mark = tuple(sums)
-        edges = materialize(_small_star(_large_star(edges).distinct()).distinct())
+        done, edges = edges, materialize(_small_star(_large_star(edges).distinct()).distinct())
+        free(done)
     else:
         raise RuntimeError(f"components need more than {max_rounds} rounds")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

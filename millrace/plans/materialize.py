@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Folder of each table that ``materialize`` wrote.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, else (unset, as in tests) a local one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,7 +43,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Unlike a local checkpoint the table survives the loss of executors; unlike a cache it is columnar on disk, so later reads
-    prune columns. The table goes when the driver's process ends.
+    prune columns. The table goes by ``free``, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
@@ -47,7 +52,16 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned, once all that reads them has been written."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            _remove(table.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
