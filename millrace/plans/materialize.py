@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Spark deletes the shuffle files of a query once it has ended: the table holds its result.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folder of each table that ``materialize`` wrote.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -50,7 +53,12 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
