@@ -3,38 +3,80 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from millrace.plans.materialize import materialize
+from millrace.plans.materialize import broadcast_if_small, free, materialize
 
-#: Groups under total / (shards * GRAIN) bytes are scheduled in bundles, so the driver handles about shards * GRAIN items at any size.
-GRAIN = 2048
-#: Each octave of bundles has half the bytes of the one before: the last ones fill the gaps between shards.
-BUNDLES_PER_OCTAVE, OCTAVES = 512, 16
-#: Slices of each shard in which slots are counted; a slice is sorted by itself.
-SLICES = 512
+#: Groups of one size that are numbered in one task.
+SLICE = 100_000
+#: A group of more rows than this, and than one in so many of all, is hot: such groups are this many at most.
+HOT, MOST_HOT = 10_000, 100_000
 
 
-def longest_first(items: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Place (name, size) items, largest first (ties by name), each on the least-loaded shard (ties to the lower one)."""
-    heap = [(0, s) for s in range(shards)]
-    placed = {}
-    for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        placed[name] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return placed
-
+def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, list[int]]]:
+    """Schedule groups, given as (size, number of groups), largest first, each on the least-loaded shard (ties to the lower one).
 
-def _bundle(key: Column) -> Column:
-    """Bundle of a small group: octave j gets 2**-(j+1) of the groups, shared out over its bundles."""
-    u = F.pmod(F.xxhash64(key, F.lit("octave")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    octave = F.least(F.floor(-F.log2(F.lit(1.0) - u)), F.lit(OCTAVES - 1)).cast("long")
-    return F.concat(F.lit("b"), octave * BUNDLES_PER_OCTAVE + F.pmod(F.xxhash64(key, F.lit("bundle")), F.lit(BUNDLES_PER_OCTAVE)))
+    Yields (size, first, end, turn): of the groups of that size, number ``first + i`` goes to shard ``turn[i % len(turn)]``. Groups of
+    one size are placed in cycles: the shards that a heap gives before the first of them comes up again take one each, and they
+    take turns until the next shard's load is reached. So equal groups cost a few steps together, whatever their number.
+    """
+    heap = [(0, s) for s in range(shards)]
+    for size, count in sorted(sizes, reverse=True):
+        first = 0
+        while first < count:
+            cycle = [heapq.heappop(heap)]
+            low, lead = cycle[0]
+            while heap and heap[0] < (low + size, lead):
+                cycle.append(heapq.heappop(heap))
+            turns = (count - first) // len(cycle)
+            # full cycles before the next shard joins
+            for load, s in heap[:]:
+                above = load - low
+                turns = min(turns, above // size - (above % size == 0 and s < lead)) if size else turns
+            turn = [s for _, s in cycle]
+            if turns:
+                end = first + turns * len(cycle)
+            else:
+                end, turns = count, 1
+                turn = turn[: count - first]
+            yield size, first, end, turn
+            for k, (load, s) in enumerate(cycle):
+                heapq.heappush(heap, (load + (turns * size if k < len(turn) else 0), s))
+            first = end
+
+
+def _numbers(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """``groups`` with ``number``: the place by key among all groups of the same bytes. A class of many is numbered by slices of keys."""
+    slices = classes.select("bytes", F.ceil(F.col("n_groups") / SLICE).cast("long").alias("slices")).where("slices > 1")
+    head = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long")
+    cut = groups.join(broadcast_if_small(slices), "bytes", "left").withColumn("slice", F.floor(head * F.coalesce("slices", F.lit(1)) / F.lit(1 << 32)).cast("long"))
+    within = F.row_number().over(W.Window.partitionBy("bytes", "slice").orderBy("key")) - 1
+    before = W.Window.partitionBy("bytes").orderBy("slice").rowsBetween(W.Window.unboundedPreceding, -1)
+    counts = cut.where("slices > 1").groupBy("bytes", "slice").agg(F.count(F.lit(1)).alias("n_slice"))
+    starts = materialize(counts.select("bytes", "slice", F.sum("n_slice").over(before).alias("start")))
+    placed = cut.withColumn("within", within).join(broadcast_if_small(starts), ["bytes", "slice"], "left")
+    return placed.select("key", "bytes", "n", (F.coalesce("start", F.lit(0)) + F.col("within")).alias("number"))
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their shard last; adds the task's number and the row's place among the task's rows of that shard."""
+    task, seen = TaskContext.get().partitionId(), {}
+    for batch in batches:
+        shard = batch.column(batch.num_columns - 1).to_numpy()
+        place = np.empty(len(shard), np.int64)
+        for s in np.unique(shard).tolist():
+            mine = np.flatnonzero(shard == s)
+            place[mine] = seen.get(s, 0) + np.arange(len(mine))
+            seen[s] = seen.get(s, 0) + len(mine)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(shard), task, np.int32)), pa.array(place)], names=[*batch.schema.names, "__task", "__place"])
 
 
 def shard(docs: DataFrame, shards: int, group: Column, size: Column, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -43,56 +85,45 @@ def shard(docs: DataFrame, shards: int, group: Column, size: Column, keep: list[
     ``group``: rows with an equal value stay together (null is a value of its own); ``size``: bytes of a row, null counts 0.
     ``keep``: columns of the result besides the new ones (all by default). New columns are named with ``prefix``.
 
-    Groups of at least total / (shards * GRAIN) bytes are scheduled one by one, of which there are at most shards * GRAIN.
-    Smaller ones are first bundled by hash into bundles of graded sizes, so the driver never holds more than a bounded list
-    and the rule is the same at every size. An empty table gives an empty result. Repeated rows each get their own slot.
+    One rule at all sizes: every group, by bytes from the largest down and then by the SHA-256 of its value, goes to the least-loaded
+    shard. The driver holds a count for each distinct number of bytes a group has, at most the square root of twice the total, and
+    the turns that follow from it; groups and rows never pass through it. Wide rows are shuffled once, by group; rows of hot groups not
+    at all. An empty table gives an empty result. Repeated rows each get their own slot.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
+    spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     names = {x: f"{prefix}{x}" for x in ("shard", "slot")}
     if clash := {*names.values()} & {*keep}:
         raise ValueError(f"columns {sorted(clash)} exist; give a prefix")
     key = F.coalesce(F.unhex(F.sha2(group.cast("binary"), 256)), F.lit(b"").cast("binary"))
     rows = docs.select(*keep, key.alias("__key"), F.coalesce(size.cast("long"), F.lit(0)).alias("__size"))
-    groups = materialize(rows.groupBy("__key").agg(F.sum("__size").alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    least = max(1, total // (shards * GRAIN))
-    large = F.col("bytes") >= least
-    item = F.when(large, F.hex("__key")).otherwise(_bundle(F.col("__key")))
-    items = [(r[0], r[1]) for r in groups.groupBy(item.alias("item")).agg(F.sum("bytes").alias("bytes")).collect()]
-    placed = longest_first(items, shards)
-
-    spark = docs.sparkSession
-    schema = T.StructType([T.StructField("__item", T.StringType()), T.StructField("__shard", T.IntegerType())])
-    table = spark.createDataFrame(list(placed.items()), schema)
-    solo = table.where(~F.col("__item").startswith("b")).select(F.unhex("__item").alias("__key"), F.col("__shard").alias("__solo"))
-    bundled = table.where(F.col("__item").startswith("b"))
-    rows = (
-        rows.join(F.broadcast(solo), "__key", "left")
-        .withColumn("__item", F.when(F.col("__solo").isNull(), _bundle(F.col("__key"))))
-        .join(F.broadcast(bundled), "__item", "left")
-        .withColumn("__shard", F.coalesce("__solo", "__shard"))
-        .drop("__item", "__solo", "__size")
-    )
-    return _slots(rows, keep, names)
-
-
-def _slots(rows: DataFrame, keep: list[str], names: dict[str, str]) -> DataFrame:
-    """Number the rows of each shard: rows of a slice by a window, slices by a running total over a table of bounded size."""
-    # the row's own hash spreads copies of one text over the slices; its group's hash would not
-    rows = rows.withColumn("__slice", F.pmod(F.xxhash64(*[c for c in keep if not _is_map(rows, c)]), F.lit(SLICES)).cast("int"))
-    counts = rows.groupBy("__shard", "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    running = W.Window.partitionBy("__shard").orderBy("__slice").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = counts.select("__shard", "__slice", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__start"))
-    order = W.Window.partitionBy("__shard", "__slice").orderBy(*[c for c in keep if rows.schema[c].dataType.typeName() in ("long", "integer")], "__key")
-    numbered = rows.withColumn("__rank", F.row_number().over(order) - 1)
-    out = numbered.join(F.broadcast(starts), ["__shard", "__slice"])
-    return out.select(*keep, F.col("__shard").alias(names["shard"]), (F.col("__start") + F.col("__rank")).cast("long").alias(names["slot"]))
-
-
-def _is_map(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() in ("map", "variant")
+    groups = materialize(rows.groupBy(F.col("__key").alias("key")).agg(F.sum("__size").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    classes = materialize(groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n")))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    found = classes.select("bytes", "n_groups").toArrow()  # one row a distinct size
+    turns = list(longest_first(zip(*(c.to_pylist() for c in found.columns), strict=True), shards))
+    turns = pa.table([pa.array([t[k] for t in turns], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["bytes", "first", "end", "turn"])
+    plan = spark.createDataFrame(turns).groupBy("bytes").agg(F.collect_list(F.struct("first", "end", "turn")).alias("turns"))
+    numbered = _numbers(groups, classes).join(broadcast_if_small(plan, found.num_rows), "bytes")
+    mine = F.filter("turns", lambda t: (t["first"] <= F.col("number")) & (F.col("number") < t["end"]))[0]
+    where = F.get(mine["turn"], F.pmod(F.col("number") - mine["first"], F.size(mine["turn"])).cast("int"))
+    placed = materialize(numbered.select(F.col("key").alias("__key"), "n", where.alias("__shard")))
+
+    hot = F.broadcast(placed.where(F.col("n") > max(HOT, total // MOST_HOT)).select("__key", F.col("__shard").alias("__hot")))  # MOST_HOT at most
+    marked = rows.drop("__size").join(hot, "__key", "left")
+    some = marked.where(F.col("__hot").isNotNull()).select(*keep, F.col("__hot").alias("__shard"))
+    rest = marked.where(F.col("__hot").isNull()).join(placed, "__key").select(*keep, "__shard")
+    both = some.union(rest)
+    schema = T.StructType([*both.schema.fields, T.StructField("__task", T.IntegerType()), T.StructField("__place", T.LongType())])
+    # each task numbers its own rows and the numbers are written down, so a task that runs again changes nothing
+    counted = materialize(both.mapInArrow(_count_slots, schema))
+    before = W.Window.partitionBy("__shard").orderBy("__task").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = counted.groupBy("__shard", "__task").agg(F.count(F.lit(1)).alias("__n")).select("__shard", "__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    free(groups, classes, placed)
+    out = counted.join(broadcast_if_small(starts), ["__shard", "__task"])
+    return out.select(*keep, F.col("__shard").alias(names["shard"]), (F.col("__start") + F.col("__place")).cast("long").alias(names["slot"]))
 
 
 def shard_texts(docs: DataFrame, shards: int = 8, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:

@@ -1,3 +1,6 @@
+import hashlib
+import heapq
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,9 +11,44 @@ from millrace.llm.queries import op5_lpt_shards
 from tests.llm.helpers import awkward, frame
 
 
+def plain_lpt(items, shards):
+    """Shard of each (size, name), largest first, then by name."""
+    heap, placed = [(0, s) for s in range(shards)], {}
+    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
+        load, s = heapq.heappop(heap)
+        placed[name] = s
+        heapq.heappush(heap, (load + size, s))
+    return placed
+
+
 def test_longest_first_is_plain_lpt():
-    placed = sharding.longest_first([("a", 7), ("b", 5), ("c", 4), ("d", 4), ("e", 3)], 2)
-    assert placed == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+    rng = random.Random(6)
+    for case in range(300):
+        shards, most = rng.randrange(1, 10), rng.choice((1, 3, 40, 1000))
+        items = [(rng.randrange(most + 1), i) for i in range(rng.randrange(60))] + [(most * 20, 1000)] * (case % 2)
+        want, got = plain_lpt(items, shards), {}
+        names = defaultdict(list)
+        for size, name in sorted(items):
+            names[size].append(name)
+        for size, first, end, turn in sharding.longest_first(Counter(s for s, _ in items).items(), shards):
+            for k in range(first, end):
+                got[names[size][k]] = turn[(k - first) % len(turn)]
+        assert got == want, (case, shards, items)
+
+
+def test_query_of_many_groups_is_plain_lpt(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE", 500)
+    monkeypatch.setattr(sharding, "HOT", 100)
+    rows = [(i, f"t{i}" + "x" * (i * i % 97), "en", "s", 1) for i in range(100_000)] + [(200_000 + i, "copy", "en", "s", 1) for i in range(5_000)]
+    out = sharding.shard_texts(frame(spark, rows).repartition(5), 8, keep=["doc_id", "text"]).collect()
+    size = Counter()
+    for r in rows:
+        size[r[1]] += len(r[1]) + 1
+    want = plain_lpt([(n, hashlib.sha256(t.encode()).digest()) for t, n in size.items()], 8)
+    assert len(out) == len(rows) and all(want[hashlib.sha256(r.text.encode()).digest()] == r.shard for r in out)
+    for s in range(8):
+        mine = sorted(r.slot for r in out if r.shard == s)
+        assert mine == list(range(len(mine)))
 
 
 def test_query_balances_keeps_copies_and_numbers_slots(spark, sf):
