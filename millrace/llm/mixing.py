@@ -6,13 +6,18 @@ Poisson distribution of that mean at a uniform number hashed from its id, so it
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from millrace.plans.materialize import broadcast_if_small, materialize, shuffle_parts
 
 #: The hash gives 13 hexadecimal digits, 52 bits, of which a double holds all.
 DIGITS = 13
+#: Equal parts of [0, 1) by which uniform numbers meet the steps of a distribution: also what spreads a hot source over tasks.
+BUCKETS = 256
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -21,20 +26,31 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Array of P(count <= k) for k = 0, 1, ... to where the rest is below the grain of the hash.
+def _log_poisson(rate: Column, k: Column) -> Column:
+    """Logarithm of P(count = k): by factorials up to 20, else by Stirling's series, in a form that cancels no large terms."""
+    x = k.cast("double")
+    d = (rate - x) / x
+    series = 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    large = x * (F.log1p(d) - d) - F.ln(2 * math.pi * x) / 2 - series
+    return F.when(k <= 20, -rate + x * F.ln(rate) - F.ln(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double"))).otherwise(large)
 
-    Terms are summed in log space, so large rates don't underflow. A rate of 0 gives [1].
-    """
-    last = F.ceil(rate + F.sqrt(rate) * 14 + 60).cast("int")
-    start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
 
-    def step(acc: Column, k: Column) -> Column:
-        logp = acc["logp"] + F.ln(rate) - F.ln(k.cast("double"))
-        total = acc["sum"] + F.exp(logp)
-        return F.struct(logp.alias("logp"), total.alias("sum"), F.array_append(acc["cdf"], total).alias("cdf"))
+def poisson_table(rates: DataFrame) -> DataFrame:
+    """(source, k, bucket, low, high) of rows (source, rate): P(count < k) and P(count <= k) for each bucket of u they lie in.
 
-    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"])
+    Only the counts within ten standard deviations have rows, about 20 * sqrt(rate) + 80 of a source, in place of one for each count up to the
+    rate; beyond them nothing is left at the grain of the hash. A uniform number u in bucket floor(u * BUCKETS) is inverted by
+    the one row with low <= u < high. A rate of 0 has no rows.
+    """
+    spread = F.sqrt("rate") * 10 + 20
+    first = F.greatest(F.lit(0), F.floor(F.col("rate") - spread)).cast("long")
+    counts = rates.where("rate > 0").select("source", "rate", first.alias("first"), F.explode(F.sequence(first, F.ceil(F.col("rate") + spread + 40).cast("long"))).alias("k"))
+    order = W.Window.partitionBy("source").orderBy("k")
+    total = F.least(F.lit(1.0), F.sum(F.exp(_log_poisson(F.col("rate"), F.col("k")))).over(order.rowsBetween(W.Window.unboundedPreceding, 0)))
+    summed = counts.select("source", "k", total.alias("high")).withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
+    summed = summed.withColumn("high", F.when(F.lead("high").over(order).isNull(), 2.0).otherwise(F.col("high"))).where("high > low")
+    at = lambda c: F.least(F.floor(F.col(c) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    return summed.select("source", "k", F.explode(F.sequence(at("low"), at("high"))).alias("bucket"), "low", "high")
 
 
 def source_rates(docs: DataFrame, source: str, size: Column, weights: dict[str, float] | None, default_weight: float = 1.0, epochs: float = 1.0) -> DataFrame:
@@ -74,16 +90,14 @@ def replicate(
         raise ValueError(f"columns {sorted(clash)} exist; give a prefix")
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
     rates = source_rates(docs, source, size, weights, default_weight, epochs)
-    rates = materialize(rates.select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf")))
+    steps = materialize(poisson_table(rates).where("k > 0").toDF("__source", "__k", "__bucket", "__low", "__high"))
     u = uniform(F.lit(f"count-{seed}"), doc_id)
-    # one row a source: broadcast while that is small, else a join whose hot partitions AQE splits
-    joined = docs.select(*keep, F.col(source).alias("__s"), F.col(doc_id).alias("__id"), u.alias("__u")).join(broadcast_if_small(rates), F.col("__s").eqNullSafe(F.col("__source")))
-    count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    counted = joined.select(*keep, "__id", count.alias(names[0])).where(F.col(names[0]) > 0)
+    # rows of fixed width: broadcast while they are few, else a join on source and bucket
+    rows = docs.select(*keep, F.col(source).alias("__s"), F.col(doc_id).alias("__id"), u.alias("__u")).withColumn("__b", F.floor(F.col("__u") * BUCKETS).cast("int"))
+    on = F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__b") == F.col("__bucket")) & (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high"))
+    counted = rows.join(broadcast_if_small(steps), on).select(*keep, "__id", F.col("__k").cast("int").alias(names[0]))
     copies = counted.select("*", F.explode(F.sequence(F.lit(1), F.col(names[0]))).alias(names[1]))
     out = copies.withColumn(names[2], uniform(F.lit(f"order-{seed}"), "__id", names[1])).select(*keep, *names)
     if not shuffle:
         return out
-    # keys are uniform, so equal ranges of the key are equal shares: no sampling pass is needed to range-partition
-    parts = shuffle_parts(docs.sparkSession)
-    return out.repartition(parts, F.floor(F.col(names[2]) * parts)).sortWithinPartitions(names[2])
+    return out.repartitionByRange(shuffle_parts(docs.sparkSession), names[2]).sortWithinPartitions(names[2])

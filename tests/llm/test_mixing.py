@@ -7,12 +7,33 @@ from tests.llm.helpers import awkward, frame
 
 
 def test_inverse_poisson(spark):
-    for rate in (0.0, 0.3, 2.0, 40.0, 900.0):
-        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate)).alias("c")).first().c
+    rates = [0.0, 0.3, 2.0, 40.0, 900.0, 1e6]
+    table = mixing.poisson_table(spark.createDataFrame([(str(r), r) for r in rates], "source string, rate double")).collect()
+    for rate in rates:
+        rows = sorted({(r.k, r.low, r.high) for r in table if r.source == str(rate)})
+        if not rate:
+            assert rows == []
+            continue
+        assert len(rows) < 20 * math.sqrt(rate) + 90 and rows[0][1] == 0 and rows[-1][2] > 1
+        assert all(x[2] == y[1] for x, y in zip(rows, rows[1:], strict=False))
+        high = {k: h for k, _, h in rows}
         for k in (0, 1, int(rate), int(rate + 3 * math.sqrt(rate))):
-            want = sum(math.exp(-rate + j * math.log(rate) - math.lgamma(j + 1)) for j in range(k + 1)) if rate else 1.0
-            assert abs(cdf[min(k, len(cdf) - 1)] - want) < 1e-9
-        assert cdf[-1] > 1 - 1e-10  # rounding of the sum
+            if k in high and k < rows[-1][0]:
+                want = math.fsum(math.exp(-rate + j * math.log(rate) - math.lgamma(j + 1)) for j in range(k + 1))
+                assert abs(high[k] - want) < 1e-9
+        # every bucket has the rows whose steps reach into it
+        for k, low, top in rows[:: max(1, len(rows) // 50)]:
+            buckets = {r.bucket for r in table if r.source == str(rate) and r.k == k}
+            assert buckets == set(range(min(255, int(low * 256)), min(255, int(top * 256)) + 1))
+
+
+def test_large_rates_take_no_array_and_ranges_are_even(spark):
+    docs = frame(spark, [(1, "x", "en", "rare", 1), *[(i, "y" * 2_000, "en", "big", 1) for i in range(2, 502)]])
+    out = mixing.replicate(docs, keep=["doc_id"])
+    n = out.where("doc_id = 1").count()
+    assert abs(n - 250_000) < 5_000  # half of all bytes by a text of two
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.3 * sum(sizes) / 8  # ranges are sampled
 
 
 def test_sources_meet_their_weights_and_runs_agree(spark):
