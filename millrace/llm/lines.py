@@ -112,7 +112,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     pos = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("n"))
     lines = lines.select("__row", "n", pos.alias("pos"), F.length(F.trim(F.regexp_replace("line", r"\s+", ""))).alias("ink"), *_line_key(F.col("line")), "line")
     lines = lines.where("ink > 0")
-    table = materialize(lines.select("__row", "n", "pos", *KEY, _half_keys(F.col("line"), least_chars).alias("halves")))
+    table = materialize(lines.select("__row", "n", "pos", *KEY, _half_keys(F.col("line"), least_chars - 1).alias("halves")))
     first = materialize(table.groupBy(*KEY).agg(F.min("pos").alias("first")))
 
     # lines that share half with another line
@@ -122,7 +122,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     texts = lines.select(*KEY, "pos", "line").join(broadcast_if_small(chosen), KEY, "left_semi")
     # one row a line: the earliest
     texts = materialize(texts.join(first.select(F.col("first").alias("pos")), "pos", "left_semi"))
-    near = materialize(near_lines(texts).withColumn("near", F.lit(True)))
+    # an earlier line may be a character shorter than those that go
+    long = texts.where(F.length("line") >= least_chars).select(*KEY)
+    near = materialize(near_lines(texts).join(long, KEY, "left_semi").withColumn("near", F.lit(True)))
 
     judged = table.select("__row", "n", "pos", *KEY).join(first, KEY).join(broadcast_if_small(near), KEY, "left")
     gone = (F.col("pos") != F.col("first")) | F.coalesce("near", F.lit(False))

@@ -28,15 +28,12 @@ def plain(docs, least=20):
             if line.strip() and line not in first:
                 first[line] = (d, n)
                 order.append(line)
-    near, halves = set(), {}
-    for b in order:  # earlier lines by the half they share, an exact filter
-        if len(b) < least:
-            continue
-        keys = {k for h in {len(b) // 2, (len(b) - 1) // 2} for k in (("a", h, b[:h]), ("b", h, b[len(b) - h :]))}
-        if any(within_one(a, b) for k in keys for a in halves.get(k, ())):
+    # every line against all earlier ones whose lengths differ by one at most
+    near, by_length = set(), {}
+    for b in order:
+        if len(b) >= least and any(within_one(a, b) for n in (len(b) - 1, len(b), len(b) + 1) for a in by_length.get(n, ())):
             near.add(b)
-        for k in keys:
-            halves.setdefault(k, []).append(b)
+        by_length.setdefault(len(b), []).append(b)
     out = []
     for d, (_, text) in enumerate(docs):
         if text is None:
@@ -79,6 +76,15 @@ def test_edits_of_every_kind_and_templates(spark):
     assert [tuple(r)[1:] for r in got] == plain(docs)
 
 
+def test_lines_about_the_least_length(spark):
+    base = "abcdefghijklmnopqrstuvwxyz"
+    texts = [base[:19], base[:20], base[:18], base[:19] + "!", "x" + base[:19], base[:20] + "??", base[:21]]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    got = lines.dedup_lines(frame(spark, [(i, t, "en", "s", 1) for i, t in docs]), keep=["doc_id"]).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == plain(docs)
+    assert [r.n_removed for r in got] == [0, 1, 0, 1, 1, 0, 1]
+
+
 def test_awkward_rows_empty_table_and_clashes(spark):
     docs = frame(spark, awkward()).withColumn("n_lines", F.lit("mine")).withColumn("k1", F.lit(1)).withColumn("pos", F.lit(1))
     out = lines.dedup_lines(docs, prefix="l_").collect()
