@@ -19,11 +19,16 @@ from pyspark.sql import functions as F
 
 from millrace.llm.textbatch import pieces
 
-LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 UNDETERMINED = "und"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 @dataclass(frozen=True)
 class LangModel:
     """``slices[p, w]``: languages 64w to 64w+63 whose filter has position p set; ``false_rate[l]``: chance that language l is
@@ -78,6 +83,8 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     sample_rows: int = 20_000,
+    sample_bytes: int = 100_000_000,
+    doc_id: str | None = "doc_id",
     orders: tuple[int, ...] = (2, 3, 4),
     least_count: int = 5,
     share: float = 0.5,
@@ -86,14 +93,17 @@ def fit(
 ) -> LangModel:
     """Fit on the rows where ``train`` holds and ``lang`` is not null.
 
-    ``sample_rows`` bounds the rows in expectation: each qualifying row is taken with probability sample_rows / qualifying rows,
-    decided by a hash of its text, so the fit costs the same at any corpus size. An n-gram is inserted for language l if l has it
+    ``sample_rows`` and ``sample_bytes`` bound the rows and their UTF-8 bytes in expectation: each qualifying row is taken with the
+    probability that meets both, decided by a hash of its text and of ``doc_id`` (if given), so the fit costs the same at any
+    corpus size and copies of one text are taken apart. An n-gram is inserted for language l if l has it
     ``least_count`` times or more and at a rate of at least ``share`` of the highest rate of any language.
     """
-    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    n = docs.where(train & F.col(lang).isNotNull()).count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample_rows / n)))
+    rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    share_taken = min(1.0, sample_rows / max(n, 1), sample_bytes / max(size, 1))
+    if share_taken < 1:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("fit"), *[text, *([doc_id] if doc_id else [])]), F.lit(1 << 40)) < F.lit(int((1 << 40) * share_taken)))
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +162,7 @@ def _decide(model: LangModel, texts: list[str | None]) -> tuple[list[str], np.nd
     best = true.argmax(1)
     share = true[np.arange(len(texts)), best] / np.maximum(true.sum(1), 1e-12)
     for i, t in enumerate(texts):
-        if t is not None and LETTER.search(t):
+        if t is not None and has_letter(t):
             langs[i] = model.languages[best[i]]
             score[i] = min(1.0, max(0.0, share[i]))
     return langs, score

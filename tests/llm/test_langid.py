@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,35 @@ def test_nul_inside_a_text_is_a_boundary():
     for i in range(len(texts)):
         assert sorted(h[row == i].tolist()) == sorted(want[want_row == i].tolist()), i
     assert row.max() < len(texts)
+
+
+def test_letters_are_of_category_l(spark):
+    docs = frame(spark, awkward([(30, "\u00bd \u00b2 \u2163 \u2460 _", "en", "a", 1), (31, "\u00bd \u00aa", "en", "a", 1)]))
+    model = langid.fit(docs, F.lit(True), least_count=1)
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert out[30] == "und" and out[31] != "und"
+
+
+def test_filters_against_plain_sets(spark):
+    """The same decision from exact n-gram sets: filters differ by their false positives only, which are corrected."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    train = [r for r in rows if r[2] is not None and r[1] is not None]
+    counts = {}
+    for _, text, lang in train:
+        grams, _ = langid._grams([text], (2, 3, 4))
+        c = counts.setdefault(lang, Counter())
+        c.update(grams.tolist())
+    languages = sorted(counts)
+    rate = {x: {g: n / sum(m for m in c.values() if m >= 2) for g, n in c.items() if n >= 2} for x, c in counts.items()}
+    sets = {x: {g for g, n in c.items() if n >= 5 and rate[x][g] >= 0.5 * max(rate[y].get(g, 0) for y in languages)} for x, c in counts.items()}
+    got = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs, F.lit(True))).collect()}
+    differ, off = 0, []
+    for i, text, _ in rows:
+        grams = langid._grams([text], (2, 3, 4))[0].tolist()
+        hits = [sum(g in sets[x] for g in grams) for x in languages]
+        want = languages[max(range(len(hits)), key=lambda k: (hits[k], -k))] if text and langid.has_letter(text) else "und"
+        differ += want != got[i].lang_pred
+        if want != "und" and sum(hits):
+            off.append(abs(max(hits) / sum(hits) - got[i].score))
+    assert differ <= 0.002 * len(rows) and max(off) < 0.05, (differ, max(off))
