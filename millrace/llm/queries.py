@@ -56,7 +56,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_documents(spark, sf_dir), keep=["doc_id"])
+    # a source is an owner; what it holds in one language, a repository of its own
+    docs = _documents(spark, sf_dir).withColumn("repository", F.concat_ws("/", F.coalesce("source", F.lit("~")), F.coalesce("lang", F.lit("~"))))
+    found = secrets.scan(docs, repository="repository", keep=["doc_id"])
     base = F.filter("secret_spans", lambda s: s["base"])
     label = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     number = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -66,6 +68,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.transform(base, label)), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("secret_spans", label)).alias("spans"),
         F.size(F.filter("secret_spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.concat_ws(",", F.transform("secret_spans", lambda s: F.concat_ws("/", s["n_owners"].cast("string"), s["n_repositories"].cast("string")))).alias("owners"),
     )
 
 

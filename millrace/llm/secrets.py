@@ -13,6 +13,7 @@ from millrace.plans.materialize import materialize
 
 #: Fixed patterns: kind, what is matched, and the least characters of the whole match or of the value in group 2.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+NAMES = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Method's own candidates: long runs of token characters that hold a digit, an upper and a lower letter.
@@ -21,23 +22,36 @@ KINDS = ("assign", "access", "hex")
 ASSIGN_LEAST = 6
 
 
+_NONE = "cast(array() as array<struct<start:int,end:int,whole:string>>)"
+
+
 def located(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as structs (start, end, whole) in code points.
 
-    The text between matches comes from ``split`` on the same pattern, so each start is the length of all that stands before.
+    The text between matches comes from ``split`` on the same pattern, so each start is the length of all that stands before. Lengths
+    are summed in runs of about the square root of their number, then over the runs, as an array grows by copying.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,whole:string>>)").alias("out"))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    steps = F.zip_with(found, gaps, lambda w, g: F.struct(F.length(g).alias("gap"), F.length(w).alias("n"), w.alias("whole")))
+    width = F.ceil(F.sqrt(F.size(found))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / width).cast("int")), lambda r: F.slice(steps, r * width + 1, width))
+    length = lambda run: F.aggregate(run, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"])
+    sums = lambda values: F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    starts = sums(F.transform(runs, length))
+    inner = lambda run: sums(F.transform(run, lambda x: x["gap"] + x["n"]))
+
+    def place(run: Column, at: Column) -> Column:
+        span = lambda x, before: F.struct((at + before + x["gap"]).alias("start"), (at + before + x["gap"] + x["n"]).alias("end"), x["whole"].alias("whole"))
+        return F.zip_with(run, F.slice(inner(run), F.lit(1), F.size(run)), span)
+
+    placed = F.flatten(F.zip_with(runs, F.slice(starts, F.lit(1), F.size(runs)), place))
+    return F.when(F.size(found) > 0, placed).otherwise(F.expr(_NONE))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["whole"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), pair["whole"].alias("whole"))).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda w, g: F.struct(w.alias("whole"), g.alias("gap")))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,whole:string>>)")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(none)
+def _where(text: Column, hint: Column, pattern: str) -> Column:
+    """``located`` where the cheap ``hint`` holds, which every match needs."""
+    return F.when(hint, located(text, pattern)).otherwise(F.expr(_NONE))
 
 
 def _tagged(spans: Column, kind: str, order: int, value: Column | None = None, keep: Column | None = None) -> Column:
@@ -49,11 +63,11 @@ def _tagged(spans: Column, kind: str, order: int, value: Column | None = None, k
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """All of ``docs``' columns but the text, and ``spans``: the base spans and the method's own, by start, then kind."""
     body = F.coalesce(F.col(text), F.lit(""))
-    # cheap tests first: most texts have no candidate and are searched once
-    assign = F.filter(_tagged(located(body, ASSIGN), "assign", 0), lambda s: F.length(s["value"]) >= ASSIGN_LEAST)
-    access = _tagged(F.when(F.contains(body, F.lit("AKIA")), located(body, ACCESS)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,whole:string>>)")), "access", 1)
-    hexes = _tagged(located(body, HEX), "hex", 2)
-    random = F.filter(_tagged(located(body, RANDOM), "random", 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]"))
+    # cheap tests first: most texts have no candidate
+    assign = F.filter(_tagged(_where(body, body.rlike(NAMES), ASSIGN), "assign", 0), lambda s: F.length(s["value"]) >= ASSIGN_LEAST)
+    access = _tagged(_where(body, F.contains(body, F.lit("AKIA")), ACCESS), "access", 1)
+    hexes = _tagged(_where(body, body.rlike(HEX), HEX), "hex", 2)
+    random = F.filter(_tagged(_where(body, body.rlike(RANDOM), RANDOM), "random", 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]"))
     return docs.withColumn("spans", F.array_sort(F.concat(assign, access, hexes, random))).drop(text)
 
 

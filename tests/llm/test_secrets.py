@@ -37,6 +37,45 @@ def test_query_against_plain_regexes(spark):
     assert sum(r.n_assign + r.n_access + r.n_hex for r in out) > 20
 
 
+def plain_spans(text):
+    """Base spans and random-looking runs: (kind, start, end, value)."""
+    text = text or ""
+    spans = [("assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [("access", *m.span(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [("hex", *m.span(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    spans += [("random", *m.span(), m[0]) for m in re.finditer("[A-Za-z0-9+/_-]+", text) if len(m[0]) >= 20 and all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    order = {k: i for i, k in enumerate((*secrets.KINDS, "random"))}
+    return sorted(spans, key=lambda s: (s[1], order[s[0]]))
+
+
+def test_all_spans_and_owners_against_brute_force(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    mixed = "Zq8RtYp2LmN4vXc7WsKd"
+    rows += [(10**6 + i, f"key {mixed}{i % 4} and {mixed}z", ("en", None)[i % 2], f"s{i % 5}" if i else None) for i in range(12)]
+    owners, repositories = {}, {}
+    for _, text, lang, source in rows:
+        for *_, value in plain_spans(text):
+            owners.setdefault(value, set()).update({source} - {None})
+            repositories.setdefault(value, set()).add((source, lang))
+    frame(spark, [(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in op9_secrets(spark, str(tmp_path)).collect()}
+    n_random = 0
+    for i, text, *_ in rows:
+        kept = [s for s in plain_spans(text) if s[0] != "random" or len(owners[s[3]]) < 3]
+        n_random += sum(s[0] == "random" for s in kept)
+        assert out[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in kept), i
+        assert out[i].n_live == sum(len(owners[v]) < 3 for *_, v in kept)
+        assert out[i].owners == ",".join(f"{len(owners[v])}/{len(repositories[v])}" for *_, v in kept)
+    assert n_random == 3 and any(len(repositories[v]) > len(owners[v]) for v in owners)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token=value{i:06}" for i in range(30_000))
+    (r,) = secrets.scan(frame(spark, [(1, text, "en", "s", 1)]), keep=["doc_id"]).collect()
+    assert [(s.start, s.end) for s in r.secret_spans if s.kind == "assign"] == [m.span() for m in ASSIGN.finditer(text)]
+
+
 def test_awkward_matches(spark, tmp_path):
     texts = dict(
         enumerate(
