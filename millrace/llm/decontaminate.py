@@ -3,13 +3,17 @@
 Every passage of every training document is a query. Impacts are BM25 contributions divided by the item's score for itself, so a
 score is between 0 and 1 and one threshold fits all items. Each posting list is cut into blocks of items with the block's highest
 impact; the sum of these over a passage's terms bounds the score of every item of a block, and only blocks whose bound reaches
-the threshold are opened and scored exactly. No passage above the threshold is missed. Passages and blocks are handled as arrays,
-many passages at a time.
+the threshold are live. Bounds are taken for many passages at a time, as arrays; a passage with live blocks is then walked by WAND:
+its terms' cursors are kept in the order of items, the pivot is the first item that the highest impacts up to it can lift to the
+threshold, and cursors before it skip to it, or past the block where even the blocks' impacts can't. No item above the threshold is
+missed.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +31,8 @@ K1, B = 1.2, 0.75
 PASSAGE = 128
 #: Longer items are indexed in parts of this many words.
 PART = PASSAGE // 2
-#: Items of a block of a posting list; words of test items in one index, the bound of what is broadcast.
-BLOCK, INDEX_WORDS = 8, 2_000_000
+#: Items of a block of a posting list; words of test items in one index, the bound of what is broadcast (about 100 bytes a word).
+BLOCK, INDEX_WORDS = 8, 500_000
 SHINGLE = 5
 
 
@@ -38,17 +42,21 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings of term t: ``post_part[post_at[t]:post_at[t+1]]`` with ``post_impact``; its blocks likewise."""
+    """Postings of term t: ``post_part[post_at[t]:post_at[t+1]]`` with ``post_impact``; its blocks likewise; ``most`` its highest impact.
+
+    ``part_item``: item of each part; ``overlap``: for each item ``overlap_hashes`` of its words' term numbers."""
 
     terms: dict[str, int]
-    parts: list[tuple[int, list[str]]]  # number of the item, words
-    items: list[tuple]  # id, then overlap_sets()
+    part_item: np.ndarray
+    overlap: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    ids: pa.Array
     post_at: np.ndarray
     post_part: np.ndarray
     post_impact: np.ndarray
     block_at: np.ndarray
     block: np.ndarray
     block_impact: np.ndarray
+    most: np.ndarray
 
 
 def shingles(words: list[str], width: int = SHINGLE) -> frozenset:
@@ -70,24 +78,49 @@ def overlap_sets(words: list[str]) -> tuple[int, frozenset, frozenset, frozenset
     return width, frozenset(runs), frozenset(runs[:cut]), frozenset(runs[max(0, cut - width + 1) :])
 
 
+def run_hashes(terms: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` term numbers; 0 where one is unknown (-1)."""
+    n = max(0, len(terms) - width + 1)
+    h, ok = np.full(n, width, np.uint64), np.ones(n, bool)
+    for j in range(width):
+        t = terms[j : j + n]
+        h = (h ^ (t + 1).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        ok &= t >= 0
+    return np.where(ok, h | np.uint64(1), np.uint64(0))
+
+
+def overlap_hashes(terms: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """``overlap_sets`` of an item given as term numbers, each set as sorted hashes."""
+    width = max(1, min(SHINGLE, len(terms)))
+    cut = len(terms) - len(terms) // 3
+    h = run_hashes(terms, width)
+    return width, np.unique(h), np.unique(h[:cut]), np.unique(h[max(0, cut - width + 1) :])
+
+
 def _parts(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in items:
-        ids, parts, words = [], [], []
-        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rows, parts, words = [], [], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
             found = words_of(text)
             for k, at in enumerate(range(0, max(1, len(found)), PART)):
                 piece = found[at : at + PART]
                 if len(piece) >= min(SHINGLE, len(found)) and piece:
-                    ids.append(id_)
+                    rows.append(i)
                     parts.append(k)
                     words.append(piece)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(parts, pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["item", "part", "words"])
+        of = [batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*of, pa.array(parts, pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["item", "id", "part", "words"])
 
 
 def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Index]:
-    """Indexes of the test items, each of at most about INDEX_WORDS words; document frequencies are those of all items."""
+    """Indexes of the test items, each of at most about INDEX_WORDS words; document frequencies are those of all items.
+
+    Every row is an item of its own, whatever its id: repeated rows and null ids are not run together.
+    """
     kind = items.schema[item_id].dataType.simpleString()
-    parts = materialize(items.select(F.col(item_id).alias("item"), F.col(text).alias("t")).mapInArrow(_parts, f"item {kind}, part int, words array<string>"))
+    numbered = items.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("id"), F.col(text).alias("t"))
+    parts = materialize(numbered.mapInArrow(_parts, f"item long, id {kind}, part int, words array<string>"))
     n, total = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     if not n:
         return []
@@ -96,22 +129,26 @@ def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"
     indexes = []
     for k in range(count):
         mine = parts.where(F.pmod(F.xxhash64("item"), F.lit(count)) == k)
-        rows = sorted(mine.collect(), key=lambda r: (str(r["item"]), r["part"], r["words"]))
+        table = mine.toArrow().sort_by([("item", "ascending"), ("part", "ascending")])  # about INDEX_WORDS words
         freq = dict(df.join(mine.select(F.explode("words").alias("term")).distinct(), "term", "left_semi").collect())
-        if rows:
-            indexes.append(_index(rows, freq, n, total / n))
+        if len(table):
+            indexes.append(_index(table.select(["item", "part", "words"]).to_pylist(), freq, n, total / n, table.column("id").combine_chunks()))
     return indexes
 
 
-def _index(rows: list, freq: dict[str, int], n: int, mean: float) -> Index:
+def _index(rows: list[dict], freq: dict[str, int], n: int, mean: float, ids: pa.Array | None = None) -> Index:
+    """Index of parts, the parts of an item side by side; ``ids`` has the item's id at each part."""
     terms = {t: i for i, t in enumerate(sorted(freq))}
-    numbers: dict[object, int] = {}
-    words: dict[int, list[str]] = {}
-    parts, entries = [], []
+    numbers: dict[int, int] = {}
+    words: list[list[int]] = []
+    first, part_item, entries = [], [], []
     for p, r in enumerate(rows):
         j = numbers.setdefault(r["item"], len(numbers))
-        words.setdefault(j, []).extend(r["words"])
-        parts.append((j, r["words"]))
+        if j == len(words):
+            words.append([])
+            first.append(p)
+        words[j] += [terms[w] for w in r["words"]]
+        part_item.append(j)
         tf: dict[str, int] = {}
         for w in r["words"]:
             tf[w] = tf.get(w, 0) + 1
@@ -121,12 +158,15 @@ def _index(rows: list, freq: dict[str, int], n: int, mean: float) -> Index:
         entries += [(terms[w], p, s / own) for w, s in score.items()]
     entries.sort()
     term, part, impact = (np.array(x) for x in zip(*entries, strict=True))
-    key = term.astype(np.int64) * (len(parts) // BLOCK + 1) + part // BLOCK
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    items = []
-    for id_, j in numbers.items():
-        items.append((id_, *overlap_sets(words[j])))
-    return Index(terms, parts, items, np.searchsorted(term, np.arange(len(terms) + 1)), part, impact, np.searchsorted(term[first], np.arange(len(terms) + 1)), part[first] // BLOCK, np.maximum.reduceat(impact, first))
+    key = term.astype(np.int64) * (len(rows) // BLOCK + 1) + part // BLOCK
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    post_at = np.searchsorted(term, np.arange(len(terms) + 1))
+    overlap = [overlap_hashes(np.array(w, np.int64)) for w in words]
+    ids = pa.array(list(numbers)) if ids is None else ids.take(pa.array(first, pa.int64()))
+    return Index(
+        terms, np.array(part_item), overlap, ids, post_at, part, impact,
+        np.searchsorted(term[edge], np.arange(len(terms) + 1)), part[edge] // BLOCK, np.maximum.reduceat(impact, edge), np.maximum.reduceat(impact, post_at[:-1]),
+    )
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,34 +176,88 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + start[of], of
 
 
-def _retrieve(index: Index, tokens: np.ndarray, text: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(passage, part, score) of all pairs at the threshold or above; a passage is half a stride of a text, see ``_passages``."""
-    n_blocks, n_passages = len(index.parts) // BLOCK + 1, len(first)
+def _live(index: Index, tokens: np.ndarray, text: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(passage, its terms, its live blocks); a passage is half a stride of a text, see ``matches``."""
+    n_blocks, n_passages = len(index.part_item) // BLOCK + 1, len(first)
     known = np.flatnonzero(tokens >= 0)
     # token i of a text lies in the passages that start at its own half-passage and at the one before
     passage = np.concatenate([text[known], text[known] - 1])
     ok = np.concatenate([np.ones(len(known), bool), text[known] > first[text[known]]])
     pair = np.unique(passage[ok] * np.int64(len(index.terms)) + np.concatenate([tokens[known]] * 2)[ok])
     passage, term = pair // len(index.terms), pair % len(index.terms)
+    # the highest impacts of a passage's terms must reach the threshold at all
+    enough = np.bincount(passage, index.most[term], n_passages) >= threshold - 1e-9
+    passage, term = passage[enough[passage]], term[enough[passage]]
     step = max(1, 4_000_000 // n_blocks)
     for low in range(0, n_passages, step):
         a, b = np.searchsorted(passage, [low, low + step])
         p, t = passage[a:b] - low, term[a:b]
         at, of = _ranges(index.block_at[t], index.block_at[t + 1])
         bound = np.bincount(p[of] * n_blocks + index.block[at], index.block_impact[at], min(step, n_passages - low) * n_blocks)
-        open_ = bound >= threshold - 1e-9
-        if not open_.any():
-            continue
-        # postings of the opened blocks only
-        mine = np.flatnonzero(open_.reshape(-1, n_blocks).any(1)[p])
-        at, of = _ranges(index.post_at[t[mine]], index.post_at[t[mine] + 1])
-        row = p[mine][of]
-        inside = open_[row * n_blocks + index.post_part[at] // BLOCK]
-        key = row[inside] * np.int64(len(index.parts)) + index.post_part[at][inside]
-        pairs, where = np.unique(key, return_inverse=True)
-        score = np.bincount(where, index.post_impact[at][inside])
-        good = score >= threshold - 1e-9
-        yield pairs[good] // len(index.parts) + low, pairs[good] % len(index.parts), score[good]
+        live = (bound >= threshold - 1e-9).reshape(-1, n_blocks)
+        for i in np.flatnonzero(live.any(1)).tolist():
+            x, y = np.searchsorted(p, [i, i + 1])
+            yield i + low, t[x:y], np.flatnonzero(live[i])
+
+
+def wand(index: Index, terms: np.ndarray, live: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
+    """(part, score) of all parts in the live blocks at the threshold or above.
+
+    Cursors stand in a heap by part. In each round the pivot is found; if the impacts of the blocks it lies in reach the threshold too,
+    the cursors before it are moved to it, and once they all stand there it is scored. Else all up to the pivot skip to
+    where the first of these blocks ends. Parts outside the live blocks are skipped alike.
+    """
+    threshold -= 1e-9
+    blocks = live.tolist()
+    heap: list[tuple[int, int, int]] = []  # part, term, position
+
+    def push(term: int, at: int, part: int) -> None:
+        """The term's first posting at ``part`` or later, in a live block."""
+        end = int(index.post_at[term + 1])
+        while True:
+            at += int(np.searchsorted(index.post_part[at:end], part))
+            if at >= end:
+                return
+            found = int(index.post_part[at])
+            k = bisect_left(blocks, found // BLOCK)
+            if k == len(blocks):
+                return
+            if blocks[k] == found // BLOCK:
+                heapq.heappush(heap, (found, term, at))
+                return
+            part = blocks[k] * BLOCK
+
+    for t in terms.tolist():
+        push(t, int(index.post_at[t]), 0)
+    while heap:
+        before, reach = [], 0.0
+        while heap and reach < threshold:
+            before.append(heapq.heappop(heap))
+            reach += float(index.most[before[-1][1]])
+        if reach < threshold:
+            return
+        pivot = before[-1][0]
+        while heap and heap[0][0] == pivot:
+            before.append(heapq.heappop(heap))
+        block = pivot // BLOCK
+        bound = 0.0
+        for _, t, _ in before:
+            at = int(index.block_at[t]) + bisect_left(index.block[index.block_at[t] : index.block_at[t + 1]], block)
+            bound += float(index.block_impact[at]) if at < index.block_at[t + 1] and index.block[at] == block else 0.0
+        if bound < threshold:
+            # no part of this block before the next cursor can do
+            to = min((block + 1) * BLOCK, heap[0][0] if heap else (block + 1) * BLOCK)
+            for part, t, at in before:
+                push(t, at, max(to, part))
+        elif before[0][0] < pivot:
+            for part, t, at in before:
+                push(t, at, max(pivot, part))
+        else:
+            score = sum(float(index.post_impact[at]) for _, _, at in before)
+            if score >= threshold:
+                yield pivot, score
+            for _, t, at in before:
+                push(t, at, pivot + 1)
 
 
 def matches(index: Index, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int, float, float, float, float]]:
@@ -180,42 +274,57 @@ def matches(index: Index, texts: list[str | None], threshold: float) -> Iterator
     number = base[of_text] + (np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // half
     start = np.repeat(base[:-1], count)
     owner = np.repeat(np.arange(len(lists)), count)
-    for passages, parts, scores in _retrieve(index, tokens, number, start, threshold):
-        for p, part, score in zip(passages.tolist(), parts.tolist(), scores.tolist(), strict=True):
-            i = int(owner[p])
-            at = (p - int(start[p])) * half
-            item = index.parts[part][0]
+    hashes: dict[int, np.ndarray] = {}
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    for p, terms, live in _live(index, tokens, number, start, threshold):
+        i = int(owner[p])
+        at = (p - int(start[p])) * half
+        for part, score in wand(index, terms, live, threshold):
+            item = int(index.part_item[part])
             # an item in parts may go on before and after the passage
-            width, *sets = index.items[item][1:]
+            width, *sets = index.overlap[item]
             margin = len(sets[0]) + 2 * SHINGLE
-            seen = shingles(lists[i][max(0, at - margin) : at + PASSAGE + margin], width)
-            yield i, item, score, *(len(s & seen) / len(s) if s else 1.0 for s in sets)
+            if width not in hashes:
+                hashes[width] = run_hashes(tokens, width)
+            a, b = begin[i] + max(0, at - margin), min(begin[i + 1], begin[i] + at + PASSAGE + margin)
+            seen = hashes[width][a : max(a, b - width + 1)]
+            yield i, item, score, *(float(np.isin(s, seen).mean()) if len(s) else 1.0 for s in sets)
 
 
 def _verified(whole: float, question: float, answer: float, similarity: float) -> bool:
     return whole >= similarity and question > 0 and answer > 0
 
 
-def contaminated_pairs(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, similarity: float = 0.8) -> DataFrame:
-    """One row for each row of ``docs`` and test item verified in it: ``keep``, ``item_id``, ``score``, overlaps, ``n_passages``.
+FOUND = ("item_id", "score", "overlap", "question_overlap", "answer_overlap", "n_passages")
+
+
+def contaminated_pairs(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, similarity: float = 0.8, prefix: str = "") -> DataFrame:
+    """One row for each row of ``docs`` and row of ``items`` verified in it: ``keep``, ``item_id``, ``score``, overlaps, ``n_passages``.
 
     Verified: at least ``similarity`` of the item's five-word shingles stand in the passage or right beside it, some of its
-    question and some of its answer among them. Null and empty texts match nothing; items without words are never matched; repeated items each
-    match. Tables of documents are read once for each index of INDEX_WORDS words of test items; no document is shuffled.
+    question and some of its answer among them. Null and empty texts match nothing; items without words are never matched; repeated
+    rows of items each match, and so do rows whose id is null. New columns are named with ``prefix``. Tables of documents are read
+    once for each index of INDEX_WORDS words of test items; no document is shuffled.
     """
     out = None
+    names = [f"{prefix}{x}" for x in FOUND]
+    if clash := {*names} & {*keep}:
+        raise ValueError(f"columns {sorted(clash)} exist; give a prefix")
     kind = items.schema[item_id].dataType.simpleString()
     source = docs.select(*keep, F.col(text).alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.drop("__text").schema)
-    schema = f"{fields}item_id {kind}, score double, overlap double, question_overlap double, answer_overlap double, n_passages int"
-    for index in build_indexes(items, item_id, item_text) or [None]:
+    schema = fields + ", ".join(f"`{n}` {t}" for n, t in zip(names, (kind, *["double"] * 4, "int"), strict=True))
+    indexes = build_indexes(items, item_id, item_text)
+    if not indexes:
+        return source.drop("__text").limit(0).select("*", *[F.lit(None).cast(t).alias(n) for n, t in zip(names, (kind, *["double"] * 4, "int"), strict=True)])
+    for index in indexes:
         shared = docs.sparkSession.sparkContext.broadcast(index)  # at most about INDEX_WORDS words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rest = pa.RecordBatch.from_arrays([batch.column(i) for i, x in enumerate(batch.schema.names) if x != "__text"], names=[x for x in batch.schema.names if x != "__text"])
                 rows, found = [], []
-                for first, texts in pieces(batch, "__text") if shared.value else ():
+                for first, texts in pieces(batch, "__text"):
                     best: dict[tuple[int, int], list] = {}
                     for i, item, *values in matches(shared.value, texts, threshold):
                         if _verified(*values[1:], similarity):
@@ -223,23 +332,19 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, keep: list[str], text:
                             old[:] = [*map(max, old, values), old[4] + 1]
                     for (i, item), values in sorted(best.items()):
                         rows.append(first + i)
-                        found.append((shared.value.items[item][0], *values))
+                        found.append((item, *values))
                 taken = rest.take(pa.array(rows, pa.int64()))
                 columns = list(zip(*found, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, *(pa.array(c, t) for c, t in zip(columns, (_arrow(kind), *[pa.float64()] * 4, pa.int32()), strict=True))],
-                    names=[*taken.schema.names, "item_id", "score", "overlap", "question_overlap", "answer_overlap", "n_passages"],
-                )
+                numbers = pa.array(columns[0], pa.int64())
+                ids = shared.value.ids.take(numbers)
+                values = (pa.array(c, t) for c, t in zip(columns[1:], (*[pa.float64()] * 4, pa.int32()), strict=True))
+                yield pa.RecordBatch.from_arrays([*taken.columns, ids, *values], names=[*taken.schema.names, *names])
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs`` in which no test item is verified, with all their columns; nothing is shuffled."""
     for index in build_indexes(items, item_id, item_text):

@@ -83,6 +83,29 @@ def test_edited_and_long_items(spark):
     assert {r.doc_id for r in D.clean(docs, items).collect()} == {4, 5}
 
 
+def test_repeated_rows_null_ids_and_other_types(spark):
+    item = " ".join(f"q{k}" for k in range(16))
+    other = " ".join(f"z{k}" for k in range(20))
+    docs = frame(spark, [(1, f"before it {item} after it", "en", "s", 1), (2, f"{other} and so on", "en", "s", 1), (3, "nothing of them", "en", "s", 1)])
+    items = frame(spark, [(7, item), (7, item), (None, other), (None, item), (7, other)], ITEMS)
+    pairs = sorted(((r.doc_id, r.item_id) for r in D.contaminated_pairs(docs, items, ["doc_id"]).collect()), key=repr)
+    assert pairs == sorted([(1, 7), (1, 7), (1, None), (2, None), (2, 7)], key=repr)
+    assert [r.doc_id for r in D.clean(docs, items).collect()] == [3]
+    for kind in ("string", "int", "double", "decimal(10,2)", "date"):
+        typed = items.withColumn("item_id", F.lit("2020-01-01").cast(kind) if kind == "date" else F.col("item_id").cast(kind))
+        out = D.contaminated_pairs(docs, typed, ["doc_id"])
+        assert dict(out.dtypes)["item_id"] == kind and out.count() == 5
+    clash = docs.withColumn("score", F.lit("mine"))
+    out = D.contaminated_pairs(clash, items, ["doc_id", "score"], prefix="p_")
+    assert {r.score for r in out.collect()} == {"mine"} and "p_item_id" in out.columns
+    try:
+        D.contaminated_pairs(clash, items, ["score"])
+    except ValueError:
+        pass
+    else:
+        raise AssertionError
+
+
 def test_several_indexes_agree_with_one(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(tuple, D.contaminated_pairs(docs, items, ["doc_id"]).collect()))
