@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.textbatch import pieces
 from millrace.operators.components import component_labels
-from millrace.plans.materialize import materialize, shuffle_parts
+from millrace.plans.materialize import broadcast_if_small, free, materialize, shuffle_parts
 
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Shingles hashed at once; a longer text is summed in steps.
@@ -22,29 +22,43 @@ STEP = 1 << 18
 TILE, BUCKET = 1 << 15, 1 << 15
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """A bit is 1 if set in over half the XXH64 hashes (seed 42) of the ``width``-word shingles of the text.
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 hashes (seed 42) of the ``width``-word shingles of the text, STEP at a time.
 
     Letters A-Z are lower-cased, words are runs of anything but the six ASCII spaces, shingles keep repeats; a text of fewer words
-    is one shingle, one without words has fingerprint 0.
+    is one shingle.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     body = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - width + 1)
     last = min(width, len(words)) - 1
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, STEP):
         to = min(n, at + STEP)
-        h = np.array([digest(body[a:b], 42) for a, b in zip(starts[at:to].tolist(), ends[at + last : to + last].tolist(), strict=True)], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.array([digest(body[a:b], 42) for a, b in zip(starts[at:to].tolist(), ends[at + last : to + last].tolist(), strict=True)], np.uint64)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """A bit is 1 if set in over half the hashes of the shingles of the text; a text without words has fingerprint 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width):
+        ones += _bits(h)
+        n += len(h)
+    return _majority(ones, n)
+
+
 def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 4) -> DataFrame:
     """``keep`` and the fingerprint as a signed long, column ``fp``."""
 
@@ -70,11 +84,12 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(queries: np.ndarray, planes: np.ndarray, words: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
+def within(queries: np.ndarray, planes: np.ndarray, words: np.ndarray, lanes: np.ndarray, radius: int, nearest: bool = False) -> np.ndarray:
     """For query i and the 64 lanes of word ``words[i]``: the bits of the lanes in ``lanes[i]`` at distance ``radius`` or less.
 
     All 64 distances of a word advance together: each plane's difference is added by carry-save to bitwise counters, and a word
-    is abandoned once all its lanes exceed the radius.
+    is abandoned once all its lanes exceed the radius. With ``nearest``, only the lanes at the least distance of the word stay, and
+    a second array has that distance (64 where there is none).
     """
     depth = int(radius + 1).bit_length()
     start = np.uint64((1 << depth) - 1 - radius)  # counters start so that exceeding the radius overflows them
@@ -95,7 +110,18 @@ def within(queries: np.ndarray, planes: np.ndarray, words: np.ndarray, lanes: np
                 if not len(alive):
                     break
     out[alive] = ~over
-    return out
+    if not nearest:
+        return out
+    # the least counter of the lanes that are left, from its highest bit down
+    best, distance = ~over, np.zeros(len(alive), np.int64)
+    for b in reversed(range(depth)):
+        low = best & ~counters[b]
+        best = np.where(low != 0, low, best)
+        distance += np.where(low != 0, 0, 1 << b)
+    out[alive] = best
+    least = np.full(len(queries), 64)
+    least[alive[best != 0]] = distance[best != 0] - int(start)
+    return out, least
 
 
 def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -179,6 +205,21 @@ def _pieces_of(n: int, radius: int) -> tuple[int, int]:
     raise AssertionError
 
 
+def _deal(keyed: DataFrame) -> DataFrame:
+    """Rows (key, fp, ...) sorted by key; buckets above a bound are dealt over blocks, each pair of blocks under a key of its own."""
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
+    large = materialize(large.select("key", F.ceil(F.col("n") / (BUCKET // 2)).cast("int").alias("blocks")))
+    if not large.isEmpty():
+        columns = keyed.columns
+        block = F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int")
+        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = keyed.join(large, "key", "left").withColumn("mine", block).withColumn("other", other)
+        key = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+        keyed = dealt.withColumn("key", key).select(*columns)
+    # a key met once has nothing to compare: rows of one key are adjacent after the sort
+    return keyed.repartition(shuffle_parts(keyed.sparkSession), "key").sortWithinPartitions("key", "fp")
+
+
 def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column ``fp``) whose components are those of all links at ``radius`` or less.
 
@@ -193,19 +234,8 @@ def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
         mask = sum(((1 << (bounds[p + 1] - bounds[p])) - 1) << bounds[p] for p in chosen)
         mask -= (1 << 64) if mask >= 1 << 63 else 0
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))))
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
-    large = materialize(large.select("key", F.ceil(F.col("n") / (BUCKET // 2)).cast("int").alias("blocks")))
-    if large.isEmpty():
-        dealt = keyed.select("key", "fp")
-    else:
-        block = F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int")
-        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = keyed.join(large, "key", "left").withColumn("mine", block).withColumn("other", other)
-        dealt = dealt.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), "fp")
-    # a key met once has nothing to compare: rows of one key are adjacent after the sort
-    sorted_ = dealt.repartition(shuffle_parts(fps.sparkSession), "key").sortWithinPartitions("key", "fp")
-    return sorted_.mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct()
+    keyed = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return _deal(keyed).mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -226,3 +256,180 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     lowest = classes.groupBy("root").agg(F.min("low").alias("component"))
     found = classes.join(lowest, "root").select("fp", "component")
     return rows.join(found, "fp").select(*keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias(names[0]), F.col("component").alias(names[1]))
+
+
+# --- texts of a least similarity ------------------------------------------------------------------------------------------------
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Adds the fingerprint ``fp`` and ``bands`` hashes of ``rows`` min-hashes each to the columns but the last, the text."""
+    rng = np.random.default_rng(5)
+    factor, shift = (rng.integers(0, 1 << 63, bands * rows, np.uint64) << ONE | ONE for _ in range(2))
+    for batch in batches:
+        fps, keys = [], []
+        for _, texts in pieces(batch, batch.schema.names[-1]):
+            for text in texts:
+                ones, n, least = np.zeros(64, np.int64), 0, np.full(bands * rows, ALL)
+                for h in shingle_hashes(text, width):
+                    ones += _bits(h)
+                    n += len(h)
+                    h = np.unique(h)
+                    for k in range(bands * rows):
+                        x = h * factor[k] + shift[k]
+                        least[k] = min(least[k], (x ^ (x >> np.uint64(29))).min())
+                fps.append(_majority(ones, n))
+                keys.append(least)
+        band = np.array(keys, np.uint64).reshape(-1, bands, rows)
+        key = np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.zeros((len(band), 1), np.uint64)
+        for k in range(rows):
+            key = (key ^ band[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        lists = pa.ListArray.from_arrays(np.arange(0, key.size + 1, bands, dtype=np.int32) if key.size else np.zeros(len(band) + 1, np.int32), pa.array(key.reshape(-1).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=[*batch.schema.names[:-1], "fp", "bands"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, id, label) sorted by key to (a, b): each row's nearest one of its bucket of another label, a < b."""
+    held: list[pa.RecordBatch] = []
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        key, fp, id_, label = (table.column(c).to_numpy() for c in ("key", "fp", "id", "label"))
+        n = len(key)
+        queries, planes = fp.view(np.uint64), bit_planes(fp.view(np.uint64))
+        labels = np.zeros(planes.shape[1] * 64, np.int64)
+        labels[:n] = label
+        labels = labels.reshape(-1, 64)
+        low, high = np.searchsorted(key, key, "left"), np.searchsorted(key, key, "right")
+        best, partner = np.full(n, 64), np.full(n, -1)
+        rows = np.flatnonzero(high - low > 1)
+        spans = (high[rows] - 1) // 64 - low[rows] // 64 + 1
+        done = np.concatenate([[0], np.cumsum(spans)])
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(done, done[at] + TILE, "right")) - 1)
+            count = spans[at:to]
+            i = np.repeat(rows[at:to], count)
+            word = np.repeat(low[rows[at:to]] // 64, count) + np.arange(len(i)) - np.repeat(done[at:to] - done[at], count)
+            first = np.clip(low[i] - word * 64, 0, 63).astype(np.uint64)
+            last = np.clip(high[i] - word * 64, 1, 64).astype(np.uint64)
+            lanes = (ALL << first) & (ALL >> (np.uint64(64) - last))
+            lanes &= np.packbits(labels[word] != label[i][:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+            hit, distance = within(queries[i], planes, word, lanes, radius, nearest=True)
+            some = np.flatnonzero(hit)
+            # of each row's words the one of least distance, and of it the first lane
+            some = some[np.lexsort((word[some], distance[some], i[some]))]
+            some = some[np.concatenate([[True], i[some][1:] != i[some][:-1]])] if len(some) else some
+            lane = np.unpackbits(hit[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").argmax(1) if len(some) else some
+            best[i[some]], partner[i[some]] = distance[some], word[some] * 64 + lane
+            at = to
+        found = np.flatnonzero(partner >= 0)
+        a, b = id_[found], id_[partner[found]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        key = batch.column(0).to_numpy()
+        if key[0] == key[-1]:  # a bucket that goes on; its size is bounded by the split of large ones
+            continue
+        table = pa.Table.from_batches(held)
+        cut = len(table) - int((key == key[-1]).sum())
+        held = table.slice(cut).to_batches()
+        yield solve(table.slice(0, cut))
+    if held:
+        yield solve(pa.Table.from_batches(held))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) to (id, its distinct shingles as four bytes each)."""
+    for batch in batches:
+        out = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), width)]) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "shingles"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, shingles of a, of b) to the (a, b) of that Jaccard similarity or more; two empty sets are alike."""
+    for batch in batches:
+        ok = []
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint32) for k in (2, 3))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(both >= similarity * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each pair of leading keys in a batch: copies are not shuffled."""
+    for batch in batches:
+        seen = dict.fromkeys(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        if len(seen) < batch.num_rows:
+            first: dict = {}
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                first.setdefault(key, i)
+            batch = batch.take(pa.array(list(first.values()), pa.int64()))
+        yield batch
+
+
+def similar_texts(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    width: int = 5,
+    similarity: float = 0.8,
+    bands: int = 8,
+    band_rows: int = 3,
+    radius: int = 20,
+    keep: list[str] | None = None,
+    prefix: str = "",
+) -> DataFrame:
+    """``keep`` columns (``doc_id`` by default) with ``component_id`` (smallest doc id reachable) and ``component`` (its number).
+
+    Documents are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; it is verified
+    for every link. At 0.8, fingerprints differ in some 10 of 64 bits, too many for pigeonhole keys, so the buckets here are bands
+    of min-hashes, of which two such texts share one with probability 0.997. In a bucket each text meets the nearest one by
+    fingerprint, bit-sliced, within ``radius`` bits; those verified are one class, and the next round takes the nearest of
+    another class, until a round links nothing. A bucket so gives one pair a text and round, however alike its members are.
+
+    Equal texts are one text. Texts without words are alike. Null ids are ignored in the minimum, so a component of null ids has a
+    null id; ``component`` tells it apart all the same. Repeated rows stay repeated.
+    """
+    keep = [doc_id] if keep is None else keep
+    names = [f"{prefix}component_id", f"{prefix}component"]
+    if clash := {*names} & {*keep}:
+        raise ValueError(f"columns {sorted(clash)} exist; give a prefix")
+    body = F.coalesce(F.col(text), F.lit(""))
+    key = [F.xxhash64(body).alias("__k1"), F.xxhash64(F.lit("b"), body).alias("__k2")]
+    source = docs.select(*keep, F.col(doc_id).alias("__id"), *key, body.alias("__text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.drop("__text").schema)
+    rows = materialize(source.mapInArrow(lambda it: _sketch(it, width, bands, band_rows), f"{fields}fp long, bands array<bigint>"))
+    unique = rows.groupBy("__k1", "__k2").agg(F.min("__id").alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    unique = materialize(unique.withColumn("id", F.monotonically_increasing_id()))
+    keyed = unique.select(F.explode("bands").alias("key"), "fp", "id")
+    # buckets of one text have nothing to compare
+    shared = keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
+    keyed = materialize(keyed.join(shared, "key", "left_semi"))
+
+    links = labels = content = tried = None
+    while True:
+        labelled = keyed.withColumn("label", F.col("id")) if labels is None else keyed.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "fp", "id", F.coalesce("label", "id").alias("label"))
+        pairs = _deal(labelled).mapInArrow(lambda it: _nearest(it, radius), "a long, b long").distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if content is None:  # all texts that have a near one meet it in the first round
+            wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(unique.select("id", "__k1", "__k2"), "id")
+            once = source.select("__k1", "__k2", "__text").mapInArrow(_first_rows, "__k1 long, __k2 long, __text string")
+            found = once.join(broadcast_if_small(wanted), ["__k1", "__k2"]).select("id", "__text").mapInArrow(lambda it: _sets(it, width), "id long, shingles binary")
+            content = materialize(found.dropDuplicates(["id"]))
+        both = pairs.join(content.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(content.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        new = materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
+        tried = pairs if tried is None else tried.union(pairs)
+        links = new if links is None else links.union(new)
+        if new.isEmpty():
+            break
+        labels = component_labels(links)
+    free(keyed, content)
+    classes = unique.select("__k1", "__k2", "low", "id")
+    classes = classes.withColumn("root", F.col("id")) if labels is None else classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("label", "id"))
+    lowest = classes.groupBy("root").agg(F.min("low").alias("component"))
+    found = classes.select("__k1", "__k2", "root").join(lowest, "root")
+    return rows.join(found, ["__k1", "__k2"]).select(*keep, F.col("component").alias(names[0]), F.col("root").alias(names[1]))

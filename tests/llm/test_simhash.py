@@ -1,3 +1,4 @@
+from collections import Counter
 import random
 import re
 
@@ -94,3 +95,58 @@ def test_awkward_rows_and_empty_table(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     clash = docs.withColumn("fingerprint", F.lit(1)).withColumn("component_id", F.lit("x"))
     assert simhash.near_duplicates(clash, keep=clash.columns, prefix="s_").count() == 10
+
+
+def plain_similar(texts, width=5, similarity=0.8):
+    """Least index of each text's component by exact Jaccard similarity of all pairs that share a shingle."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = {}
+    for i, x in enumerate(sets):
+        shared = Counter(j for g in x for j in holders.get(g, ()))
+        for j, n in [*shared.items(), *([(k, 0) for k in range(i) if not sets[k]] if not x else [])]:
+            if n >= similarity * (len(x) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_texts_against_brute_force(spark):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    for group in range(40):  # edited copies at all similarities from 0.8 on
+        base = [word() for _ in range(rng.randrange(20, 300))]
+        for copy in range(rng.randrange(2, 30)):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(1, len(base) // 40) + 1)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((10**6 + group * 100 + copy, " ".join(w)))
+    want = plain_similar([t for _, t in rows])
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(frame(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect()}
+    place = {i: k for k, (i, _) in enumerate(rows)}
+    assert set(got) == set(place)
+    for k, (i, _) in enumerate(rows):  # no class joins what is not connected
+        assert want[place[got[i]]] == want[k]
+    merges = len(rows) - len(set(want))
+    assert merges > 300 and len(set(got.values())) - len(set(want)) <= 0.01 * merges, (len(set(got.values())), len(set(want)))
+
+
+def test_similar_texts_awkward_rows(spark):
+    docs = frame(spark, awkward([(None, "Nobody Knows this row", "en", "c", 1)])).withColumn("component", F.lit("x"))
+    out = simhash.similar_texts(docs, prefix="p_").collect()
+    ids = {r.doc_id: r.p_component_id for r in out}
+    assert len(out) == 11 and ids[2] == 1 and ids[3] == ids[4] == ids[5] == 3 and ids[None] is None
+    assert len({r.p_component for r in out if r.doc_id is None}) == 1
+    assert simhash.similar_texts(docs.limit(0), prefix="p_").count() == 0
