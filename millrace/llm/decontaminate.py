@@ -205,59 +205,48 @@ def wand(index: Index, terms: np.ndarray, live: np.ndarray, threshold: float) ->
 
     Cursors stand in a heap by part. In each round the pivot is found; if the impacts of the blocks it lies in reach the threshold too,
     the cursors before it are moved to it, and once they all stand there it is scored. Else all up to the pivot skip to
-    where the first of these blocks ends. Parts outside the live blocks are skipped alike.
+    where the first of these blocks ends. Parts outside the live blocks are left out of the lists beforehand.
     """
     threshold -= 1e-9
-    blocks = live.tolist()
-    heap: list[tuple[int, int, int]] = []  # part, term, position
-
-    def push(term: int, at: int, part: int) -> None:
-        """The term's first posting at ``part`` or later, in a live block."""
-        end = int(index.post_at[term + 1])
-        while True:
-            at += int(np.searchsorted(index.post_part[at:end], part))
-            if at >= end:
-                return
-            found = int(index.post_part[at])
-            k = bisect_left(blocks, found // BLOCK)
-            if k == len(blocks):
-                return
-            if blocks[k] == found // BLOCK:
-                heapq.heappush(heap, (found, term, at))
-                return
-            part = blocks[k] * BLOCK
-
-    for t in terms.tolist():
-        push(t, int(index.post_at[t]), 0)
+    at, of = _ranges(index.post_at[terms], index.post_at[terms + 1])
+    inside = np.isin(index.post_part[at] // BLOCK, live)
+    at, of = at[inside], of[inside]
+    parts, impacts = index.post_part[at].tolist(), index.post_impact[at].tolist()
+    ends = np.searchsorted(of, np.arange(len(terms)), "right").tolist()
+    most = index.most[terms].tolist()
+    at, of = _ranges(index.block_at[terms], index.block_at[terms + 1])
+    inside = np.isin(index.block[at], live)
+    blocks = dict(zip(zip(of[inside].tolist(), index.block[at[inside]].tolist(), strict=True), index.block_impact[at[inside]].tolist(), strict=True))
+    heap = [(parts[a], t, a) for t, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]  # part, term, position
+    heapq.heapify(heap)
+
+    def skip(cursors: list[tuple[int, int, int]], part: int) -> None:
+        for _, t, a in cursors:
+            a = bisect_left(parts, part, a, ends[t])
+            if a < ends[t]:
+                heapq.heappush(heap, (parts[a], t, a))
+
     while heap:
         before, reach = [], 0.0
         while heap and reach < threshold:
             before.append(heapq.heappop(heap))
-            reach += float(index.most[before[-1][1]])
+            reach += most[before[-1][1]]
         if reach < threshold:
             return
         pivot = before[-1][0]
         while heap and heap[0][0] == pivot:
             before.append(heapq.heappop(heap))
         block = pivot // BLOCK
-        bound = 0.0
-        for _, t, _ in before:
-            at = int(index.block_at[t]) + bisect_left(index.block[index.block_at[t] : index.block_at[t + 1]], block)
-            bound += float(index.block_impact[at]) if at < index.block_at[t + 1] and index.block[at] == block else 0.0
-        if bound < threshold:
+        if sum(blocks.get((t, block), 0.0) for _, t, _ in before) < threshold:
             # no part of this block before the next cursor can do
-            to = min((block + 1) * BLOCK, heap[0][0] if heap else (block + 1) * BLOCK)
-            for part, t, at in before:
-                push(t, at, max(to, part))
+            skip(before, min((block + 1) * BLOCK, heap[0][0] if heap else (block + 1) * BLOCK))
         elif before[0][0] < pivot:
-            for part, t, at in before:
-                push(t, at, max(pivot, part))
+            skip(before, pivot)
         else:
-            score = sum(float(index.post_impact[at]) for _, _, at in before)
+            score = sum(impacts[a] for _, _, a in before)
             if score >= threshold:
                 yield pivot, score
-            for _, t, at in before:
-                push(t, at, pivot + 1)
+            skip(before, pivot + 1)
 
 
 def matches(index: Index, texts: list[str | None], threshold: float) -> Iterator[tuple[int, int, float, float, float, float]]:
