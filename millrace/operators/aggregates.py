@@ -185,3 +185,14 @@ def pii_rate(rows: DataFrame, flagged: Column) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(flagged).alias("flagged"), ratio(F.count_if(flagged), F.count(F.lit(1))).alias("rate"))
 
 
+def build_health(runs: DataFrame, by: str, now: Column, days: int = 30) -> DataFrame:
+    """Runs of the last ``days``: their number, the share that completed (1 of none) and their mean seconds; open runs have no length."""
+    recent = runs.where(F.col("started_at") >= now - F.make_dt_interval(F.lit(days)))
+    done = F.count_if(F.col("status").isin("completed", "completed_with_errors"))
+    seconds = (F.unix_micros("completed_at") - F.unix_micros("started_at")) / 1e6
+    return recent.groupBy(by).agg(F.count(F.lit(1)).alias("total_runs"), F.round(done / F.count(F.lit(1)), 3).alias("success_rate"), F.round(F.coalesce(F.avg(seconds), F.lit(0.0)), 1).alias("avg_duration_sec"))
+
+
+def extraction_density(chunks: DataFrame, by: str, entities: Column, length: Column, share: float = 0.95) -> DataFrame:
+    """Counters of a build, and entities for each 1000 characters of a chunk at the quantile ``share``."""
+    return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.sum(entities).alias("entities"), F.percentile(entities / F.nullif(length, F.lit(0)) * 1000, F.lit(share)).alias("density_p95"))

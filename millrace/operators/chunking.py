@@ -163,13 +163,16 @@ def by_separator(text: str, separator: str, size: int) -> list[str]:
 
 
 def semantic_merge(groups: list[str], least: int = MIN_SIZE, most: int = MAX_SIZE) -> list[str]:
-    """Join a short group to the one before, and split groups that are too long at sentences."""
+    """A short group takes in the next one, once, if both fit; groups that are too long are split at sentences."""
     out: list[str] = []
-    for g in groups:
-        if out and (len(g) < least or len(out[-1]) < least) and len(out[-1]) + len(g) < most:
-            out[-1] = f"{out[-1]} {g}"
-        else:
-            out.append(g)
+    rest = iter(groups)
+    held = next(rest, None)
+    while held is not None:
+        after = next(rest, None)
+        if after is not None and len(held) < least and len(held) + 1 + len(after) <= most:
+            held, after = f"{held} {after}", next(rest, None)
+        out.append(held)
+        held = after
     return [p for g in out for p in ([g] if len(g) <= most else recursive(g, ChunkConfig(most, 0)))]
 
 

@@ -8,31 +8,34 @@ from pyspark.sql import window as W
 
 from millrace.functions import text as T
 
-# Fixed patterns: key group and value group of each.
-END = r"(?:[，。,\.]|$)"
+# Patterns of facts, with the key group and the value group of each.
 FACTS = {
     "preference": [
-        (rf"(?i)我(?:最)?喜欢(.+?){END}", 1, 1),
-        (rf"(?i)我(?:比较)?偏好(.+?){END}", 1, 1),
-        (rf"(?i)我(?:比较)?倾向(?:于)?(.+?){END}", 1, 1),
-        (rf"(?i)我(?:更)?希望(.+?){END}", 1, 1),
-        (rf"(?i)I (?:really )?like (.+?)(?:[,\.]|$)", 1, 1),
-        (rf"(?i)I prefer (.+?)(?:[,\.]|$)", 1, 1),
-        (rf"(?i)My (?:favorite|preferred) (.+?) is (.+?)(?:[,\.]|$)", 1, 2),
+        (r"(?i)我(?:最)?喜欢(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"(?i)我(?:比较)?偏好(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"(?i)我(?:比较)?倾向(?:于)?(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"(?i)我(?:更)?希望(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"我(?:更)?喜欢用(.+?)(?:来|做|进行)?(?:[，。,\.]|$)", 1, 1),
+        (r"(?i)I (?:really )?like (.+?)(?:[,\.]|$)", 1, 1),
+        (r"(?i)I prefer (.+?)(?:[,\.]|$)", 1, 1),
+        (r"(?i)My (?:favorite|preferred) (.+?) is (.+?)(?:[,\.]|$)", 1, 2),
     ],
     "profile": [
-        (rf"我是(.+?){END}", 1, 1),
-        (rf"我叫(.+?){END}", 1, 1),
-        (rf"我(?:的)(.+?)是(.+?){END}", 1, 2),
+        (r"我是(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"我叫(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"我(?:的)(?:名字|姓名|名)是(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"我(?:的)(.+?)是(.+?)(?:[，。,\.]|$)", 1, 2),
         (r"(?i)My name is (.+?)(?:[,\.]|$)", 1, 1),
         (r"(?i)I am (?:a |an )?(.+?)(?:[,\.]|$)", 1, 1),
         (r"(?i)I work (?:at|for|in) (.+?)(?:[,\.]|$)", 1, 1),
         (r"(?i)My (.+?) is (.+?)(?:[,\.]|$)", 1, 2),
     ],
     "rule": [
-        (rf"(?:请|务必|一定要?)不要(.+?){END}", 1, 1),
-        (rf"(?:请|务必|一定)要(.+?){END}", 1, 1),
-        (rf"(?:记住|请记住|记得)(.+?){END}", 1, 1),
+        (r"(?:请|务必|一定要?)不要(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"(?:请|务必|一定)要(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"(?:请|务必|一定要?)总是(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"(?:记住|请记住|记得)(.+?)(?:[，。,\.]|$)", 1, 1),
+        (r"(?:永远|绝不|千万不要)(.+?)(?:[，。,\.]|$)", 1, 1),
         (r"(?i)(?:Don't|Do not|Never) (.+?)(?:[,\.]|$)", 1, 1),
         (r"(?i)(?:Always|Must|Remember to) (.+?)(?:[,\.]|$)", 1, 1),
     ],

@@ -15,6 +15,7 @@ from millrace.functions.columns import ratio
 from millrace.functions.predicates import valid_at
 from millrace.operators.components import component_labels
 from millrace.operators.joins import incident_counts, with_both_ends
+from millrace.operators.search import vector_topk_many
 from millrace.plans.materialize import materialize
 
 
@@ -288,10 +289,14 @@ def community_summaries(members: DataFrame, size: int = 5) -> DataFrame:
 
 
 def hits_to_works(hits: DataFrame, uri: str) -> DataFrame:
-    """Best hit of each work (arXiv id, else URI), ranked."""
+    """Best hit of each work (arXiv id, else URI), ranked. Ranges of the score are ranked apart and moved by the number before them."""
     arxiv = F.regexp_extract(uri, r"(\d{4}\.\d{4,5})", 1)
     best = hits.groupBy(F.coalesce(F.nullif(arxiv, F.lit("")), F.col(uri)).alias("work")).agg(F.max("score").alias("score"), F.max_by("id", F.struct("score", "id")).alias("id"))
-    return best.orderBy(F.desc("score"), "work").withColumn("rank", F.row_number().over(W.Window.orderBy(F.desc("score"), "work")))
+    parts = materialize(best.repartitionByRange(F.desc("score"), "work").withColumn("part", F.spark_partition_id()))
+    before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a partition
+    starts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ranked = parts.withColumn("r", F.row_number().over(W.Window.partitionBy("part").orderBy(F.desc("score"), "work")))
+    return ranked.join(F.broadcast(starts), "part").select("work", "score", "id", (F.col("start") + F.col("r")).cast("int").alias("rank"))
 
 
 def multi_hop(edges: DataFrame, vertices: DataFrame, query: str, k: int = 10, depth: int = 3, iterations: int = 20) -> DataFrame:
@@ -320,3 +325,14 @@ def navigation(entries: DataFrame, path: str) -> DataFrame:
     counts = prefixes.groupBy("path").agg(F.count(F.lit(1)).alias("entries"))
     own = entries.select(F.col(path).alias("path")).distinct().withColumn("own", F.lit(True))
     return counts.join(own, "path", "left").select("path", F.size("path").alias("depth"), "entries", F.col("own").isNull().alias("synthetic"))
+
+
+def link_seeds(queries: DataFrame, entities: DataFrame, threshold: float, k: int = 5, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, score): up to ``k`` entities nearest to each query (query_id, vector) at a similarity of ``threshold`` or more."""
+    return vector_topk_many(entities, queries, k, id_col, vector).where(F.col("score") >= threshold).select("query_id", "id", "score")
+
+
+def association_hops(edges: DataFrame, seeds: DataFrame, hops: int = 3, min_weight: float = 0.6, types: tuple[str, ...] = ("semantic", "temporal")) -> DataFrame:
+    """(id, distance) of what the seeds reach over edges of these types and of ``min_weight`` or more, without the seeds."""
+    strong = edges.where(F.col("type").isin(*types) & (F.col("weight") >= min_weight))
+    return neighbours(strong, seeds, hops).where("distance > 0")

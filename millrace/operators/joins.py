@@ -100,3 +100,16 @@ def nearest_under(vectors: DataFrame, block: str, id_col: str, vector: str, max_
         return pa.table({"a": low, "b": high, "distance": d[a, b][keep]})
 
     return rows.groupBy("block", "i", "j").applyInArrow(pairs, f"a {kind}, b {kind}, distance double")
+
+
+def supersession_history(facts: DataFrame, id_col: str, superseded_by: str) -> DataFrame:
+    """(id, superseded_id): each fact with the facts it took the place of."""
+    earlier = facts.where(F.col(superseded_by).isNotNull()).select(F.col(superseded_by).alias(id_col), F.col(id_col).alias("superseded_id"))
+    return facts.select(id_col).join(earlier, id_col)
+
+
+def with_profiles(items: DataFrame, user: str, profiles: DataFrame, profile_user: str, state: str, path: str) -> DataFrame:
+    """Items with ``author``: the value at ``path`` of the user's JSON state, else the user's id."""
+    names = profiles.select(F.col(profile_user).alias("__user"), F.get_json_object(state, path).alias("__name"))
+    joined = items.join(names, F.col(user) == F.col("__user"), "left")
+    return joined.withColumn("author", F.coalesce(F.nullif("__name", F.lit("")), F.col(user).cast("string"))).drop("__user", "__name")

@@ -130,3 +130,17 @@ def run_steps(df: DataFrame, steps: list[tuple], policy: str = "serial") -> tupl
                 raise
             status.append((name, "failed", str(error)[:200]))
     return df, df.sparkSession.createDataFrame(status, "step string, status string, error string")
+
+
+def merge_similar_facts(facts: DataFrame, kind: str, id_col: str, vector: str, confidence: str, similarity: float = 0.85) -> DataFrame:
+    """(loser, winner): facts that go, as one of their type at that similarity is more confident (ties: smaller id); the most confident of these is named.
+
+    The result doesn't depend on the order of facts: each is held against all others of its type, those that go included.
+    """
+    rank = facts.select(F.col(id_col).alias("x"), F.col(confidence).alias("c"))
+    pairs = nearest_under(facts, kind, id_col, vector, 1 - similarity).select("a", "b")
+    both = pairs.join(rank.toDF("a", "ca"), "a").join(rank.toDF("b", "cb"), "b")
+    first = (F.col("ca") > F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")))
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    judged = both.select(pick("b", "a").alias("loser"), F.struct((-pick("ca", "cb")).alias("c"), pick("a", "b").alias("id")).alias("w"))
+    return judged.groupBy("loser").agg(F.min("w").alias("w")).select("loser", F.col("w.id").alias("winner"))

@@ -30,14 +30,19 @@ def luhn(value: str) -> bool:
 
 
 def spans(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by start; a match that starts inside one of higher precedence is dropped."""
-    found: list[tuple[str, int, int]] = []
-    for kind, pattern in _COMPILED:
-        for m in pattern.finditer(text or ""):
-            inside = any(a <= m.start() < b for _, a, b in found)
-            if not inside and (kind != "credit_card" or luhn(m[0])):
-                found.append((kind, *m.span()))
-    return sorted(found, key=lambda s: s[1])
+    """(kind, start, end) by start: the matches that don't start inside one of higher precedence.
+
+    All matches are laid out by start at once. ``reach[p]`` is how far the kept matches of pattern p extend so far, so whether a match
+    starts inside one of higher precedence is told by the patterns before its own, whatever the number of matches.
+    """
+    text = text or ""
+    laid = [(m.start(), p, m.end(), kind) for p, (kind, pattern) in enumerate(_COMPILED) for m in pattern.finditer(text) if kind != "credit_card" or luhn(m[0])]
+    reach, kept = [-1] * len(_COMPILED), []
+    for start, p, end, kind in sorted(laid):
+        if start >= max(reach[:p], default=-1):
+            reach[p] = max(reach[p], end)
+            kept.append((kind, start, end))
+    return kept
 
 
 def apply_policy(text: str | None, found: list[tuple[str, int, int]], policy: str = "mask", head: int = 2, tail: int = 2) -> str | None:

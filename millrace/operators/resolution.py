@@ -25,19 +25,34 @@ def _ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
 
+#: Names of one key that are compared in one block; larger keys are dealt over blocks, each pair of blocks met once.
+BLOCK = 1000
+
+
 def candidate_pairs(entities: DataFrame) -> DataFrame:
-    """(a, b, na, nb, ta, tb): pairs of one kind that share a token or the first three characters.
+    """Pairs (id_a, id_b, norms, tokens, stems) of unlike names of one kind that share a token or the first three characters.
 
-    Tokens that more than a thousand names of a kind share say little and are left to the other keys.
+    Equal names are one: the least id stands for them. However common a key is, none is left out.
     """
     e = entities.withColumn("norm", T.normalize_label("name"))
+    e = e.groupBy("kind", "norm").agg(F.min("id").alias("id"))
     words = F.filter(F.split(F.regexp_replace("norm", r"[()]", " "), r"\s+"), lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
     e = e.withColumn("tokens", F.array_distinct(words)).withColumn("stems", F.array_distinct(F.transform("tokens", lambda t: F.when(F.length(t) > 2, F.regexp_replace(t, "s$", "")).otherwise(t))))
     keyed = e.select("id", "kind", "norm", "tokens", "stems", F.explode(F.array_distinct(F.concat("stems", F.array(F.concat(F.lit("^"), F.substring("norm", 1, 3)))))).alias("key"))
-    common = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 1000").select("kind", "key")
-    keyed = keyed.join(common, ["kind", "key"])
-    side = lambda s: keyed.select("kind", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "norm", "tokens", "stems")])
-    return side("a").join(side("b"), ["kind", "key"]).where("id_a < id_b").dropDuplicates(["id_a", "id_b"])
+    blocks = keyed.groupBy("kind", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    keyed = keyed.join(blocks, ["kind", "key"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    side = lambda s: keyed.select("kind", "key", "i", "j", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "norm", "tokens", "stems")])
+    return side("a").join(side("b"), ["kind", "key", "i", "j"]).where("id_a < id_b").dropDuplicates(["id_a", "id_b"])
+
+
+def _same_names(entities: DataFrame) -> DataFrame:
+    """(a, b): the least id of equal names of a kind, with each other one; one-letter names and stopwords name nothing."""
+    e = entities.withColumn("norm", T.normalize_label("name"))
+    words = F.filter(F.split(F.regexp_replace("norm", r"[()]", " "), r"\s+"), lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
+    e = e.where((F.length("norm") >= 4) | (F.size(words) > 0))
+    low = e.groupBy("kind", "norm").agg(F.min("id").alias("a"))
+    return e.join(low, ["kind", "norm"]).where("id <> a").select("a", F.col("id").alias("b"))
 
 
 def match_pairs(entities: DataFrame) -> DataFrame:
@@ -50,7 +65,8 @@ def match_pairs(entities: DataFrame) -> DataFrame:
     lengths = F.least(F.length("norm_a"), F.length("norm_b")) / F.greatest(F.length("norm_a"), F.length("norm_b"))
     spelled = p.where(~F.col("rule") & (F.length(short) >= 4) & (lengths >= 0.8)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "norm_a", "norm_b")
     kind = entities.schema["id"].dataType.simpleString()
-    return p.where("rule").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(spelled.mapInArrow(_ratio, f"a {kind}, b {kind}"))
+    named = _same_names(entities)
+    return named.union(p.where("rule").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).union(spelled.mapInArrow(_ratio, f"a {kind}, b {kind}"))
 
 
 def resolve(entities: DataFrame) -> DataFrame:

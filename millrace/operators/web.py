@@ -6,6 +6,7 @@ One pass of the standard library's parser over each page; everything else is rea
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -217,3 +218,121 @@ def metadata(html: Column | str) -> dict[str, Column]:
     og = lambda p: F.nullif(F.regexp_extract(head, rf"(?is)<meta[^>]+property=[\"']og:{p}[\"'][^>]+content=[\"']([^\"']*)", 1), F.lit(""))
     title = F.nullif(F.trim(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
     return {"title": F.coalesce(og("title"), F.regexp_replace(title, r"\s+[|\-–—]\s+[^|\-–—]+$", "")), "description": og("description"), "image": og("image")}
+
+
+# --- elements by selector -----------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Element:
+    tag: str
+    attrs: dict[str, str]
+    parts: list = field(default_factory=list)
+
+    def walk(self):
+        for p in self.parts:
+            if isinstance(p, Element):
+                yield p
+                yield from p.walk()
+
+    def text(self) -> str:
+        return "".join(p.text() if isinstance(p, Element) else p for p in self.parts)
+
+
+class _Tree(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = Element("", {})
+        self.open = [self.root]
+
+    def handle_starttag(self, tag, attrs):
+        e = Element(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].parts.append(e)
+        if tag not in VOID:
+            self.open.append(e)
+
+    def handle_endtag(self, tag):
+        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), 0)
+        if at:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        self.open[-1].parts.append(data)
+
+
+def tree(html: str | None) -> Element:
+    reader = _Tree()
+    reader.feed(html or "")
+    reader.close()
+    return reader.root
+
+
+def _fits(e: Element, simple: str) -> bool:
+    tag = re.match(r"[\w-]*", simple)[0]
+    marks = re.findall(r"([.#])([\w-]+)", simple)
+    classes = e.attrs.get("class", "").split()
+    return (not tag or e.tag == tag.lower()) and all(v in classes if m == "." else e.attrs.get("id") == v for m, v in marks)
+
+
+def find_all(root: Element, selector: str) -> list[Element]:
+    """Elements in document order by tag, .class, #id, their combinations, descendants (space) and alternatives (comma)."""
+    found: set[int] = set()
+    for one in selector.split(","):
+        level = [root]
+        for simple in one.split():
+            level = list({id(e): e for top in level for e in top.walk() if _fits(e, simple)}.values())
+        found |= {id(e) for e in level}
+    return [e for e in root.walk() if id(e) in found]
+
+
+def select(pages: DataFrame, config: dict[str, str | dict], keep: list[str], html: str = "html") -> DataFrame:
+    """``keep`` with ``found``: for each key of ``config`` the values of its selector.
+
+    A plain selector gives the text of all its elements. A dictionary has ``selector``, ``attr`` (``text`` or an attribute's name) and
+    ``multiple``; without it only the first element counts. Elements without the attribute give null.
+    """
+
+    def read(h: str | None):
+        root, out = tree(h), []
+        for key, c in config.items():
+            c = {"selector": c, "attr": "text", "multiple": True} if isinstance(c, str) else c
+            elements = find_all(root, c["selector"])[: None if c.get("multiple") else 1]
+            attr = c.get("attr", "text")
+            out.append((key, [" ".join(e.text().split()) if attr == "text" else e.attrs.get(attr) for e in elements]))
+        yield (out,)
+
+    return flat_map_text(pages, html, read, "found map<string,array<string>>", keep)
+
+
+def math_formulas(html: str | None) -> Iterator[tuple[str, bool, str]]:
+    """(latex, display, origin) from math scripts, TeX annotations of MathML containers, and dollar signs in text; each formula once."""
+    root, seen = tree(html), set()
+    for e in root.walk():
+        kind = e.attrs.get("type", "")
+        if e.tag == "script" and "math/tex" in kind:
+            formula = (e.text().strip(), "display" in kind, "script")
+        elif e.tag == "annotation" and "tex" in e.attrs.get("encoding", "").lower():
+            formula = (e.text().strip(), False, "annotation")
+        else:
+            continue
+        if formula[0] and formula[0] not in seen:
+            seen.add(formula[0])
+            yield formula
+    plain = "".join(_visible(root))
+    for m in re.finditer(r"(?s)\$\$(.+?)\$\$|(?<![\w$\\])\$(?!\s)([^$\n]+?)(?<!\s)\$(?![\w$])", plain):
+        latex = (m[1] or m[2]).strip()
+        if latex and latex not in seen:
+            seen.add(latex)
+            yield latex, m[1] is not None, "text"
+
+
+def _visible(e: Element) -> Iterator[str]:
+    for p in e.parts:
+        if not isinstance(p, Element):
+            yield p
+        elif p.tag not in UNSEEN and p.tag not in ("pre", "code", "annotation"):
+            yield from _visible(p)
+
+
+def page_math(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
+    return flat_map_text(pages, html, math_formulas, "latex string, display boolean, origin string", keep)

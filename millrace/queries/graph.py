@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from millrace.operators import graph as G
 from millrace.sources.tables import table
 
-_SQL_EDGES = "e AS (SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target, min(o_orderpriority) AS type, CAST(sum(l_quantity) AS DOUBLE) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_discount < 0.01 AND l_quantity > 45 GROUP BY 1, 2)"
+_SQL_EDGES = "e AS (SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target, min(o_orderpriority) AS type, CAST(sum(l_quantity) AS DOUBLE) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 _SQL_BOTH = _SQL_EDGES + ", b AS (SELECT source AS src, target AS dst, weight, type FROM e UNION ALL SELECT target, source, weight, type FROM e)"
 
 
 def _edges(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("c"), F.col("o_custkey")).alias("source"), "o_orderpriority")
-    li = table(spark, sf, "lineitem").where("l_discount < 0.01 and l_quantity > 45").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"), "l_quantity")
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"), "l_quantity")
     return o.join(li, "k").groupBy("source", "target").agg(F.min("o_orderpriority").alias("type"), F.sum("l_quantity").alias("weight"))
 
 

@@ -71,7 +71,7 @@ def context_window(spark, sf):
 
 def routine_decisions(spark, sf):
     i = _events(spark, sf).select("user_id", "event_id", (F.col("value") / 100).alias("score"), F.col("event_type").alias("verdict"), F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "healed").otherwise("ok").alias("exec_status"))
-    return M.decide(i.where("event_id % 9 = 0"), "user_id", "event_id", 0.985, 12)
+    return M.decide(i, "user_id", "event_id", 0.985, 12)
 
 
 def resolved_entities(spark, sf):

@@ -42,13 +42,13 @@ def vector_topk_filtered(spark, sf):
 
 
 def vector_topk_many(spark, sf):
-    asked = table(spark, sf, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return _round(S.vector_topk_many(_items(spark, sf), asked, 5)).select("query_id", "id", "score", "rank")
 
 
 def cosine_columns(spark, sf):
     e = _items(spark, sf)
-    pair = e.where("id < 40").select(F.col("id").alias("a"), F.col("embedding").alias("x")).join(e.select((F.col("id") - 1).alias("a"), F.col("embedding").alias("y")), "a")
+    pair = e.select(F.col("id").alias("a"), F.col("embedding").alias("x")).join(e.select((F.col("id") - 1).alias("a"), F.col("embedding").alias("y")), "a")
     return pair.select("a", F.round(V.cosine_similarity("x", "y"), 6).alias("cosine"), F.round(V.cosine_distance("x", "y"), 6).alias("distance"), F.round(V.norm("x"), 6).alias("norm"))
 
 
@@ -73,7 +73,7 @@ def rrf_many_lists(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    asked = table(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return _round(S.top_per_query(_round(S.bm25(_docs(spark, sf), asked), "score"), 5)).select("query_id", "id", "score", "rank")
 
 
@@ -127,10 +127,10 @@ QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_top
 SQL = {
     "vector_topk": f"WITH {SEM} SELECT id, round(score, 6) AS score FROM sem_all ORDER BY sem_all.score DESC, id LIMIT 20",
     "vector_topk_filtered": f"WITH {SEM} SELECT id, round(score, 6) AS score FROM sem_all JOIN embeddings ON vec_id = id WHERE label = 3 AND score >= 0.05 ORDER BY sem_all.score DESC, id LIMIT 10",
-    "vector_topk_many": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 25 = 0),
+    "vector_topk_many": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
     "cosine_columns": """SELECT a.vec_id AS a, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance,
-        round(sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6) AS norm FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 40""",
+        round(sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6) AS norm FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "keyword_topk": f"WITH {KEY} SELECT id, score FROM key_all ORDER BY score DESC, id LIMIT 20",
     "hybrid_linear": f"""WITH {SEM}, {KEY}, items AS (SELECT vec_id FROM embeddings JOIN documents ON vec_id = doc_id), s AS (SELECT * FROM sem_all WHERE id IN (FROM items) ORDER BY score DESC, id LIMIT 20), k AS (SELECT * FROM key_all WHERE id IN (FROM items) ORDER BY score DESC, id LIMIT 20),
         b AS (SELECT coalesce(s.id, k.id) AS id, coalesce(s.score, 0) AS semantic_score, coalesce(k.score, 0) AS keyword_score FROM s FULL JOIN k ON s.id = k.id)
@@ -140,7 +140,7 @@ SQL = {
     "rrf_many_lists": f"""WITH {SEM}, s AS (SELECT id, score, label % 3 AS g FROM sem_all JOIN embeddings ON vec_id = id), r AS (SELECT id, row_number() OVER (PARTITION BY g ORDER BY score DESC, id) AS rank FROM s UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM s)
         SELECT id, round(least(1.0::DOUBLE, sum(1.0::DOUBLE / (60 + rank))), 6) AS score FROM r WHERE rank <= 30 GROUP BY id ORDER BY least(1.0::DOUBLE, sum(1.0::DOUBLE / (60 + rank))) DESC, id LIMIT 15""",
     "bm25_topk": """WITH docs AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM docs),
-        q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL),
+        q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
         p AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM docs) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
         s AS (SELECT query_id, id, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 6) AS score FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY query_id, id)
         SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from millrace.functions.columns import col
+from millrace.plans.materialize import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +77,25 @@ def synthetic_items(spark: SparkSession, n: int, dim: int = 64, rare_share: floa
     vector = F.array(*[F.randn(seed + 10 + i).cast("float") for i in range(dim)])
     metadata = F.to_json(F.struct((F.rand(seed + 2) * 5).cast("int").alias("priority"), F.when(F.rand(seed + 3) < 0.5, "open").otherwise("done").alias("status")))
     return spark.range(n).select("id", user.alias("user_id"), vector.alias("embedding"), metadata.alias("metadata"))
+
+
+def archive_by_source(existing: DataFrame, source: str, value: str | None, flag: str = "archived") -> DataFrame:
+    """Mark the rows of one source as archived; null marks rows without one."""
+    return existing.withColumn(flag, F.coalesce(col(source).eqNullSafe(F.lit(value)) | col(flag), F.lit(False)))
+
+
+def upsert_summaries(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """One summary for each (corpus, community, level), the last by ``order``; new rows win ties."""
+    return upsert(existing, new, ["corpus", "community", "level"], order)
+
+
+def append_in_batches(rows: DataFrame, order: str, size: int = 100) -> DataFrame:
+    """Rows numbered by ``order`` with the batch each is written in; ranges of ``order`` are numbered apart, then moved by a running total."""
+    parts = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    parts = materialize(parts)
+    place = F.row_number().over(W.Window.partitionBy("__part").orderBy(order)) - 1
+    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.Window.orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a partition
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    numbered = parts.withColumn("__place", place).join(F.broadcast(starts), "__part").withColumn("row_no", F.col("__start") + F.col("__place"))
+    return numbered.withColumn("batch", F.floor(F.col("row_no") / size)).drop("__part", "__place", "__start")
