@@ -84,7 +84,7 @@ def page_metadata(spark, sf):
 
 
 def page_texts(spark, sf):
-    return H.page_texts(table(spark, sf, "pages"), ["page_id"]).select("page_id", F.length("text").alias("text_chars"), F.length("markdown").alias("markdown_chars"))
+    return H.page_texts(table(spark, sf, "pages"), ["page_id"]).select("page_id", F.length("text").alias("text_chars"), F.length("markdown").alias("markdown_chars"), F.md5("text").alias("text_digest"), F.md5("markdown").alias("markdown_digest"))
 
 
 def page_link_counts(spark, sf):
@@ -141,6 +141,12 @@ SQL = {
     "retention_sweep": f"WITH r AS (SELECT event_id AS memory_id, least(1.0::DOUBLE, exp(-0.1::DOUBLE * greatest(0, {_D})) * (1 + ln(1.0::DOUBLE + event_id % 12)) / 5) AS s, {_D} + 40 > 50 AS old FROM events) SELECT memory_id, round(s, 6) AS retention_score, s < 0.2 AND old AS expired FROM r",
     "retention_by_type": f"WITH r AS (SELECT event_id, greatest(0, {_D}) AS d, [0.0, 0.005, 0.05, 0.06, 0.08, 0.1]::DOUBLE[] AS dec, [1.5, 1.4, 1.3, 1.2, 1.15, 1.0]::DOUBLE[] AS mul FROM events) SELECT event_id AS memory_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, exp(-dec[event_id % 6 + 1] * d) * (1 + ln(1.0::DOUBLE + event_id % 12)) * mul[event_id % 6 + 1] * (1 + least(0.5::DOUBLE, (event_id % 7) * 0.1::DOUBLE)) / 5 + greatest(0, 1 - (d + 40) / 365) * 0.1::DOUBLE)), 6) AS score FROM r",
     "importance_scores": f"WITH r AS (SELECT event_id, event_id % 12 AS n, {_D} AS d, [1.0, 0.95, 0.9, 0.75, 0.6, 0.4]::DOUBLE[] AS w FROM events) SELECT event_id AS memory_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN n > 0 THEN least(1.0::DOUBLE, ln(1.0::DOUBLE + n) / ln(1 + sqrt(greatest(1, d + 1)))) ELSE 0.1::DOUBLE END * 0.3::DOUBLE + least(1.0::DOUBLE, ln(1.0::DOUBLE + n) / ln(101.0::DOUBLE)) * 0.25::DOUBLE + least(1.0::DOUBLE, (event_id % 7) / 10) * 0.2::DOUBLE + w[event_id % 6 + 1] * 0.15::DOUBLE + greatest(0, 1 - (d + 40) / 90) * 0.1::DOUBLE)), 6) AS importance FROM r",
+    "routine_decisions": """WITH e AS (SELECT user_id, event_id, value / 100 AS score, event_type AS verdict FROM events), k AS (SELECT user_id, verdict <> 'error' AS ok, sum((verdict <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS s FROM e WHERE verdict <> 'signup'),
+        f AS (SELECT user_id, count(*) FILTER (s = 0) AS streak FROM k GROUP BY user_id), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM e WHERE score IS NOT NULL),
+        n AS (SELECT user_id, coalesce(count(*) > 3 AND max(score) FILTER (r <= 3) <= max(score) FILTER (r > 3), false) AS stalled FROM r GROUP BY user_id), g AS (SELECT *, coalesce((verdict <> lag(verdict) OVER (PARTITION BY user_id ORDER BY event_id))::INT, 0) AS flip FROM r WHERE r <= 4),
+        o AS (SELECT user_id, count(*) = 4 AND arg_max(score, event_id) <= arg_min(score, event_id) AND count(verdict) >= 3 AND sum(flip) >= 2 AS swings FROM g GROUP BY user_id), t AS (SELECT user_id, max(coalesce(score >= 0.985::DOUBLE, false)::INT) AS hit, count(*) AS n FROM e GROUP BY user_id)
+        SELECT t.user_id, CASE WHEN hit = 1 THEN 'success' WHEN coalesce(streak, 0) >= 3 THEN 'unrecoverable' WHEN n >= 12 THEN 'budget' WHEN stalled THEN 'no_progress' WHEN swings THEN 'oscillation' ELSE 'continue' END AS decision
+        FROM t LEFT JOIN f USING (user_id) LEFT JOIN n USING (user_id) LEFT JOIN o USING (user_id)""",
     "resolved_entities": """WITH p AS (SELECT p_partkey AS id, p_brand AS kind, p_retailprice AS c, md5(CAST(p_partkey % 700 AS VARCHAR))[1:9] AS n FROM part), g AS (SELECT *, first_value(id) OVER (PARTITION BY kind, n ORDER BY c DESC, id) AS new FROM p) SELECT id AS old, new FROM g WHERE id <> new""",
     "due_threads": "WITH t AS (SELECT user_id, max(event_id) % 3 <> 0 AS active FROM events GROUP BY user_id) SELECT user_id, active FROM t WHERE active AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-27')",
     "merged_memories": "WITH p AS (SELECT x.vec_id AS a, y.vec_id AS b, 1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id), m AS (SELECT CASE WHEN a % 13 >= b % 13 THEN b ELSE a END AS loser, CASE WHEN a % 13 >= b % 13 THEN a ELSE b END AS winner, d FROM p WHERE d <= 0.75) SELECT loser, arg_min(winner, (d, winner)) AS winner, round(min(d), 6) AS distance FROM m GROUP BY loser",

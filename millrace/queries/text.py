@@ -137,20 +137,27 @@ def deduplicated_paragraphs(spark, sf):
     return flat_map_text(d, "twice", lambda t: [(len(X.similar_paragraphs(t)),)], "kept int", ["doc_id"])
 
 
+def _chunk_digests(chunks, *keys):
+    """Per key: number of chunks, the longest one, and a digest of their contents in order."""
+    order = [c for c in ("parent_index", "child_index", "chunk_index") if c in chunks.columns]
+    content = F.transform(F.array_sort(F.collect_list(F.struct(*order, "content"))), lambda x: x["content"])
+    return chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("content")).alias("longest"), F.md5(F.array_join(content, "\x1f")).alias("digest"))
+
+
 def chunks_fixed(spark, sf):
-    return C.chunk(_docs(spark, sf), ["doc_id"], strategy="fixed").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("content")).alias("longest"))
+    return _chunk_digests(C.chunk(_docs(spark, sf), ["doc_id"], strategy="fixed"), "doc_id")
 
 
 def chunks_recursive(spark, sf):
-    return C.chunk(_docs(spark, sf), ["doc_id"], strategy="recursive").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("content")).alias("longest"))
+    return _chunk_digests(C.chunk(_docs(spark, sf), ["doc_id"], strategy="recursive"), "doc_id")
 
 
 def chunks_hierarchical(spark, sf):
-    return C.hierarchical(_docs(spark, sf), ["doc_id"]).groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    return _chunk_digests(C.hierarchical(_docs(spark, sf), ["doc_id"]), "doc_id", "role")
 
 
 def chunks_semantic(spark, sf):
-    return C.chunk(_docs(spark, sf), ["doc_id"], strategy="semantic").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return _chunk_digests(C.chunk(_docs(spark, sf), ["doc_id"], strategy="semantic"), "doc_id")
 
 
 def chunks_markdown(spark, sf):
@@ -168,6 +175,16 @@ QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.sta
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 _SENT = r"list_filter(list_transform(regexp_extract_all(text, '[^。！？；.!?;\n]*[。！？；.!?;\n]|[^。！？；.!?;\n]+$'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_QUOTED = lambda p: p.replace("'", "''")
+_FACTS = " UNION ALL ".join(
+    f"SELECT conv_id, turn, '{kind}' AS fact_type, {n * 100 + m} AS rule, regexp_extract_all(text, '{_QUOTED(p)}', {k}) AS k, regexp_extract_all(text, '{_QUOTED(p)}', {v}) AS v, range(len(k)) AS i FROM t"
+    for n, (kind, patterns) in enumerate(X.FACTS.items())
+    for m, (p, k, v) in enumerate(patterns)
+)
+# word boundaries count letters outside ASCII too, which the patterns of DuckDB don't: they become underscores
+_NAMED = rf"""w AS (SELECT id, regexp_replace(t, '[^\P{{L}}\x00-\x7F]', '_', 'g') AS w FROM d),
+        m AS (SELECT id, unnest(list_distinct(regexp_extract_all(w, '{X.NAMES}'))) AS name, 'other' AS kind, 0.5::DOUBLE AS confidence FROM w UNION ALL SELECT id, unnest(list_distinct(regexp_extract_all(w, '{X.ORGANIZATIONS}'))), 'organization', 0.6::DOUBLE FROM w),
+        e AS (SELECT id, name, arg_max(kind, confidence) AS kind, max(confidence) AS confidence FROM m WHERE kind = 'organization' OR (length(name) BETWEEN 3 AND 150 AND lower(name) <> 'the and') GROUP BY id, name)"""
 SQL = {
     "token_counts": f"SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS tokens, CAST(len(list_distinct({_TOK})) AS INTEGER) AS words FROM documents",
     "sentence_counts": f"SELECT doc_id, CAST(len({_SENT}) AS INTEGER) AS sentences, md5(({_SENT})[1]) AS first FROM documents",
@@ -187,9 +204,16 @@ SQL = {
     "memory_intents": """SELECT * FROM (VALUES (0, 'procedural', 'semantic,fact', 0.7::DOUBLE), (1, 'preference', 'semantic,episodic', 0.7), (2, 'semantic', 'fact,episodic', 0.6), (3, 'episodic', 'semantic,fact', 0.65), (4, 'episodic', 'semantic', 0.3), (5, 'episodic', 'semantic', 0.0),
         (6, 'episodic', 'semantic', 0.3), (7, 'episodic', 'semantic', 0.3), (8, 'episodic', 'semantic', 0.3), (9, 'episodic', 'semantic', 0.3), (10, 'episodic', 'semantic', 0.3)) t(id, "primary", boost, confidence)""",
     "search_intents": "SELECT * FROM (VALUES (0, 'exploration'), (1, 'exploration'), (2, 'fact'), (3, 'fact'), (4, 'exploration'), (5, 'exploration'), (6, 'comparison'), (7, 'navigation'), (8, 'exploration'), (9, 'graph_query'), (10, 'fact')) t(id, intent)",
-    "pattern_facts": """WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role = 'user'), k AS (SELECT conv_id, turn, array_to_string(w[1:2], ' ') AS two, w[1] AS one, array_to_string(w[1:3], ' ') AS three FROM c) SELECT 1 AS conv_id WHERE false""",
+    "pattern_facts": f"""WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role = 'user'),
+        t AS (SELECT conv_id, turn, 'I like ' || array_to_string(w[1:2], ' ') || '. My color is ' || w[1] || '. Never ' || array_to_string(w[1:3], ' ') || '.' AS text FROM c), f AS ({_FACTS}),
+        k AS (SELECT conv_id, turn, fact_type, rule, unnest(i) AS i, trim(unnest(k)) AS key, trim(unnest(v)) AS value FROM f)
+        SELECT conv_id, fact_type, key, value FROM k WHERE length(key) >= 2 QUALIFY row_number() OVER (PARTITION BY conv_id, fact_type, key ORDER BY turn, rule, i) = 1""",
+    "sentences_by_space": r"""WITH s AS (SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM documents) SELECT doc_id, CAST(n AS INTEGER) AS sentences FROM s WHERE n > 0""",
+    "named_entities": rf"""WITH d AS (SELECT doc_id AS id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents), {_NAMED} SELECT id, name, kind, confidence FROM e""",
+    "entity_pairs": rf"""WITH d AS (SELECT doc_id AS id, regexp_replace('Anna Maria met Bob Stone. Acme Corp hired Anna Maria! ' || text, '\s+', ' ', 'g') AS t FROM documents WHERE lang = 'en'), {_NAMED},
+        p AS (SELECT id, unnest(range(len(string_split_regex(t, '[.!?]+')))) AS s, unnest(string_split_regex(t, '[.!?]+')) AS sentence FROM d), i AS (SELECT id, s, name FROM p JOIN e USING (id) WHERE contains(sentence, name))
+        SELECT x.name AS a, y.name AS b, count(*) AS n FROM i x JOIN i y ON x.id = y.id AND x.s = y.s AND x.name < y.name GROUP BY ALL""",
     "chunks_markdown": "SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''",
     "chunks_by_length": "WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE text <> ''), i AS (SELECT doc_id, n, unnest(range(0, greatest(1, n - 200), 1800)) AS s FROM d) SELECT doc_id, CAST(s / 1800 AS INTEGER) AS chunk_index, CAST(least(2000, n - s) AS INTEGER) AS size FROM i",
     "topic_labels": "WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{2,}|[一-鿿]{2,}')) AS w FROM documents WHERE lang = 'en'), c AS (SELECT source, w, count(*) AS n FROM w WHERE w NOT IN ('the', 'of', 'and', 'in', 'on', 'to', 'is', 're', 'es', 'er') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS r FROM c) SELECT source, string_agg(w, '_' ORDER BY r) AS label FROM r WHERE r <= 3 GROUP BY source",
 }
-del SQL["pattern_facts"]
