@@ -16,7 +16,7 @@ from millrace.functions.predicates import valid_at
 from millrace.operators.components import component_labels
 from millrace.operators.joins import incident_counts, with_both_ends
 from millrace.operators.search import vector_topk_many
-from millrace.plans.materialize import materialize
+from millrace.plans.materialize import free, materialize
 
 
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
@@ -109,7 +109,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.
         moved = ranks.join(share, ranks["id"] == share["source"]).groupBy(F.col("target").alias("to")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         step = ranks.join(moved, ranks["id"] == moved["to"], "left").crossJoin(F.broadcast(dangling))  # one row
         new = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + F.lit(1 - alpha) * F.col("p")
-        ranks = materialize(step.select("id", "p", "has_out", new.alias("score"), F.abs(new - F.col("score")).alias("moved")))
+        done, ranks = ranks, materialize(step.select("id", "p", "has_out", new.alias("score"), F.abs(new - F.col("score")).alias("moved")))
+        free(done)
         if (ranks.agg(F.sum("moved")).first()[0] or 0.0) < n * tolerance:
             break
     return ranks.select("id", "score")

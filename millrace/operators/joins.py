@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -24,13 +28,23 @@ def within_time(left: DataFrame, right: DataFrame, key: str, time_left: str, tim
 
 
 def temporal_links(events: DataFrame, key: str, id_col: str, time: str, minutes: float = 30.0, limit: int = 10) -> DataFrame:
-    """(a, b, weight): each row with its ``limit`` nearest in time of the same key, weight 1 - gap / minutes, at least .3."""
-    a = events.select(key, F.col(id_col).alias("a"), F.col(time).alias("ta"))
-    b = events.select(key, F.col(id_col).alias("b"), F.col(time).alias("tb"))
-    pairs = within_time(a, b, key, "ta", "tb", minutes).where("a <> b")
-    gap = F.abs(F.unix_micros("ta") - F.unix_micros("tb")) / 60_000_000.0
-    nearest = W.Window.partitionBy("a").orderBy("gap", "b")
-    return pairs.withColumn("gap", gap).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= limit).select("a", "b", proximity(F.col("gap"), minutes).alias("weight"))
+    """(a, b, weight): each row with its ``limit`` nearest in time of the same key, weight 1 - gap / minutes, at least .3.
+
+    Rows of one time are told by their ``limit`` + 1 least ids, and a time's neighbours are at most ``limit`` times away in either
+    direction, so a busy key gives rows times a constant, not pairs. Keys are cut into buckets of time that also see the next ones.
+    Rows without key, id or time have no link.
+    """
+    width = int(minutes * 60_000_000)
+    rows = events.select(F.col(key).alias("key"), F.col(id_col).alias("a"), F.unix_micros(time).alias("t")).dropna()
+    least = F.dense_rank().over(W.Window.partitionBy("key", "t").orderBy("a"))
+    times = rows.withColumn("n", least).where(F.col("n") <= limit + 1).groupBy("key", "t").agg(F.sort_array(F.collect_set("a")).alias("ids"))
+    bucket = F.floor(F.col("t") / width)
+    around = W.Window.partitionBy("key", "bucket").orderBy("t").rowsBetween(-limit, limit)
+    seen = times.withColumn("bucket", F.explode(F.array(*[bucket + d for d in (-1, 0, 1)]))).withColumn("near", F.collect_list(F.struct("t", "ids")).over(around))
+    met = rows.join(seen.where(F.col("bucket") == bucket).select("key", "t", "near"), ["key", "t"])
+    gaps = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(F.abs(x["t"] - F.col("t")).alias("gap"), i.alias("b")))))
+    nearest = F.slice(F.array_sort(F.filter(gaps, lambda x: (x["gap"] <= width) & (x["b"] != F.col("a")))), 1, limit)
+    return met.select("a", F.explode(nearest).alias("x")).select("a", "x.b", proximity(F.col("x.gap") / 60_000_000.0, minutes).alias("weight"))
 
 
 def shared_key_links(rows: DataFrame, key: str, id_col: str, order: str, limit: int = 20, weight: float = 0.6) -> DataFrame:
@@ -70,36 +84,120 @@ def without_recent(rows: DataFrame, recent: DataFrame, key: str, time: str, sinc
     return rows.join(recent.where(col(time) >= since).select(key).distinct(), key, "left_anti")
 
 
-def nearest_under(vectors: DataFrame, block: str, id_col: str, vector: str, max_distance: float) -> DataFrame:
-    """(a, b, distance): pairs of one block whose cosine distance is ``max_distance`` or less, a < b.
+#: Rows of a tile; two tiles meet in one matrix product.
+TILE = 2000
 
-    Blocks are compared tile by tile: rows are dealt over tiles of a block and each pair of tiles meets once in a matrix product,
-    so no block must fit in one task.
-    """
-    import numpy as np
-    import pyarrow as pa
 
-    tile = 2000
-    sizes = vectors.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+def unit_vectors(lists: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of equally long vectors, scaled to length one; zero vectors stay."""
+    x = np.array(lists.to_pylist(), float)
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
+def _in_tiles(vectors: DataFrame, block: str, id_col: str, vector: str, order: str | None = None) -> GroupedData:
+    """Rows (block, i, j, id, v, t, and r if given) by pairs of tiles i <= j of a block, so no block must fit in one task."""
+    vectors = vectors.where(F.col(vector).isNotNull())
+    sizes = vectors.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     rows = vectors.join(sizes, block).withColumn("t", F.pmod(F.xxhash64(id_col), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = rows.select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), "t", other.alias("o"))
-    rows = rows.select("block", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id", "v", "t")
+    r = [F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))).alias("r")] if order else []
+    rows = rows.select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), "t", other.alias("o"), *r)
+    rows = rows.withColumn("i", F.least("t", "o")).withColumn("j", F.greatest("t", "o"))
+    return rows.drop("o").groupBy("block", "i", "j")
+
+
+def _distances(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Of a pair of tiles, the rows of the first, those of the second, their cosine distances, and whether it is one tile."""
+    x, t = unit_vectors(table.column("v")), table.column("t").to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    first, second = np.flatnonzero(t == i), np.flatnonzero(t == j)
+    return first, second, 1 - x[first] @ x[second].T, i == j
+
+
+def nearest_under(vectors: DataFrame, block: str, id_col: str, vector: str, max_distance: float) -> DataFrame:
+    """(a, b, distance): pairs of one block whose cosine distance is ``max_distance`` or less, a < b.
+
+    All pairs are the result; ``nearest_above`` and ``stars_under`` give as many rows as there are vectors.
+    """
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def pairs(table: pa.Table) -> pa.Table:
-        x = np.array(table.column("v").to_pylist())
-        ids, t = np.array(table.column("id").to_pylist()), table.column("t").to_numpy()
-        x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-        first, second = np.flatnonzero(t == t.min()), np.flatnonzero(t == t.max())
-        d = 1 - x[first] @ x[second].T
+        first, second, d, same = _distances(table)
+        ids = np.array(table.column("id").to_pylist())
         a, b = np.nonzero(d <= max_distance)
         p, q = ids[first[a]], ids[second[b]]
-        keep = (p < q) if t.min() == t.max() else np.ones(len(p), bool)
+        keep = (p < q) if same else np.ones(len(p), bool)
         low, high = np.minimum(p, q)[keep], np.maximum(p, q)[keep]
         return pa.table({"a": low, "b": high, "distance": d[a, b][keep]})
 
-    return rows.groupBy("block", "i", "j").applyInArrow(pairs, f"a {kind}, b {kind}, distance double")
+    return _in_tiles(vectors, block, id_col, vector).applyInArrow(pairs, f"a {kind}, b {kind}, distance double")
+
+
+def nearest_above(vectors: DataFrame, block: str, id_col: str, vector: str, order: str, max_distance: float, highest: bool = False) -> DataFrame:
+    """(a, b, distance): each row with the nearest of its block within ``max_distance`` that has a higher ``order`` (ties: a smaller id).
+
+    With ``highest`` it is the one of the highest order. Of several, the one with the smallest id. A pair of tiles passes on one row
+    for each of theirs.
+    """
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        first, second, d, same = _distances(table)
+        r, found = table.column("r").to_numpy(), []
+        for x, y, far in [(first, second, d)] + ([] if same else [(second, first, d.T)]):
+            above = (r[y] > r[x][:, None]) | ((r[y] == r[x][:, None]) & (y < x[:, None]))
+            wanted = above & (far <= max_distance)
+            rows = np.flatnonzero(wanted.any(1))
+            cost = np.where(wanted[rows], -r[y] if highest else far[rows], np.inf)
+            at = cost.argmin(1) if len(rows) else rows  # columns are in the order of ids
+            found.append((x[rows], y[at], far[rows, at]))
+        a, b, distance = (np.concatenate(c) for c in zip(*found, strict=True))
+        ids = table.column("id")
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "r": -r[b], "distance": distance})
+
+    tiles = _in_tiles(vectors, block, id_col, vector, order).applyInArrow(best, f"a {kind}, b {kind}, r double, distance double")
+    return tiles.groupBy("a").agg(F.min(F.struct("r" if highest else "distance", "b", F.col("distance").alias("d"))).alias("m")).select("a", "m.b", F.col("m.d").alias("distance"))
+
+
+def groups_of(near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each component of a two-sided graph; every row and column is visited once."""
+    rows, columns = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool)
+    for r in range(len(rows)):
+        if not rows[r]:
+            continue
+        rows[r] = False
+        step, in_rows, in_columns = np.array([r]), [np.array([r])], []
+        while len(step):
+            met = np.flatnonzero(near[step].any(0) & columns)
+            columns[met] = False
+            step = np.flatnonzero(near[:, met].any(1) & rows)
+            rows[step] = False
+            in_rows.append(step)
+            in_columns.append(met)
+        yield np.concatenate(in_rows), np.concatenate(in_columns)
+
+
+def stars_under(vectors: DataFrame, block: str, id_col: str, vector: str, max_distance: float) -> DataFrame:
+    """(a, b) that connect what pairs of one block within ``max_distance`` connect: in each pair of tiles a component's least id with
+    its other members, so many copies give no pairs in the square of their number."""
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def stars(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        first, second, d, same = _distances(table)
+        near = d <= max_distance
+        if same:
+            np.fill_diagonal(near, True)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in groups_of(near):
+            members = np.union1d(first[x], second[y])
+            a.append(np.full(len(members) - 1, members[0]))
+            b.append(members[1:])
+        ids = table.column("id")
+        return pa.table({"a": ids.take(pa.array(np.concatenate(a))), "b": ids.take(pa.array(np.concatenate(b)))})
+
+    return _in_tiles(vectors, block, id_col, vector).applyInArrow(stars, f"a {kind}, b {kind}")
 
 
 def supersession_history(facts: DataFrame, id_col: str, superseded_by: str) -> DataFrame:

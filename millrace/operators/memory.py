@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from millrace.functions.columns import days_between
 from millrace.functions.scoring import retention
 from millrace.operators.components import component_labels
-from millrace.operators.joins import nearest_under
+from millrace.operators.joins import nearest_above, stars_under
 from millrace.operators.windows import failure_streak, no_progress, oscillating, within_budget
 from millrace.plans.materialize import materialize
 
@@ -32,18 +32,13 @@ def merge_near(memories: DataFrame, block: str, id_col: str, vector: str, retent
 
     Defined by pairs, so the result has no processing order. ``keep_history`` bounds the provenance the caller stores.
     """
-    pairs = nearest_under(memories, block, id_col, vector, max_distance)
-    r = lambda s: memories.select(F.col(id_col).alias(s), F.col(retention_col).alias(f"r{s}"))
-    both = pairs.join(r("a"), "a").join(r("b"), "b")
-    a_wins = F.col("ra") >= F.col("rb")
-    moves = both.select(F.when(a_wins, F.col("b")).otherwise(F.col("a")).alias("loser"), F.when(a_wins, F.col("a")).otherwise(F.col("b")).alias("winner"), "distance")
-    return moves.groupBy("loser").agg(F.min(F.struct("distance", "winner")).alias("m")).select("loser", "m.winner", "m.distance")
+    moves = nearest_above(memories, block, id_col, vector, retention_col, max_distance)
+    return moves.select(F.col("a").alias("loser"), F.col("b").alias("winner"), "distance")
 
 
 def topic_clusters(memories: DataFrame, block: str, id_col: str, vector: str, eps: float = 0.15) -> DataFrame:
     """(id, cluster) of memories connected by distances of ``eps`` or less; singletons are left out."""
-    pairs = nearest_under(memories, block, id_col, vector, eps)
-    labels = component_labels(pairs.select("a", "b"))
+    labels = component_labels(stars_under(memories, block, id_col, vector, eps))
     return labels.select(F.col("node").alias("id"), F.col("label").alias("cluster"))
 
 
@@ -137,10 +132,5 @@ def merge_similar_facts(facts: DataFrame, kind: str, id_col: str, vector: str, c
 
     The result doesn't depend on the order of facts: each is held against all others of its type, those that go included.
     """
-    rank = facts.select(F.col(id_col).alias("x"), F.col(confidence).alias("c"))
-    pairs = nearest_under(facts, kind, id_col, vector, 1 - similarity).select("a", "b")
-    both = pairs.join(rank.toDF("a", "ca"), "a").join(rank.toDF("b", "cb"), "b")
-    first = (F.col("ca") > F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")))
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    judged = both.select(pick("b", "a").alias("loser"), F.struct((-pick("ca", "cb")).alias("c"), pick("a", "b").alias("id")).alias("w"))
-    return judged.groupBy("loser").agg(F.min("w").alias("w")).select("loser", F.col("w.id").alias("winner"))
+    gone = nearest_above(facts, kind, id_col, vector, confidence, 1 - similarity, highest=True)
+    return gone.select(F.col("a").alias("loser"), F.col("b").alias("winner"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from millrace.functions import text as T
 from millrace.operators.components import component_labels
+from millrace.operators.joins import TILE, unit_vectors
 
 # Fixed values.
 STOPWORDS = ["the", "a", "an", "of", "in", "for", "and", "or", "to", "with", "by", "on", "at"]
@@ -81,16 +83,41 @@ def resolve(entities: DataFrame) -> DataFrame:
     return groups.join(primary, "label").where("node <> new").select(F.col("node").alias("old"), "new")
 
 
+def _nearest(entities: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(id, cid, s): each entity's canonical one of its kind with the largest cosine (to 12 decimals; ties: the larger id).
+
+    Both sides of a kind are dealt over tiles; each pair of tiles meets once in a matrix product and passes on one row an entity.
+    """
+    kind, other = entities.schema["id"].dataType.simpleString(), canonical.schema["id"].dataType.simpleString()
+    usable = lambda x: x.where(F.col("kind").isNotNull() & (F.size("vector") > 0)).select("kind", "id", F.size("vector").alias("n"), F.col("vector").cast("array<double>").alias("v"))
+    mine, theirs = usable(entities), usable(canonical)
+    tiles = lambda x, name: x.groupBy("kind", "n").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name))
+    sizes = tiles(mine, "rows").join(tiles(theirs, "columns"), ["kind", "n"])
+
+    def dealt(x: DataFrame, own: str, across: str, i: str, j: str) -> GroupedData:
+        tile, met = F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(across) - 1))
+        # renamed by toDF, so that two sides cut from one table stay apart
+        return x.join(sizes, ["kind", "n"]).select("kind", "n", "id", "v", tile, met).toDF("kind", "n", "id", "v", i, j).groupBy("kind", "n", "i", "j")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"id": left.column("id").slice(0, 0), "cid": right.column("id").slice(0, 0), "s": np.zeros(0)})
+        right = right.sort_by([("id", "descending")])
+        s = np.round(unit_vectors(left.column("v")) @ unit_vectors(right.column("v")).T, 12)
+        at = s.argmax(1)
+        return pa.table({"id": left.column("id"), "cid": right.column("id").take(pa.array(at)), "s": s[np.arange(len(at)), at]})
+
+    met = dealt(mine, "rows", "columns", "i", "j").cogroup(dealt(theirs, "columns", "rows", "j", "i")).applyInArrow(best, f"id {kind}, cid {other}, s double")
+    return met.groupBy("id").agg(F.max(F.struct("s", "cid")).alias("m")).select("id", "m.cid", "m.s")
+
+
 def link_canonical(entities: DataFrame, canonical: DataFrame, merge: float = 0.88, review: float = 0.75) -> DataFrame:
     """(id, canonical_id, decision): exact name and kind, else the nearest vector of the kind: merge, review or new."""
-    from millrace.functions.vectors import cosine_similarity
-
     e = entities.withColumn("norm", T.normalize_label("name"))
     c = canonical.withColumn("norm", T.normalize_label("name"))
     exact = e.join(c.groupBy("norm", "kind").agg(F.min("id").alias("canonical_id")), ["norm", "kind"]).select("id", "canonical_id", F.lit("exact").alias("decision"))
     rest = e.join(exact.select("id"), "id", "left_anti")
-    scored = rest.select("id", "kind", "vector").join(c.select("kind", F.col("id").alias("cid"), F.col("vector").alias("cv")), "kind").withColumn("s", cosine_similarity("vector", "cv"))
-    best = scored.groupBy("id").agg(F.max_by("cid", F.struct("s", "cid")).alias("cid"), F.max("s").alias("s"))
+    best = _nearest(rest, c)
     linked = rest.select("id").join(best, "id", "left")
     decision = F.when(F.col("s") >= merge, "merge").when(F.col("s") >= review, "review").otherwise("new")
     return exact.union(linked.select("id", F.when(decision != "new", F.col("cid")), decision))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from millrace.operators import chunking as C
 from millrace.operators import documents as D
 from millrace.operators import extraction as X
 from millrace.operators import graph as G
+from millrace.operators import joins as J
 from millrace.operators import memory as M
 from millrace.operators import pii as P
 from millrace.operators import resolution as R
@@ -238,3 +240,74 @@ def test_stream_fold_equals_batch(spark, files, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     want = {(r.thread, r.key): (r.value, r.version) for r in E.fold_state(deltas(batch.where("event_id < 900")), "thread", "sequence", "key", "value").collect()}
     assert found == want
+
+
+VECTORS = "id long, block string, v array<double>, r double, name string, kind string, vector array<double>"
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(160):
+        v = rng.normal(size=4).tolist() if i % 4 else [1.0, 0.5, 0.0, 0.0]  # a quarter are copies
+        rows.append((i, "xy"[i % 2], [0.0] * 4 if i == 7 else v, float(i % 5), f"n{i}", "xy"[i % 2], v))
+    return rows, spark.createDataFrame(rows + [(900, "x", None, 1.0, "none", None, None)], VECTORS)
+
+
+def near(rows, most):
+    unit = {r[0]: np.array(r[2]) / max(np.linalg.norm(r[2]), 1e-300) for r in rows}
+    return {(p[0], q[0]): d for p in rows for q in rows if p[0] != q[0] and p[1] == q[1] and (d := 1 - unit[p[0]] @ unit[q[0]]) <= most}
+
+
+@pytest.mark.parametrize("tile", [13, 2000])
+def test_tiles_give_what_all_pairs_give(vectors, monkeypatch, tile):
+    monkeypatch.setattr(J, "TILE", tile)
+    monkeypatch.setattr(R, "TILE", tile)
+    rows, frame = vectors
+    pairs, r = near(rows, 0.05), {x[0]: (-x[3], x[0]) for x in rows}
+    got = {(x.a, x.b) for x in J.nearest_under(frame, "block", "id", "v", 0.05).collect()}
+    assert got == {p for p in pairs if p[0] < p[1]}
+    above = {}
+    for a, b in pairs:
+        if r[b] < r[a]:
+            above.setdefault(a, []).append(b)
+    close = J.nearest_above(frame, "block", "id", "v", "r", 0.05).collect()
+    assert {x.a: round(x.distance, 9) + 0.0 for x in close} == {a: round(min(pairs[a, b] for b in bs), 9) + 0.0 for a, bs in above.items()}
+    assert all(x.b in above[x.a] for x in close)
+    high = {x.a: x.b for x in J.nearest_above(frame, "block", "id", "v", "r", 0.05, highest=True).collect()}
+    assert high == {a: min(bs, key=r.get) for a, bs in above.items()}
+    stars = J.stars_under(frame, "block", "id", "v", 0.05).collect()
+    assert len(stars) <= 160 * (160 // tile + 2)
+    label = {a: a for p in pairs for a in p}
+    for _ in range(len(label)):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {x.id: x.cluster for x in M.topic_clusters(frame, "block", "id", "v", 0.05).collect()} == label
+
+
+@pytest.mark.parametrize("tile", [13, 2000])
+def test_canonical_links_by_tiles_are_those_of_all_pairs(spark, vectors, monkeypatch, tile):
+    monkeypatch.setattr(R, "TILE", tile)
+    rows, frame = vectors
+    canonical = spark.createDataFrame([(1000 + x[0], "c" + x[4], x[5], x[6]) for x in rows if x[0] % 5 == 0], "id long, name string, kind string, vector array<double>")
+    got = {x.id: (x.canonical_id, x.decision) for x in R.link_canonical(frame, canonical, 0.9, 0.8).collect()}
+    want = {900: (None, "new")}
+    for x in rows:
+        of = [(round(float(np.dot(x[6], y[6]) / np.linalg.norm(x[6]) / np.linalg.norm(y[6])), 12), 1000 + y[0]) for y in rows if y[0] % 5 == 0 and y[5] == x[5]]
+        s, at = max(of)
+        want[x[0]] = (at, "merge") if s >= 0.9 else (at, "review") if s >= 0.8 else (None, "new")
+    assert got == want
+
+
+def test_temporal_links_of_a_busy_key_and_ties(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("aab"), i, 1_700_000_000 + rng.choice([0, 0, 0, rng.randrange(90) * 60, rng.randrange(4000)])) for i in range(300)]
+    rows += [(None, 300, 1_700_000_000), ("a", 301, None)]
+    frame = spark.createDataFrame(rows, "k string, id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for limit in (1, 3):
+        want = set()
+        for k, i, t in rows[:300]:
+            other = sorted((abs(t - u), j) for q, j, u in rows[:300] if q == k and j != i and abs(t - u) <= 1800)
+            want |= {(i, j, round(max(0.3, 1 - g / 1800), 9)) for g, j in other[:limit]}
+        assert {(x.a, x.b, round(x.weight, 9)) for x in J.temporal_links(frame, "k", "id", "ts", 30.0, limit).collect()} == want
