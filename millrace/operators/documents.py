@@ -112,17 +112,20 @@ def _format_prose(text: str) -> str:
 def format_markdown(text: str | None) -> str:
     """Headings, lists, quotes, links, spaces and blank lines in one form; fenced code, inline code and math stay as they are."""
     kept: list[str] = []
+    mark = "\x00"
+    while mark in (text or ""):
+        mark += "\x00"
 
     def hold(m: re.Match) -> str:
         kept.append(m[0])
-        return f"\x00{len(kept) - 1}\x00" + ("\n" if m[0].endswith("\n") else "")
+        return f"{mark}{len(kept) - 1}{mark}" + ("\n" if m[0].endswith("\n") else "")
 
     held = _FENCE.sub(hold, text or "")
     held = re.sub(r"(?s)\$\$.+?\$\$|`[^`\n]+`|(?<![\w$])\$[^$\n]+\$(?![\w$])", hold, held)
     formed = _format_prose(held)
     for i in reversed(range(len(kept))):
-        mark = f"\x00{i}\x00" + ("\n" if kept[i].endswith("\n") else "")
-        formed = formed.replace(mark if mark in formed else f"\x00{i}\x00", kept[i])
+        held = f"{mark}{i}{mark}" + ("\n" if kept[i].endswith("\n") else "")
+        formed = formed.replace(held if held in formed else f"{mark}{i}{mark}", kept[i])
     return formed.strip("\n") + "\n" if formed.strip() else ""
 
 
@@ -136,11 +139,15 @@ def page_ranges(rows: DataFrame, pages: str, batch: int) -> DataFrame:
     return rows.where(F.col(pages) > 0).withColumn("start", F.explode(starts)).withColumn("end", F.least(F.col("start") + batch, F.col(pages)))
 
 
-def merge_assets(assets: DataFrame, document: str, slice_: str, name: str, sha: str, order: str) -> DataFrame:
-    """Assets with ``new_name``: of one name, those of the first one's content go, those of another content get the slice before it."""
-    by_name = W.Window.partitionBy(document, name).orderBy(slice_, order)
+def merge_assets(assets: DataFrame, document: str, slice_: str, name: str, sha: str, order: list[str]) -> DataFrame:
+    """Assets with ``new_name``: of one name, those of the first one's content go, those of another content get the slice before it.
+
+    The first is the least by slice, then ``order``, then hash, so only rows equal in all of them tie, and these are alike. Where a
+    hash is null (an unreadable file) contents can't be told to be equal: such an asset stays, renamed unless it is the first.
+    """
+    by_name = W.Window.partitionBy(document, name).orderBy(slice_, *order, F.col(sha).asc_nulls_last())
     marked = assets.withColumn("__first", F.first(sha).over(by_name)).withColumn("__n", F.row_number().over(by_name))
-    kept = marked.where((F.col("__n") == 1) | ~F.col(sha).eqNullSafe(F.col("__first")))
+    kept = marked.where((F.col("__n") == 1) | F.coalesce(F.col(sha) != F.col("__first"), F.lit(True)))
     renamed = F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(F.lit("b"), F.col(slice_).cast("string"), F.lit("_"), F.col(name)))
     return kept.withColumn("new_name", renamed).drop("__first", "__n")
 

@@ -20,17 +20,21 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folder of each table that ``materialize`` wrote.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
+#: Temporary folder of each application that runs in one process and has no ``spark.checkpoint.dir``.
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else (unset, as in tests) a local one is set."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset and all runs in one process, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return _OWN[app]
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -127,8 +127,8 @@ def page_slices(spark, sf):
 
 
 def merged_assets(spark, sf):
-    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 10).alias("doc"), F.col("l_linenumber").alias("slice"), F.concat(F.lit("img"), F.col("l_partkey") % 50).alias("name"), F.md5((F.col("l_suppkey") % 4).cast("string")).alias("sha"), F.col("l_orderkey").alias("seq"))
-    return D.merge_assets(li, "doc", "slice", "name", "sha", "seq").groupBy("doc", "slice", "new_name").agg(F.count(F.lit(1)).alias("n"))
+    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 10).alias("doc"), F.col("l_linenumber").alias("slice"), F.concat(F.lit("img"), F.col("l_partkey") % 50).alias("name"), F.md5((F.col("l_suppkey") % 4).cast("string")).alias("sha"), "l_orderkey", "l_partkey", "l_suppkey")
+    return D.merge_assets(li, "doc", "slice", "name", "sha", ["l_orderkey", "l_partkey", "l_suppkey"]).groupBy("doc", "slice", "new_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def feed_records(spark, sf):
@@ -201,7 +201,7 @@ SQL = {
         c AS (SELECT *, len(list_filter(l, lambda x: regexp_matches(x, '^\s*\d+\s*:\s+\S'))) AS numbered, len(list_filter(l, lambda x: regexp_matches(x, '{_KEYWORDS}'))) AS keywords, len(l) AS n, list_sum(list_transform(l, lambda x: length(x))) / nullif(len(l), 0) AS mean FROM s)
         SELECT doc_id, CAST(CASE WHEN n = 0 OR regexp_matches(t, '(?m)^\|[\s-]+\|') THEN 0 ELSE titled::INT * 5 + headed::INT * 3 + least(numbered, 5) + least(keywords, 5) + (special >= 2)::INT * 2 - (mean > 120)::INT * 3 - (n < 3 AND NOT titled)::INT * 2 - (NOT (titled OR headed OR numbered >= 2 OR special >= 2))::INT * 4 END AS INTEGER) AS score FROM c""",
     "page_slices": "SELECT p_partkey, p_size, CAST(s AS INTEGER) AS start, CAST(least(s + 8, p_size) AS INTEGER) AS \"end\" FROM (SELECT p_partkey, p_size, unnest(range(0, p_size, 8)) AS s FROM part)",
-    "merged_assets": "WITH a AS (SELECT l_orderkey % 10 AS doc, l_linenumber AS slice, 'img' || l_partkey % 50 AS name, md5(CAST(l_suppkey % 4 AS VARCHAR)) AS sha, l_orderkey AS seq FROM lineitem), m AS (SELECT *, first_value(sha) OVER w AS f, row_number() OVER w AS n FROM a WINDOW w AS (PARTITION BY doc, name ORDER BY slice, seq)) SELECT doc, slice, CASE WHEN n = 1 THEN name ELSE 'b' || slice || '_' || name END AS new_name, count(*) AS n FROM m WHERE n = 1 OR sha <> f GROUP BY ALL",
+    "merged_assets": "WITH a AS (SELECT l_orderkey % 10 AS doc, l_linenumber AS slice, 'img' || l_partkey % 50 AS name, md5(CAST(l_suppkey % 4 AS VARCHAR)) AS sha, l_orderkey, l_partkey, l_suppkey FROM lineitem), m AS (SELECT *, first_value(sha) OVER w AS f, row_number() OVER w AS n FROM a WINDOW w AS (PARTITION BY doc, name ORDER BY slice, l_orderkey, l_partkey, l_suppkey)) SELECT doc, slice, CASE WHEN n = 1 THEN name ELSE 'b' || slice || '_' || name END AS new_name, count(*) AS n FROM m WHERE n = 1 OR sha <> f GROUP BY ALL",
     "feed_records": "SELECT doc_id, doc_id || 'v1' AS id, 'A title' AS title, 'Ann' AS authors, 'http://p/' || doc_id AS pdf_url, CASE WHEN doc_id % 3 = 0 THEN '2024-01-05T00:00:00Z' ELSE 'soon' END AS published FROM documents WHERE doc_id % 3 <> 1",
     "selected_elements": "SELECT page_id, 'Head ' || page_id AS title, 'One|Two link' AS paragraphs, '/l' AS links FROM pages",
     "page_formulas": "SELECT page_id, 'a^2' AS latex, true AS display, 'script' AS origin FROM pages UNION ALL SELECT page_id, 'x+' || page_id, false, 'text' FROM pages",
