@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, decontaminate, langid, lines, mixing, passages, repeats, secrets, sharding, simhash
+from millrace.llm import ann, decontaminate, filter_audit, langid, lines, mixing, passages, repeats, secrets, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,11 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(_documents(spark, sf_dir), MIX_WEIGHTS).select("doc_id", "source", "copies", "copy_no", "mix_key", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_passages, op4_decontaminate, op5_lpt_shards, op6_line_dedup, op7_simhash, op8_language, op9_secrets, op10_poisson_mix)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_passages, op4_decontaminate, op5_lpt_shards, op6_line_dedup, op7_simhash, op8_language, op9_secrets, op10_poisson_mix, op13_filter_audit)}
 
 SQL: dict[str, str] = {
     "op10_poisson_mix": """
@@ -94,5 +98,21 @@ counted AS (SELECT d.doc_id, d.source, d.text, count(*) FILTER (WHERE c.c <= d.u
 SELECT doc_id, source, CAST(copies AS INTEGER) AS copies, CAST(copy_no AS INTEGER) AS copy_no,
        CAST('0x' || substr(md5('order-17#' || coalesce(CAST(doc_id AS VARCHAR), '~') || '#' || CAST(copy_no AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS mix_key, text
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy_no FROM counted)
+""",
+    "op13_filter_audit": r"""
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+told AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+fails AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * list_unique(w) < 50 * len(w) THEN 'B' ELSE '' END
+       || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+       || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS mask FROM words d LEFT JOIN told USING (doc_id)),
+masks AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || d.c || e.c || f.c AS filter_order FROM letters a, letters b, letters d, letters e, letters f WHERE len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS c FROM orders, range(1, 6) s(step)),
+cells AS (SELECT m.*, filter_order, step, c, contains(mask, c) AS failing, length(translate(filter_order[1:step - 1], mask, '')) < step - 1 AS gone FROM masks m, steps),
+counted AS (SELECT part, filter_order, step, c, sum(n) FILTER (WHERE NOT gone AND NOT failing) AS kept, sum(n) FILTER (WHERE failing AND NOT gone) AS removed, sum(n) FILTER (WHERE failing AND gone) AS redundant,
+       sum(n) FILTER (WHERE mask = c) AS unique_fails, sum(good) FILTER (WHERE failing AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE failing AND NOT gone) AS toxic_lost FROM cells GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM counted
 """,
 }
