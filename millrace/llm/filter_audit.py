@@ -78,7 +78,7 @@ def failures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep:
     return found.select(*[F.col(n).alias(name) for n, name in zip(kept, keep or {}, strict=True)], mask.alias("mask"))
 
 
-def _partial(batches: Iterator[pa.RecordBatch], names: str, marks: int) -> Iterator[pa.RecordBatch]:
+def _partial(batches: Iterator[pa.RecordBatch], names: str, marks: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, mask, label) to (part, cell, n): a task's counts by part. The label has a bit for each of ``marks`` marks.
 
     Cells: the number of documents; then for each filter those failing it, and failing it only; then for each of none and the
@@ -102,7 +102,7 @@ def _partial(batches: Iterator[pa.RecordBatch], names: str, marks: int) -> Itera
         coded = batch.column(0).dictionary_encode()
         part, mask, label = coded.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for p, name in enumerate(coded.dictionary.to_pylist()):
-            if len(held) >= PARTS and name not in held:
+            if len(held) >= parts and name not in held:
                 yield send()
             mine = part == p
             count = np.bincount(mask[mine] << marks | label[mine], minlength=1 << (k + marks)).reshape(1 << k, 1 << marks)
@@ -150,10 +150,10 @@ def interactions(rows: DataFrame, mask: str, part: str, names: str = "ABCDE", ma
     parts' sizes, and send out at most a few thousand counts a part.
     """
     marks = marks or {}
-    listed = list(marks)
+    listed, parts = list(marks), PARTS
     label = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(marks.values())), F.lit(0))
     source = rows.select(F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.col(mask).cast("int").alias("mask"), label.cast("int").alias("label"))
-    counts = source.mapInArrow(lambda it: _partial(it, names, len(listed)), "part string, cell int, n long").groupBy("part", "cell").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(lambda it: _partial(it, names, len(listed), parts), "part string, cell int, n long").groupBy("part", "cell").agg(F.sum("n").alias("n"))
     by_part = counts.groupBy("part").agg(F.collect_list(F.struct("cell", "n")).alias("c"))  # as many as the audit has counts
     lost = "".join(f", `{m}` long" for m in listed)
     schema = f"part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long{lost}, shapley long"
