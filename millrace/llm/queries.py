@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, conversations, decontaminate, filter_audit, langid, lines, mixing, passages, repeats, secrets, sharding, simhash
+from millrace.llm import ann, conversations, decontaminate, filter_audit, jaccard_join, langid, lines, mixing, passages, repeats, secrets, sharding, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(_documents(spark, sf_dir), MIX_WEIGHTS).select("doc_id", "source", "copies", "copy_no", "mix_key", "text")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(_documents(spark, sf_dir), width=4, percent=85)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversations.repair_reports(conversations.damage(given), ids=given)
@@ -89,7 +93,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_passages, op4_decontaminate, op5_lpt_shards, op6_line_dedup, op7_simhash, op8_language, op9_secrets, op10_poisson_mix, op12_conversation_repair, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_nearest, op3_passages, op4_decontaminate, op5_lpt_shards, op6_line_dedup, op7_simhash, op8_language, op9_secrets, op10_poisson_mix, op11_jaccard_join, op12_conversation_repair, op13_filter_audit)}
 
 SQL: dict[str, str] = {
     "op10_poisson_mix": """
