@@ -46,6 +46,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table of a query's own; it goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -15,7 +13,7 @@ from millrace.operators import joins as J
 from millrace.operators import memory as M
 from millrace.operators import pii as P
 from millrace.operators import web as H
-from millrace.plans.materialize import shared_dir
+from millrace.plans.materialize import shared_path
 from millrace.sources import tables as S
 from millrace.sources.tables import table
 
@@ -44,7 +42,7 @@ def written_batches(spark, sf):
 
 
 def jsonl_documents(spark, sf):
-    path = f"{shared_dir(spark)}/millrace/jsonl-{uuid.uuid4().hex}"
+    path = shared_path(spark, "jsonl")
     _docs(spark, sf).write.json(path)
     return S.read_jsonl(spark, path, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "lang", "n_chars", F.md5("text").alias("digest"))
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors as V
+from millrace.operators import fulltext as I
 from millrace.operators import search as S
+from millrace.plans.materialize import shared_path
 from millrace.sources.tables import table
 
 TERMS = ["the", "and"]
@@ -72,11 +74,41 @@ def rrf_many_lists(spark, sf):
     return _round(S.fuse_rrf(lists, 15, cap=1.0))
 
 
+#: Stored indexes of this process by application, tables and analyzer: the queries below share them.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str, analyzer: str) -> str:
+    key = (spark.sparkContext.applicationId, sf, analyzer)
+    if key not in _INDEXES:
+        path = shared_path(spark, f"index-{analyzer}")
+        I.write_index(_docs(spark, sf), path, analyzer=analyzer)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 def bm25_topk(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _round(S.top_per_query(_round(I.bm25(spark, _index(spark, sf, "plain"), asked), "score"), 5)).select("query_id", "id", "score", "rank")
+
+
+def bm25_scan_topk(spark, sf):
+    asked = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat_ws(" ", F.lit("ing tion"), F.lower("n_name"), F.lit("ea ea")).alias("query"))
     return _round(S.top_per_query(_round(S.bm25(_docs(spark, sf), asked), "score"), 5)).select("query_id", "id", "score", "rank")
 
 
+def fulltext_topk(spark, sf):
+    return _round(I.keyword_topk(spark, _index(spark, sf, "english"), "The haing, and the EA", 20))
+
+
+def fulltext_by_source(spark, sf):
+    return _round(I.keyword_topk(spark, _index(spark, sf, "english"), "ea haed reing", 20, sources=["src0", "src3"]))
+
+
+def fulltext_vocabulary(spark, sf):
+    return I.vocabulary(spark, _index(spark, sf, "plain"))
+
+
 def minmax_rerank(spark, sf):
     return _round(S.rerank_minmax(S.vector_topk(_items(spark, sf), _query(spark, sf), 50), 0.2, 10))
 
@@ -122,7 +154,21 @@ def federated_search(spark, sf):
     return _round(S.federated_fusion(seeds, graph, 20))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_many, cosine_columns, keyword_topk, hybrid_linear, rrf_search, rrf_many_lists, bm25_topk, minmax_rerank, intent_rerank, weight_rerank, prf_expansion, hierarchical_lift, recall_ladder, multi_corpus_citations, federated_search)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_many, cosine_columns, keyword_topk, hybrid_linear, rrf_search, rrf_many_lists, bm25_topk, bm25_scan_topk, fulltext_topk, fulltext_by_source, fulltext_vocabulary, minmax_rerank, intent_rerank, weight_rerank, prf_expansion, hierarchical_lift, recall_ladder, multi_corpus_citations, federated_search)}
+
+_BM25 = """WITH docs AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM docs),
+        q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM (QUERIES)) GROUP BY ALL),
+        p AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM docs) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        s AS (SELECT query_id, id, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 6) AS score FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY query_id, id)
+        SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5"""
+#: Words of a lexeme are told by their endings; the shortest spans are found from the last place of each term.
+_COVERS = r"""WITH w AS (SELECT doc_id AS id, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents WHERE_SOURCE)),
+        l AS (SELECT id, pos, CASE WHEN regexp_full_match(word, 'ha(ed|edly|ing|ingly)?') THEN 'ha' WHEN regexp_full_match(word, 'ea(ed|edly|ing|ingly)?') THEN 'ea' WHEN regexp_full_match(word, 're(ing|ingly)?') THEN 're' END AS lexeme FROM w),
+        o AS (SELECT id, pos, lexeme, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM l WHERE lexeme IN (TERMS)),
+        t AS (SELECT unnest([TERMS]) AS term), e AS (SELECT o.id, o.pos, o.r, max(p.pos) AS last, max(p.r) AS last_r FROM o, t, o p WHERE p.id = o.id AND p.pos <= o.pos AND p.lexeme = t.term GROUP BY o.id, o.pos, o.r, t.term),
+        s AS (SELECT id, pos, r, min(last) AS start, min(last_r) AS start_r FROM e GROUP BY id, pos, r HAVING count(*) = len([TERMS])),
+        m AS (SELECT *, lag(start) OVER (PARTITION BY id ORDER BY pos) AS before FROM s), c AS (SELECT id, pos - start - (r - start_r) AS noise FROM m WHERE before IS NULL OR start > before)
+        SELECT id, round(sum(0.1::DOUBLE / (1 + noise)), 6) AS score FROM c GROUP BY id ORDER BY sum(0.1::DOUBLE / (1 + noise)) DESC, id LIMIT 20"""
 
 SQL = {
     "vector_topk": f"WITH {SEM} SELECT id, round(score, 6) AS score FROM sem_all ORDER BY sem_all.score DESC, id LIMIT 20",
@@ -139,11 +185,11 @@ SQL = {
         f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (FROM s UNION ALL FROM k) GROUP BY id ORDER BY score DESC, id LIMIT 10) SELECT f.id, round(f.score, 6) AS score, lang FROM f JOIN documents ON doc_id = f.id""",
     "rrf_many_lists": f"""WITH {SEM}, s AS (SELECT id, score, label % 3 AS g FROM sem_all JOIN embeddings ON vec_id = id), r AS (SELECT id, row_number() OVER (PARTITION BY g ORDER BY score DESC, id) AS rank FROM s UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM s)
         SELECT id, round(least(1.0::DOUBLE, sum(1.0::DOUBLE / (60 + rank))), 6) AS score FROM r WHERE rank <= 30 GROUP BY id ORDER BY least(1.0::DOUBLE, sum(1.0::DOUBLE / (60 + rank))) DESC, id LIMIT 15""",
-    "bm25_topk": """WITH docs AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM docs),
-        q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
-        p AS (SELECT id, l, term, count(*) AS tf FROM (SELECT id, len(t) AS l, unnest(t) AS term FROM docs) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-        s AS (SELECT query_id, id, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean))), 6) AS score FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY query_id, id)
-        SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
+    "bm25_topk": _BM25.replace("QUERIES", "SELECT item_id AS query_id, text AS query FROM benchmark"),
+    "bm25_scan_topk": _BM25.replace("QUERIES", "SELECT n_nationkey AS query_id, 'ing tion ' || lower(n_name) || ' ea ea' AS query FROM nation"),
+    "fulltext_topk": _COVERS.replace("TERMS", "'ha', 'ea'").replace("WHERE_SOURCE", ""),
+    "fulltext_by_source": _COVERS.replace("TERMS", "'ha', 'ea', 're'").replace("WHERE_SOURCE", "WHERE source IN ('src0', 'src3')"),
+    "fulltext_vocabulary": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS lexeme FROM documents) SELECT lexeme, count(DISTINCT doc_id) AS documents, count(*) AS places FROM w GROUP BY lexeme",
     "minmax_rerank": f"""WITH {SEM}, k AS (SELECT * FROM (SELECT * FROM sem_all ORDER BY score DESC, id LIMIT 50) WHERE score >= 0.2), b AS (SELECT min(score) AS lo, max(score) AS hi FROM k)
         SELECT id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE score END, 6) AS score FROM k, b ORDER BY k.score DESC, id LIMIT 10""",
     "intent_rerank": f"""WITH {SEM}, k AS (SELECT * FROM sem_all ORDER BY score DESC, id LIMIT 50), t AS (SELECT id, score, CASE label % 3 WHEN 0 THEN 'episodic' WHEN 1 THEN 'semantic' ELSE 'fact' END AS memory_type FROM k JOIN embeddings ON vec_id = id)
