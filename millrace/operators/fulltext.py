@@ -6,18 +6,26 @@ of its lexemes only: partitions prune, and inside a bucket postings are sorted b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from millrace.functions.stemming import STOP_WORDS, with_stems
-from millrace.plans.materialize import broadcast_if_small, materialize
+from millrace.plans.materialize import broadcast_if_small, materialize, spread
 from millrace.sources import versioned
 
 #: Partitions of a source's postings by their lexeme's hash.
-BUCKETS = 16
+BUCKETS = 8
 #: Words of letters and digits without stemming (BM25), or stemmed English without stop words (cover density).
 PATTERNS = {"plain": "[a-z0-9]+", "english": r"[\p{L}\p{N}]+"}
+#: Distinct words up to which their stems are broadcast; beyond it postings are shuffled to them.
+WORDS = 500_000
+#: Words that a task puts in order at once.
+SLICE = 1 << 20
 #: Weight of a lexeme of the plain text in a cover's score.
 WEIGHT = 0.1
 
@@ -36,25 +44,42 @@ def _stemmed(rows: DataFrame, analyzer: str) -> DataFrame:
         return rows.withColumnRenamed("word", "lexeme")
     rows = rows.where(~F.col("word").isin(STOP_WORDS))
     stems = materialize(with_stems(rows.select("word").distinct(), "word", "lexeme"))
-    return rows.join(broadcast_if_small(stems), "word").drop("word")
+    return rows.join(broadcast_if_small(stems, limit=WORDS), "word").drop("word")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (source, id, words) to (source, id, len, word, positions): a document's places by word, and its mark, the word ``""``; some SLICE words at once."""
+    for batch in batches:
+        n = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // SLICE, prepend=0)).tolist()
+        for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            part = batch.slice(low, high - low)
+            count = n[low:high]
+            coded = part.column(2).flatten().dictionary_encode()
+            row, word = np.repeat(np.arange(len(count)), count), coded.indices.to_numpy()
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + 1
+            order = np.lexsort((at, word, row))
+            row, word, at = row[order], word[order], at[order]
+            start = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (word[1:] != word[:-1])]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(at.astype(np.int32)))
+            owner = pa.array(np.append(row[start], np.arange(len(count))))
+            words = pa.concat_arrays([coded.dictionary.take(pa.array(word[start])), pa.array([""] * len(count), pa.string())])
+            lists = pa.concat_arrays([lists, pa.array([[]] * len(count), pa.list_(pa.int32()))])
+            out = [part.column(0).take(owner), part.column(1).take(owner), pa.array(count.astype(np.int32)).take(owner), words, lists]
+            yield pa.RecordBatch.from_arrays(out, names=["source", "id", "len", "word", "positions"])
 
 
 def postings(docs: DataFrame, id_col: str, text: str, source: str, analyzer: str = "english") -> DataFrame:
     """(source, id, lexeme, bucket, tf, positions, len): where each lexeme stands in each document, counted in words from 1.
 
-    ``len`` is the document's number of words. A document without any word has one row with the lexeme ``""``, so that statistics
-    count it. Documents of one source are told apart by their id, which must be unique there.
+    ``len`` is the document's number of words. Each document has a row with the lexeme ``""`` besides, so that statistics count it
+    though it have no words. A document has a row for each of its words, so several with one lexeme if these words share it.
+    Documents of one source are told apart by their id, which must be unique there.
     """
-    docs = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("-")).alias("source"), F.col(id_col).alias("id"), _words(text, analyzer).alias("words"))
-    docs = docs.withColumn("len", F.size("words"))
-    places = docs.select("source", "id", "len", F.posexplode("words").alias("at", "word"))
-    places = places.groupBy("source", "id", "len", "word").agg(F.collect_list(F.col("at") + 1).alias("at"))
-    if analyzer == "plain":
-        found = places.select("source", "id", "len", F.col("word").alias("lexeme"), F.array_sort("at").alias("positions"))
-    else:  # several words may share a lexeme
-        found = _stemmed(materialize(places), analyzer).groupBy("source", "id", "len", "lexeme").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
-    marks = docs.select("source", "id", "len", F.lit("").alias("lexeme"), F.expr("cast(array() as array<int>)").alias("positions"))
-    return found.unionByName(marks).select("source", "id", "lexeme", bucket("lexeme").alias("bucket"), F.size("positions").alias("tf"), "positions", "len")
+    docs = spread(docs).select(F.coalesce(F.col(source).cast("string"), F.lit("-")).alias("source"), F.col(id_col).alias("id"), _words(text, analyzer).alias("words"))
+    places = docs.mapInArrow(_places, f"source string, id {docs.schema['id'].dataType.simpleString()}, len int, word string, positions array<int>")
+    found = _stemmed(places if analyzer == "plain" else materialize(places), analyzer).select("source", "id", "len", "lexeme", "positions")
+    return found.select("source", "id", "lexeme", bucket("lexeme").alias("bucket"), F.size("positions").alias("tf"), "positions", "len")
 
 
 def write_index(docs: DataFrame, path: str, id_col: str = "id", text: str = "content", source: str = "source", analyzer: str = "english") -> tuple[int, int, int]:
@@ -87,7 +112,7 @@ def matches(spark: SparkSession, path: str, query: str, sources: list[str] | Non
     buckets = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket("t")).collect()})
     found = versioned.read(spark, path).where(F.col("bucket").isin(buckets) & F.col("lexeme").isin(terms))
     found = found.where(F.col("source").isin(sources)) if sources is not None else found
-    whole = found.groupBy("source", "id").agg(F.count(F.lit(1)).alias("terms"), F.collect_list(F.struct("lexeme", "positions")).alias("held")).where(F.col("terms") == len(terms))
+    whole = found.groupBy("source", "id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("held")).where(F.size(F.array_distinct(F.col("held.lexeme"))) == len(terms))
     places = whole.select("source", "id", F.explode("held").alias("h")).select("source", "id", F.explode("h.positions").alias("at"), F.col("h.lexeme").alias("lexeme"))
     return places, terms
 
@@ -146,5 +171,5 @@ def bm25(spark: SparkSession, path: str, queries: DataFrame, k1: float = 1.5, b:
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(lexeme, documents, places) of the whole index."""
+    """(lexeme, documents, places) of a whole ``plain`` index."""
     return versioned.read(spark, path).where("lexeme <> ''").groupBy("lexeme").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("places"))

@@ -91,3 +91,9 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it comes in fewer parts (a few small files); large inputs stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

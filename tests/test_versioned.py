@@ -57,11 +57,11 @@ def test_two_writers_at_once(spark, path, monkeypatch):
     V.replace(rows(spark, "a", [1]), path, "src")
     create, raced = V._create, []
 
-    def late(spark_, path_, number, name):
+    def late(spark_, path_, number, name, schema):
         if not raced:  # another writer publishes between this one's base and its commit
             raced.append(1)
             V.replace(rows(spark, "b", [2]), path, "src")
-        return create(spark_, path_, number, name)
+        return create(spark_, path_, number, name, schema)
 
     monkeypatch.setattr(V, "_create", late)
     assert V.replace(rows(spark, "a", [3]), path, "src")[0] == 3
