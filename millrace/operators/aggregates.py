@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from millrace.functions.columns import ratio
+from millrace.functions.columns import lookup, ratio
 from millrace.functions.scoring import feedback_weight, freshness
 
 
@@ -196,3 +196,38 @@ def build_health(runs: DataFrame, by: str, now: Column, days: int = 30) -> DataF
 def extraction_density(chunks: DataFrame, by: str, entities: Column, length: Column, share: float = 0.95) -> DataFrame:
     """Counters of a build, and entities for each 1000 characters of a chunk at the quantile ``share``."""
     return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.sum(entities).alias("entities"), F.percentile(entities / F.nullif(length, F.lit(0)) * 1000, F.lit(share)).alias("density_p95"))
+
+
+#: Entity types by rank, and the shares at which a type contests the main one or, if of higher rank, replaces it.
+TYPE_RANK = {"person": 10, "organization": 9, "location": 8, "event": 7, "product": 6, "concept": 5, "document": 4, "other": 1}
+CONTEST_SHARE, UPGRADE_SHARE, STOPWORD_SHARE = 0.30, 0.15, 0.5
+
+
+def canonical_aggregates(mentions: DataFrame, corpora: int, last_aliases: int = 32) -> DataFrame:
+    """One row for each ``canonical`` entity of the mentions (canonical, corpus, name, type, n, vector, seq, review), in one pass each.
+
+    ``corpus_count`` and ``total`` (sum of ``n``, null: 1); ``types``, mentions by lower-cased type (null: other); ``main_type``, that
+    of the first mention by ``seq``, unless a type of higher rank holds UPGRADE_SHARE; ``under_review``, if another type than the
+    first holds CONTEST_SHARE (then nothing is replaced); ``aliases``, the last ``last_aliases`` mentions in order; ``centroid``, the
+    unit vector of the mean over vectors of the entity's commonest length; ``stopword_like``, in STOPWORD_SHARE of all ``corpora``
+    or more, if there are four at least. Everything is a sum, a count or a bounded list, so partial results merge in any order.
+    """
+    rows = mentions.withColumn("type", F.lower(F.coalesce("type", F.lit("other")))).withColumn("n", F.coalesce(F.col("n"), F.lit(1)))
+    by_type = rows.groupBy("canonical", "type").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("n"), F.min(F.struct("seq", "type")).alias("first"))
+    rank = lookup(F.col("type"), TYPE_RANK, 0.0)
+    types = by_type.groupBy("canonical").agg(F.sort_array(F.collect_list(F.struct("type", "held"))).alias("types"), F.sum("held").alias("held"), F.sum("n").alias("total"), F.min("first").alias("first"), F.max(F.struct(rank.alias("rank"), "held", F.col("type").alias("type"))).alias("top"))
+    first = F.col("first.type")
+    contested = F.exists("types", lambda t: (t["type"] != first) & (t["held"] >= F.col("held") * CONTEST_SHARE))
+    higher = (F.col("top.rank") > lookup(first, TYPE_RANK, 0.0)) & (F.col("top.held") >= F.col("held") * UPGRADE_SHARE)
+    types = types.select("canonical", "total", "types", F.when(~contested & higher, F.col("top.type")).otherwise(first).alias("main_type"), contested.alias("under_review"))
+    wide = rows.groupBy("canonical", "corpus").agg(F.lit(1).alias("one")).groupBy("canonical").agg(F.count("corpus").alias("corpus_count"))
+    latest = W.Window.partitionBy("canonical").orderBy(F.desc("seq"), F.desc("name"))
+    alias = F.struct("seq", "name", "corpus", F.when(F.col("review"), 0.7).otherwise(1.0).alias("score"))
+    aliases = rows.withColumn("__r", F.row_number().over(latest)).where(F.col("__r") <= last_aliases).groupBy("canonical").agg(F.sort_array(F.collect_list(alias)).alias("aliases"))
+    sums = rows.where(F.size("vector") > 0).select("canonical", F.size("vector").alias("d"), F.posexplode("vector").alias("i", "x")).groupBy("canonical", "d", "i").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    vectors = sums.groupBy("canonical", "d").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("sum"), F.max("rows").alias("rows"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    vectors = vectors.groupBy("canonical").agg(F.max_by(F.struct("sum", "norm"), F.struct("rows", "d")).alias("v"))
+    centroid = F.transform("v.sum", lambda e: F.when(F.col("v.norm") > 0, e["x"] / F.col("v.norm")).otherwise(e["x"]))
+    out = types.join(wide, "canonical").join(aliases, "canonical").join(vectors.select("canonical", centroid.alias("centroid")), "canonical", "left")
+    common = F.lit(corpora >= 4) & (F.col("corpus_count") >= corpora * STOPWORD_SHARE)
+    return out.withColumn("stopword_like", common)

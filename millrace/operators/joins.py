@@ -211,3 +211,53 @@ def with_profiles(items: DataFrame, user: str, profiles: DataFrame, profile_user
     names = profiles.select(F.col(profile_user).alias("__user"), F.get_json_object(state, path).alias("__name"))
     joined = items.join(names, F.col(user) == F.col("__user"), "left")
     return joined.withColumn("author", F.coalesce(F.nullif("__name", F.lit("")), F.col(user).cast("string"))).drop("__user", "__name")
+
+
+def dyadic_cover(start: Column, end: Column, bits: int) -> Column:
+    """Array of (level, node): the fewest aligned blocks of 2 ** level units that make up the units from ``start`` to ``end``, exclusive.
+
+    At each level at most two blocks are needed, one at either end, so an interval of any length has some 2 * ``bits`` at most.
+    """
+
+    def blocks(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        low, high = F.call_function("shiftright", start + size - 1, level), F.call_function("shiftright", end, level)
+        block = lambda node: F.struct(level.alias("level"), node.alias("node"))
+        left = F.when((low < high) & (low % 2 != 0), block(low))
+        right = F.when((low < high) & (high % 2 != 0), block(high - 1))
+        return F.filter(F.array(left, right), lambda b: b.isNotNull())
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), blocks))
+
+
+def _points_within(points: DataFrame, intervals: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """Pairs (p, i) of points (p, t, keys) and intervals (i, low, high, keys) with low <= t < high, each once: equal blocks meet."""
+    covered = intervals.select("i", *keys, F.explode(dyadic_cover(F.col("low"), F.col("high"), bits)).alias("b")).select("i", *keys, "b.*")
+    level = F.explode(F.sequence(F.lit(0), F.lit(bits)))
+    blocks = points.select("p", "t", *keys, level.alias("level")).select("p", *keys, "level", F.expr("shiftright(t, level)").alias("node"))
+    return blocks.join(covered, [*keys, "level", "node"]).select("p", "i")
+
+
+def overlapping(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str], start: str = "start", end: str = "end", unit: int = 1) -> DataFrame:
+    """(a, b): ids of the intervals of ``left`` and ``right`` that overlap and have equal ``keys``; ends are exclusive.
+
+    Times are integers in the same scale on both sides; ``unit`` is the finest step that tells them apart (all are multiples of it).
+    Two intervals overlap if one holds the other's start, so it is an equi-join on blocks of time: an interval is cut into aligned
+    blocks of lengths 2 ** n, a start lies in one block of each length, and they meet in exactly one. Intervals of any lengths
+    go together; long ones meet in coarse blocks, so no short interval is copied for their sake. A null end is open, a null start
+    or an empty interval overlaps nothing, null keys are equal to none.
+    """
+    side = lambda d, i: d.select(F.col(i).alias("i"), *keys, F.floor(F.col(start) / unit).alias("low"), F.floor(F.coalesce(F.col(end), F.lit((1 << 62) - 1)) / unit).alias("high")).where("low < high")
+    a, b = side(left, left_id), side(right, right_id)
+    bounds = a.select("low", "high").union(b.select("low", "high")).agg(F.min("low").alias("x"), F.max("low").alias("y")).first()
+    if bounds["x"] is None:
+        return a.select(F.col("i").alias("a")).crossJoin(b.select(F.col("i").alias("b")).limit(0)).limit(0)
+    first, span = bounds["x"], bounds["y"] - bounds["x"] + 1  # what lies behind the last start meets nothing
+    bits = max(1, span.bit_length())
+    moved = lambda d: d.select("i", *keys, (F.col("low") - first).alias("low"), F.least(F.col("high") - first, F.lit(span)).alias("high"))
+    a, b = moved(a), moved(b)
+    starts = lambda d: d.select(F.col("i").alias("p"), *keys, F.col("low").alias("t"))
+    later = _points_within(starts(b), a, keys, bits).select(F.col("i").alias("a"), F.col("p").alias("b"))
+    before = b.withColumn("low", F.col("low") + 1)  # equal starts are told once
+    earlier = _points_within(starts(a), before, keys, bits).select(F.col("p").alias("a"), F.col("i").alias("b"))
+    return later.union(earlier)

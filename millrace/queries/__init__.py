@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("search", "relational", "graph", "text", "memory", "lifecycle", "lineage", "storage")
+MODULES: tuple[str, ...] = ("search", "relational", "graph", "text", "memory", "lifecycle", "lineage", "storage", "intervals")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
