@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import keeping
 from millrace.llm.textbatch import pieces
 from millrace.plans.materialize import materialize
 
@@ -287,6 +288,7 @@ def _verified(whole: float, question: float, answer: float, similarity: float) -
 FOUND = ("item_id", "score", "overlap", "question_overlap", "answer_overlap", "n_passages")
 
 
+@keeping(*FOUND)
 def contaminated_pairs(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, similarity: float = 0.8, prefix: str = "") -> DataFrame:
     """One row for each row of ``docs`` and row of ``items`` verified in it: ``keep``, ``item_id``, ``score``, overlaps, ``n_passages``.
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from millrace.llm.columns import keeping
 from millrace.llm.hotkeys import left_join
 from millrace.llm.simhash import _first_rows, shingle_hashes
 from millrace.llm.textbatch import pieces
@@ -246,6 +247,7 @@ def _lengths(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([first_prefix(s, percent) for s in n], pa.int32()), pa.array([second_prefix(s, percent) for s in n], pa.int32())], names=["n", "whole", "take"])
 
 
+@keeping("n_shingles", "component_id")
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns (``doc_id`` by default) with ``n_shingles`` (size of the set) and ``component_id`` (smallest id reachable).
 

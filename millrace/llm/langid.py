@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import keeping
 from millrace.llm.textbatch import pieces
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -168,6 +169,7 @@ def _decide(model: LangModel, texts: list[str | None]) -> tuple[list[str], np.nd
     return langs, score
 
 
+@keeping("lang_pred", "score")
 def identify(docs: DataFrame, model: LangModel, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (0 to 1: the share of the decided language among all n-grams found).
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import keeping
 from millrace.plans.materialize import broadcast_if_small, materialize
 
 #: Parts a block is divided into, and the characters of a block that is not divided further.
@@ -94,6 +95,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("line", "other", 1).between(0, 1)).select(*KEY).distinct()
 
 
+@keeping("n_lines", "n_removed", "kept_text")
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = 20, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns with ``n_lines``, ``n_removed`` and ``kept_text``: the text without lines that repeat an earlier one.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from millrace.llm.columns import keeping
 from millrace.plans.materialize import broadcast_if_small, materialize, shuffle_parts
 
 #: The hash gives 13 hexadecimal digits, 52 bits, of which a double holds all.
@@ -65,6 +66,7 @@ def source_rates(docs: DataFrame, source: str, size: Column, weights: dict[str,
     return sizes.crossJoin(F.broadcast(total)).select("source", "bytes", rate.alias("rate"))  # one row of totals
 
 
+@keeping("copies", "copy_no", "mix_key", all_columns=True)
 def replicate(
     docs: DataFrame,
     weights: dict[str, float] | None = None,

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import keeping
 from millrace.plans.materialize import materialize, shuffle_parts
 
 #: Bytes of an anchor; bytes of text that are hashed at once (their positions take POS_BITS).
@@ -298,6 +299,7 @@ def _cut(batches: Iterator[pa.RecordBatch], whole_from: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
+@keeping("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``removed`` (structs start, end in bytes).
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import keeping
 from millrace.plans.materialize import materialize
 
 #: Fixed patterns: kind, what is matched, and the least characters of the whole match or of the value in group 2.
@@ -82,6 +83,7 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
     return uses.groupBy("value_hash").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"), F.sum("n").alias("n_uses"))
 
 
+@keeping("secret_spans")
 def scan(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", keep: list[str] | None = None, copied_owners: int = 3, prefix: str = "") -> DataFrame:
     """``keep`` columns with ``secret_spans``: structs (kind, start, end, value_hash, n_owners, n_repositories, live, base).
 

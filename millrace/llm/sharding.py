@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from millrace.llm.columns import keeping
 from millrace.plans.materialize import broadcast_if_small, free, materialize
 
 #: Groups of one size that are numbered in one task.
@@ -126,6 +127,7 @@ def shard(docs: DataFrame, shards: int, group: Column, size: Column, keep: list[
     return out.select(*keep, F.col("__shard").alias(names["shard"]), (F.col("__start") + F.col("__place")).cast("long").alias(names["slot"]))
 
 
+@keeping("shard", "slot")
 def shard_texts(docs: DataFrame, shards: int = 8, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Shard documents by text: a row counts its UTF-8 bytes plus 1 (null text: 1), equal texts stay together (null as empty)."""
     body = F.coalesce(F.col(text), F.lit(""))

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import keeping
 from millrace.llm.textbatch import pieces
 from millrace.operators.components import component_labels
 from millrace.plans.materialize import broadcast_if_small, free, materialize, shuffle_parts
@@ -18,6 +19,8 @@ from millrace.plans.materialize import broadcast_if_small, free, materialize, sh
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Shingles hashed at once; a longer text is summed in steps.
 STEP = 1 << 18
+#: Distances in a bucket at which members of unlike classes meet, round after round.
+ROUNDS = ((0, 16), (16, 256), (256, None))
 #: Pairs of a row and a 64-lane word compared at once, and fingerprints of one bucket compared in one task.
 TILE, BUCKET = 1 << 15, 1 << 15
 
@@ -124,13 +127,21 @@ def within(queries: np.ndarray, planes: np.ndarray, words: np.ndarray, lanes: np
     return out, least
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), i < j, of one key (keys are sorted) at distance ``radius`` or less, tile by tile."""
+def _links(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray | None = None, low: int = 0, high: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of one key (keys are sorted) at distance ``radius`` or less, tile by tile.
+
+    With ``labels``, only pairs of unlike labels; they are more than ``low`` and, if given, at most ``high`` places apart.
+    """
     n = len(fps)
     planes = bit_planes(fps)
-    end = np.searchsorted(keys, keys, "right")
-    i_all = np.arange(n)
-    spans = np.where(end > i_all + 1, (end - 1) // 64 - (i_all + 1) // 64 + 1, 0)
+    begin, end = np.arange(n) + 1 + low, np.searchsorted(keys, keys, "right")
+    if high is not None:
+        end = np.minimum(end, np.arange(n) + 1 + high)
+    if labels is not None:
+        padded = np.zeros(planes.shape[1] * 64, np.int64)
+        padded[:n] = labels
+        padded = padded.reshape(-1, 64)
+    spans = np.where(end > begin, (end - 1) // 64 - begin // 64 + 1, 0)
     rows = np.flatnonzero(spans)
     done = np.concatenate([[0], np.cumsum(spans[rows])])
     at = 0
@@ -138,10 +149,12 @@ def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.
         to = max(at + 1, int(np.searchsorted(done, done[at] + TILE, "right")) - 1)
         mine, count = rows[at:to], spans[rows[at:to]]
         i = np.repeat(mine, count)
-        word = np.repeat((mine + 1) // 64, count) + np.arange(len(i)) - np.repeat(done[at:to] - done[at], count)
-        low = np.clip(i + 1 - word * 64, 0, 63).astype(np.uint64)
-        high = np.clip(end[i] - word * 64, 1, 64).astype(np.uint64)
-        lanes = (ALL << low) & (ALL >> (np.uint64(64) - high))
+        word = np.repeat(begin[mine] // 64, count) + np.arange(len(i)) - np.repeat(done[at:to] - done[at], count)
+        first = np.clip(begin[i] - word * 64, 0, 63).astype(np.uint64)
+        last = np.clip(end[i] - word * 64, 1, 64).astype(np.uint64)
+        lanes = (ALL << first) & (ALL >> (np.uint64(64) - last))
+        if labels is not None:
+            lanes &= np.packbits(padded[word] != labels[i][:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
         hit = within(fps[i], planes, word, lanes, radius)
         some = np.flatnonzero(hit)
         if len(some):
@@ -238,6 +251,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
     return _deal(keyed).mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct()
 
 
+@keeping("fingerprint", "component_id")
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, radius: int = 4, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns (``doc_id`` by default) with ``fingerprint`` (16 hex digits) and ``component_id`` (smallest doc id reachable).
 
@@ -341,6 +355,31 @@ def _nearest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield solve(pa.Table.from_batches(held))
 
 
+def _others(batches: Iterator[pa.RecordBatch], radius: int, low: int, high: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, id, label) sorted by key to (a, b), a < b: all members of a bucket that have unlike labels and are near."""
+    held: list[pa.RecordBatch] = []
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, fp, id_, label = (table.column(c).to_numpy() for c in ("key", "fp", "id", "label"))
+        for i, j in _links(key, fp.view(np.uint64), radius, label, low, high):
+            a, b = id_[i], id_[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        key = batch.column(0).to_numpy()
+        if key[0] == key[-1]:  # a bucket that goes on; its size is bounded by the split of large ones
+            continue
+        table = pa.Table.from_batches(held)
+        cut = len(table) - int((key == key[-1]).sum())
+        held = table.slice(cut).to_batches()
+        yield from solve(table.slice(0, cut))
+    if held:
+        yield from solve(pa.Table.from_batches(held))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) to (id, its distinct shingles as four bytes each)."""
     for batch in batches:
@@ -371,6 +410,7 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
+@keeping("component_id", "component")
 def similar_texts(
     docs: DataFrame,
     text: str = "text",
@@ -379,7 +419,7 @@ def similar_texts(
     similarity: float = 0.8,
     bands: int = 8,
     band_rows: int = 3,
-    radius: int = 20,
+    radius: int = 24,
     keep: list[str] | None = None,
     prefix: str = "",
 ) -> DataFrame:
@@ -387,9 +427,10 @@ def similar_texts(
 
     Documents are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more; it is verified
     for every link. At 0.8, fingerprints differ in some 10 of 64 bits, too many for pigeonhole keys, so the buckets here are bands
-    of min-hashes, of which two such texts share one with probability 0.997. In a bucket each text meets the nearest one by
-    fingerprint, bit-sliced, within ``radius`` bits; those verified are one class, and the next round takes the nearest of
-    another class, until a round links nothing. A bucket so gives one pair a text and round, however alike its members are.
+    of min-hashes, of which two such texts share one with probability 0.997. In a bucket each text first meets the nearest one by
+    fingerprint, bit-sliced, within ``radius`` bits (five standard deviations above what such texts differ in); those verified are
+    one class. Then all members of unlike classes meet that are so near, by ROUNDS of growing distance in the bucket, of which
+    the last has no end: no two that share a bucket stay apart unless they were refused.
 
     Equal texts are one text. Texts without words are alike. Null ids are ignored in the minimum, so a component of null ids has a
     null id; ``component`` tells it apart all the same. Repeated rows stay repeated.
@@ -410,26 +451,31 @@ def similar_texts(
     shared = keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
     keyed = materialize(keyed.join(shared, "key", "left_semi"))
 
-    links = labels = content = tried = None
-    while True:
-        labelled = keyed.withColumn("label", F.col("id")) if labels is None else keyed.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "fp", "id", F.coalesce("label", "id").alias("label"))
-        pairs = _deal(labelled).mapInArrow(lambda it: _nearest(it, radius), "a long, b long").distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if content is None:  # all texts that have a near one meet it in the first round
-            wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(unique.select("id", "__k1", "__k2"), "id")
-            once = source.select("__k1", "__k2", "__text").mapInArrow(_first_rows, "__k1 long, __k2 long, __text string")
-            found = once.join(broadcast_if_small(wanted), ["__k1", "__k2"]).select("id", "__text").mapInArrow(lambda it: _sets(it, width), "id long, shingles binary")
-            content = materialize(found.dropDuplicates(["id"]))
+    pairs = materialize(_deal(keyed.withColumn("label", F.col("id"))).mapInArrow(lambda it: _nearest(it, radius), "a long, b long").distinct())
+    # all texts that have a near one meet it in the first round
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(unique.select("id", "__k1", "__k2"), "id")
+    once = source.select("__k1", "__k2", "__text").mapInArrow(_first_rows, "__k1 long, __k2 long, __text string")
+    found = once.join(broadcast_if_small(wanted), ["__k1", "__k2"]).select("id", "__text").mapInArrow(lambda it: _sets(it, width), "id long, shingles binary")
+    content = materialize(found.dropDuplicates(["id"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(content.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(content.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        new = materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
-        tried = pairs if tried is None else tried.union(pairs)
-        links = new if links is None else links.union(new)
-        if new.isEmpty():
-            break
-        labels = component_labels(links)
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
+
+    labels, tried = component_labels(verified(pairs)), pairs
+    for low, high in ROUNDS:
+        labelled = keyed.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "fp", "id", F.coalesce("label", "id").alias("label"))
+        labelled = materialize(labelled)
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+        near = _deal(labelled.join(mixed, "key", "left_semi")).mapInArrow(lambda it, low=low, high=high: _others(it, radius, low, high), "a long, b long").distinct()
+        pairs = materialize(near.join(tried, ["a", "b"], "left_anti"))
+        new, tried = verified(pairs), tried.union(pairs)
+        if not new.isEmpty():
+            labels = component_labels(new.union(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+        free(labelled, new)
     free(keyed, content)
     classes = unique.select("__k1", "__k2", "low", "id")
-    classes = classes.withColumn("root", F.col("id")) if labels is None else classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("label", "id"))
+    classes = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("label", "id"))
     lowest = classes.groupBy("root").agg(F.min("low").alias("component"))
     found = classes.select("__k1", "__k2", "root").join(lowest, "root")
     return rows.join(found, ["__k1", "__k2"]).select(*keep, F.col("component").alias(names[0]), F.col("root").alias(names[1]))

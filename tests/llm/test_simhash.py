@@ -150,3 +150,38 @@ def test_similar_texts_awkward_rows(spark):
     assert len(out) == 11 and ids[2] == 1 and ids[3] == ids[4] == ids[5] == 3 and ids[None] is None
     assert len({r.p_component for r in out if r.doc_id is None}) == 1
     assert simhash.similar_texts(docs.limit(0), prefix="p_").count() == 0
+
+
+def test_no_pair_that_shares_a_band_is_lost(spark):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(9000)}"
+    rows = []
+    for group in range(4):  # hubs of copies on both sides of the threshold
+        base = [word() for _ in range(rng.randrange(60, 160))]
+        for copy in range(100):
+            w = list(base)
+            for _ in range(rng.randrange(0, len(base) // 22 + 2)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((group * 1000 + copy, " ".join(w)))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["id", "t"])
+    bands = [b for out in simhash._sketch(iter([batch]), 5, 8, 3) for b in out.column(2).to_pylist()]
+    sets = [frozenset(np.concatenate(list(simhash.shingle_hashes(t, 5))).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) and {*bands[i]} & {*bands[j]}:
+                links += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(frame(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect()}
+    assert links > 300 and [got[i] for i, _ in rows] == [rows[find(k)][0] for k in range(len(rows))]
