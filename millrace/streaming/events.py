@@ -90,3 +90,125 @@ def rate_limited(calls: DataFrame, keys: list[str], time: str, limit: int = 10,
     """``allowed``: fewer than ``limit`` calls of the keys in the ``seconds`` before (all calls count)."""
     w = W.Window.partitionBy(*keys).orderBy(F.unix_micros(time)).rangeBetween(-seconds * 1_000_000, -1)
     return calls.withColumn("allowed", F.count(F.lit(1)).over(w) < limit)
+
+
+def fold_versions(changes: DataFrame) -> DataFrame:
+    """Batch fold of versioned changes (thread, key, change, expected, value): each with its ``status`` and the ``version`` after it.
+
+    A key's version starts at 0. Of the changes that expect one version the least ``change`` is applied, in unbroken order of
+    versions from 0; the others are conflicts and leave the version that the key ends with.
+    """
+    rows = changes.where(F.col("expected").isNotNull())
+    first = W.Window.partitionBy("thread", "key", "expected").orderBy("change")
+    rows = rows.withColumn("n", F.row_number().over(first))
+    heads = rows.where("n = 1").withColumn("place", F.row_number().over(W.Window.partitionBy("thread", "key").orderBy("expected")) - 1)
+    applied = heads.where("place = expected").select("thread", "key", "change", F.lit(True).alias("applied"))
+    ends = applied.groupBy("thread", "key").agg(F.count(F.lit(1)).alias("end"))
+    out = rows.join(applied, ["thread", "key", "change"], "left").join(ends, ["thread", "key"], "left")
+    hit = F.col("applied").isNotNull()
+    return out.select("thread", "key", "change", "expected", "value", F.when(hit, "applied").otherwise("conflict").alias("status"), F.when(hit, F.col("expected") + 1).otherwise(F.coalesce("end", F.lit(0))).cast("long").alias("version"))
+
+
+class _Versions(StatefulProcessor):
+    """A key's version, and the changes that wait for theirs."""
+
+    def __init__(self, retries: int) -> None:
+        self._retries = retries
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._version = handle.getValueState("version", "version long, value string")
+        self._waiting = handle.getListState("waiting", "change long, expected long, value string, tries int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        version, value = self._version.get() if self._version.exists() else (0, None)
+        come = pd.concat(list(rows)).dropna(subset=["expected", "change"])
+        open_ = [tuple(x) for x in self._waiting.get()] if self._waiting.exists() else []
+        open_ += [(int(r.change), int(r.expected), r.value, 0) for r in come.itertuples()]
+        open_.sort(key=lambda x: (x[1], x[0]))
+        waiting, out = [], []
+        for change, expected, new, tries in open_:
+            if expected == version:
+                version, value = version + 1, new
+                out.append((change, expected, new, "applied", version))
+            elif expected < version or tries >= self._retries:
+                out.append((change, expected, new, "conflict", version))
+            else:
+                waiting.append((change, expected, new, tries + 1))
+        self._version.update((version, value))
+        self._waiting.clear()
+        if waiting:
+            self._waiting.put(waiting)
+        told = pd.DataFrame(out, columns=["change", "expected", "value", "status", "version"])
+        told.insert(0, "thread", key[0])
+        told.insert(1, "key", key[1])
+        yield told
+
+    def close(self) -> None:
+        pass
+
+
+def fold_versions_stream(changes: DataFrame, retries: int = 3) -> DataFrame:
+    """Streaming fold of (thread long, key string, change long, expected long, value string), each change told once when it is settled.
+
+    A change whose expected version hasn't come waits; each time its key gets further changes it is tried again, and after
+    ``retries`` tries it goes out as a conflict, as one that comes too late does. Rows without ``expected`` or ``change`` are left
+    out. State: a version a key and the changes that wait. Needs the RocksDB state store.
+    """
+    schema = "thread long, key string, change long, expected long, value string, status string, version long"
+    return changes.groupBy("thread", "key").transformWithStateInPandas(_Versions(retries), schema, "Update", "None")
+
+
+class _Rate(StatefulProcessor):
+    """Calls of a key in order of time, once the watermark has passed them; the last ``limit`` times decide."""
+
+    def __init__(self, limit: int, seconds: int) -> None:
+        self._limit, self._micros = limit, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._recent = handle.getListState("recent", "t long")
+        self._pending = handle.getListState("pending", "t long, call long")
+
+    def _settle(self, key, pending: list[tuple[int, int]], mark: int) -> pd.DataFrame:
+        recent = [x[0] for x in self._recent.get()] if self._recent.exists() else []
+        ready = sorted(x for x in pending if x[0] < mark * 1000)
+        out, held = [], []
+        for t, call in ready:
+            if held and held[0] != t:
+                recent, held = (recent + held)[-self._limit :], []
+            # as many as the limit before this time, all within the span: calls of one time don't count against each other
+            full = len(recent) >= self._limit and recent[-self._limit] >= t - self._micros
+            out.append((key[0], call, t, not full))
+            held.append(t)
+        recent = (recent + held)[-self._limit :]
+        left = [x for x in pending if x[0] >= mark * 1000]
+        for state, rows in ((self._recent, [(t,) for t in recent]), (self._pending, left)):
+            state.clear()
+            if rows:
+                state.put(rows)
+        for t in {x[0] // 1000 + 1 for x in left}:
+            self._handle.registerTimer(t)
+        return pd.DataFrame(out, columns=["key", "call", "t", "allowed"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pending = [tuple(x) for x in self._pending.get()] if self._pending.exists() else []
+        come = pd.concat(list(rows))
+        pending += [(int(t), int(c)) for t, c in zip(come["t"], come["call"], strict=True)]
+        yield self._settle(key, pending, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        pending = [tuple(x) for x in self._pending.get()] if self._pending.exists() else []
+        yield self._settle(key, pending, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited_stream(calls: DataFrame, limit: int = 10, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """Streaming ``rate_limited`` of (key string, call long, ts): (key, call, t in microseconds, allowed), told when the watermark passes.
+
+    Calls that come late but within ``late`` count as if they had come in time. A key's state holds its last ``limit`` times and the
+    calls that the watermark hasn't passed yet. Needs the RocksDB state store.
+    """
+    rows = calls.withWatermark("ts", late).select("key", "call", "ts", F.unix_micros("ts").alias("t"))
+    return rows.groupBy("key").transformWithStateInPandas(_Rate(limit, seconds), "key string, call long, t long, allowed boolean", "Append", "EventTime")
