@@ -11,7 +11,6 @@ from millrace.functions.scoring import retention
 from millrace.operators.components import component_labels
 from millrace.operators.joins import nearest_above, stars_under
 from millrace.operators.windows import failure_streak, no_progress, oscillating, within_budget
-from millrace.plans.materialize import materialize
 
 
 def sweep(memories: DataFrame, now: Column, threshold: float = 0.1, least_days: float = 30.0, decay: float = 0.1) -> DataFrame:
@@ -113,20 +112,6 @@ def core_block(blocks: DataFrame, key: list[str], budget: int) -> DataFrame:
     return kept.groupBy(*key, "version").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("content")).withColumn("version", F.col("version") + 1)
 
 
-def run_steps(df: DataFrame, steps: list[tuple], policy: str = "serial") -> tuple[DataFrame, DataFrame]:
-    """Apply (name, transform) steps in turn; ``fail_tolerant`` skips a step that fails. Also returns a row for each step."""
-    status = []
-    for name, step in steps:
-        try:
-            df = materialize(step(df))
-            status.append((name, "success", None))
-        except Exception as error:
-            if policy != "fail_tolerant":
-                raise
-            status.append((name, "failed", str(error)[:200]))
-    return df, df.sparkSession.createDataFrame(status, "step string, status string, error string")
-
-
 def merge_similar_facts(facts: DataFrame, kind: str, id_col: str, vector: str, confidence: str, similarity: float = 0.85) -> DataFrame:
     """(loser, winner): facts that go, as one of their type at that similarity is more confident (ties: smaller id); the most confident of these is named.
 
