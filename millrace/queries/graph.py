@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import graph as G
+from millrace.operators.leiden import community_levels
+from millrace.plans.materialize import materialize
 from millrace.sources.tables import table
 
 _SQL_EDGES = "e AS (SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target, min(o_orderpriority) AS type, CAST(sum(l_quantity) AS DOUBLE) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 _SQL_BOTH = _SQL_EDGES + ", b AS (SELECT source AS src, target AS dst, weight, type FROM e UNION ALL SELECT target, source, weight, type FROM e)"
 
 
+#: Edges of this process by application and tables: written once, read by all graph queries.
+_EDGES: dict = {}
+
+
 def _edges(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _EDGES:
+        _EDGES[key] = materialize(_joined(spark, sf))
+    return _EDGES[key]
+
+
+def _joined(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("c"), F.col("o_custkey")).alias("source"), "o_orderpriority")
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"), "l_quantity")
     return o.join(li, "k").groupBy("source", "target").agg(F.min("o_orderpriority").alias("type"), F.sum("l_quantity").alias("weight"))
@@ -125,6 +138,10 @@ def graph_publication_slice(spark, sf):
     return kept.select("id", "mentions").crossJoin(more)
 
 
+def graph_community_levels(spark, sf):
+    return community_levels(_edges(spark, sf), passes=2, rounds=4)
+
+
 def graph_community_summaries(spark, sf):
     return G.community_summaries(table(spark, sf, "customer").select(F.col("c_nationkey").alias("community"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("importance")))
 

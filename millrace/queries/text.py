@@ -90,13 +90,19 @@ def word_overlap(spark, sf):
 QUESTIONS = ["how to bake", "when did I prefer tea", "What is love", "yesterday we met, what is it", "plain words", "", "compare a and b", "list all files", "explain it", "related entities of x", "the definition"]
 
 
+def _questions(spark, sf):
+    """Whole turns that begin with one of the questions, or with none."""
+    asked = F.element_at(F.array(*map(F.lit, QUESTIONS)), ((F.col("conv_id") + F.col("turn")) % len(QUESTIONS) + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(asked, F.lit(" "), "text").alias("q"))
+
+
 def memory_intents(spark, sf):
-    q = spark.createDataFrame([(i, t) for i, t in enumerate(QUESTIONS)], "id int, q string").withColumn("i", I.memory_intent("q"))
-    return q.select("id", "i.primary", F.array_join("i.boost_types", ",").alias("boost"), "i.confidence")
+    q = _questions(spark, sf).withColumn("i", I.memory_intent("q"))
+    return q.select("conv_id", "turn", "i.primary", F.array_join("i.boost_types", ",").alias("boost"), "i.confidence")
 
 
 def search_intents(spark, sf):
-    return spark.createDataFrame([(i, t) for i, t in enumerate(QUESTIONS)], "id int, q string").select("id", I.search_intent("q").alias("intent"))
+    return _questions(spark, sf).select("conv_id", "turn", I.search_intent("q").alias("intent"))
 
 
 def pii_counts(spark, sf):
@@ -123,13 +129,13 @@ def named_entities(spark, sf):
 
 
 def entity_pairs(spark, sf):
-    d = _docs(spark, sf).where("lang = 'en'")
+    d = _docs(spark, sf)
     d = d.withColumn("text", F.concat(F.lit("Anna Maria met Bob Stone. Acme Corp hired Anna Maria! "), "text"))
     return X.co_occurrence(d, X.entities(d, "doc_id", "text"), "doc_id", "text")
 
 
 def topic_labels(spark, sf):
-    return X.topic_labels(_docs(spark, sf).where("lang = 'en'"), "source", "text", ["the", "of", "and", "in", "on", "to", "is", "re", "es", "er"])
+    return X.topic_labels(_docs(spark, sf), "source", "text", ["the", "of", "and", "in", "on", "to", "is", "re", "es", "er"])
 
 
 def deduplicated_paragraphs(spark, sf):
@@ -185,6 +191,7 @@ _FACTS = " UNION ALL ".join(
 _NAMED = rf"""w AS (SELECT id, regexp_replace(t, '[^\P{{L}}\x00-\x7F]', '_', 'g') AS w FROM d),
         m AS (SELECT id, unnest(list_distinct(regexp_extract_all(w, '{X.NAMES}'))) AS name, 'other' AS kind, 0.5::DOUBLE AS confidence FROM w UNION ALL SELECT id, unnest(list_distinct(regexp_extract_all(w, '{X.ORGANIZATIONS}'))), 'organization', 0.6::DOUBLE FROM w),
         e AS (SELECT id, name, arg_max(kind, confidence) AS kind, max(confidence) AS confidence FROM m WHERE kind = 'organization' OR (length(name) BETWEEN 3 AND 150 AND lower(name) <> 'the and') GROUP BY id, name)"""
+_ASKED = f"a AS (SELECT conv_id, turn, {QUESTIONS!r}[(conv_id + turn) % {len(QUESTIONS)} + 1] || ' ' || text AS q FROM conversations)"
 SQL = {
     "token_counts": f"SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS tokens, CAST(len(list_distinct({_TOK})) AS INTEGER) AS words FROM documents",
     "sentence_counts": f"SELECT doc_id, CAST(len({_SENT}) AS INTEGER) AS sentences, md5(({_SENT})[1]) AS first FROM documents",
@@ -201,19 +208,22 @@ SQL = {
     "structure_scores": rf"WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS l, {_TOK} AS t FROM documents) SELECT doc_id, round(coalesce(len(list_filter(l, lambda s: regexp_matches(s, '^\s*([-*+]\s|\d+[.)]\s|#{{1,6}}\s|\|)'))) / nullif(len(l), 0), 0), 6) AS structured, round(coalesce(1 - len(list_distinct(t)) / nullif(len(t), 0), 0), 6) AS repetition FROM l",
     "initial_retention": r"WITH w AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM conversations) SELECT conv_id, turn, round(CASE WHEN len(w) = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, (0.8::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * len(list_distinct(w)) / len(w)) + least(1.0::DOUBLE, len(w) / 50) * 0.2::DOUBLE) * 1.2::DOUBLE + CASE WHEN role = 'user' THEN 0.1::DOUBLE ELSE 0 END) END, 6) AS retention FROM w",
     "word_overlap": f"WITH w AS (SELECT doc_id, list_distinct({_TOK}) AS w FROM documents) SELECT a.doc_id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1",
-    "memory_intents": """SELECT * FROM (VALUES (0, 'procedural', 'semantic,fact', 0.7::DOUBLE), (1, 'preference', 'semantic,episodic', 0.7), (2, 'semantic', 'fact,episodic', 0.6), (3, 'episodic', 'semantic,fact', 0.65), (4, 'episodic', 'semantic', 0.3), (5, 'episodic', 'semantic', 0.0),
-        (6, 'episodic', 'semantic', 0.3), (7, 'episodic', 'semantic', 0.3), (8, 'episodic', 'semantic', 0.3), (9, 'episodic', 'semantic', 0.3), (10, 'episodic', 'semantic', 0.3)) t(id, "primary", boost, confidence)""",
-    "search_intents": "SELECT * FROM (VALUES (0, 'exploration'), (1, 'exploration'), (2, 'fact'), (3, 'fact'), (4, 'exploration'), (5, 'exploration'), (6, 'comparison'), (7, 'navigation'), (8, 'exploration'), (9, 'graph_query'), (10, 'fact')) t(id, intent)",
+    "memory_intents": rf"""WITH {_ASKED}, m AS (SELECT *, regexp_matches(q, '(?i)\b(how\s+to|how\s+do|how\s+can|step|guide)\b') AS p, regexp_matches(q, '(?i)\b(prefer|favorite)\b') AS f, regexp_matches(q, '(?i)\b(when|yesterday|last\s+week|recall|history)\b') AS e, regexp_matches(q, '(?i)\b(what\s+is|what\s+does|define|meaning)\b') AS s FROM a)
+        SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'episodic' WHEN p THEN 'procedural' WHEN f THEN 'preference' WHEN e THEN 'episodic' WHEN s THEN 'semantic' ELSE 'episodic' END AS "primary",
+        CASE WHEN trim(q) = '' THEN 'semantic' WHEN p THEN 'semantic,fact' WHEN f THEN 'semantic,episodic' WHEN e THEN 'semantic,fact' WHEN s THEN 'fact,episodic' ELSE 'semantic' END AS boost,
+        CASE WHEN trim(q) = '' THEN 0.0 WHEN p THEN CASE WHEN e OR s THEN 0.55 ELSE 0.7 END WHEN f THEN 0.7 WHEN e THEN 0.65 WHEN s THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM m""",
+    "search_intents": rf"""WITH {_ASKED} SELECT conv_id, turn, CASE WHEN regexp_matches(lower(q), 'how to define|what is|who invented|definition') THEN 'fact' WHEN regexp_matches(lower(q), 'explain|tell me about|overview|summary|describe') THEN 'exploration' WHEN regexp_matches(lower(q), 'vs\.?|compare|difference|better than') THEN 'comparison'
+        WHEN regexp_matches(lower(q), 'list all|index|catalog|table of contents') THEN 'navigation' WHEN regexp_matches(lower(q), 'relation|graph|connected to|related entities') THEN 'graph_query' ELSE 'exploration' END AS intent FROM a""",
     "pattern_facts": f"""WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role = 'user'),
         t AS (SELECT conv_id, turn, 'I like ' || array_to_string(w[1:2], ' ') || '. My color is ' || w[1] || '. Never ' || array_to_string(w[1:3], ' ') || '.' AS text FROM c), f AS ({_FACTS}),
         k AS (SELECT conv_id, turn, fact_type, rule, unnest(i) AS i, trim(unnest(k)) AS key, trim(unnest(v)) AS value FROM f)
         SELECT conv_id, fact_type, key, value FROM k WHERE length(key) >= 2 QUALIFY row_number() OVER (PARTITION BY conv_id, fact_type, key ORDER BY turn, rule, i) = 1""",
     "sentences_by_space": r"""WITH s AS (SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM documents) SELECT doc_id, CAST(n AS INTEGER) AS sentences FROM s WHERE n > 0""",
     "named_entities": rf"""WITH d AS (SELECT doc_id AS id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents), {_NAMED} SELECT id, name, kind, confidence FROM e""",
-    "entity_pairs": rf"""WITH d AS (SELECT doc_id AS id, regexp_replace('Anna Maria met Bob Stone. Acme Corp hired Anna Maria! ' || text, '\s+', ' ', 'g') AS t FROM documents WHERE lang = 'en'), {_NAMED},
+    "entity_pairs": rf"""WITH d AS (SELECT doc_id AS id, regexp_replace('Anna Maria met Bob Stone. Acme Corp hired Anna Maria! ' || text, '\s+', ' ', 'g') AS t FROM documents), {_NAMED},
         p AS (SELECT id, unnest(range(len(string_split_regex(t, '[.!?]+')))) AS s, unnest(string_split_regex(t, '[.!?]+')) AS sentence FROM d), i AS (SELECT id, s, name FROM p JOIN e USING (id) WHERE contains(sentence, name))
         SELECT x.name AS a, y.name AS b, count(*) AS n FROM i x JOIN i y ON x.id = y.id AND x.s = y.s AND x.name < y.name GROUP BY ALL""",
     "chunks_markdown": "SELECT doc_id, md5(text) AS digest FROM documents WHERE text <> ''",
     "chunks_by_length": "WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE text <> ''), i AS (SELECT doc_id, n, unnest(range(0, greatest(1, n - 200), 1800)) AS s FROM d) SELECT doc_id, CAST(s / 1800 AS INTEGER) AS chunk_index, CAST(least(2000, n - s) AS INTEGER) AS size FROM i",
-    "topic_labels": "WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{2,}|[一-鿿]{2,}')) AS w FROM documents WHERE lang = 'en'), c AS (SELECT source, w, count(*) AS n FROM w WHERE w NOT IN ('the', 'of', 'and', 'in', 'on', 'to', 'is', 're', 'es', 'er') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS r FROM c) SELECT source, string_agg(w, '_' ORDER BY r) AS label FROM r WHERE r <= 3 GROUP BY source",
+    "topic_labels": "WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{2,}|[一-鿿]{2,}')) AS w FROM documents), c AS (SELECT source, w, count(*) AS n FROM w WHERE w NOT IN ('the', 'of', 'and', 'in', 'on', 'to', 'is', 're', 'es', 'er') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS r FROM c) SELECT source, string_agg(w, '_' ORDER BY r) AS label FROM r WHERE r <= 3 GROUP BY source",
 }
