@@ -14,6 +14,7 @@ from pyspark.sql import window as W
 from millrace.functions import text as T
 from millrace.operators.components import component_labels
 from millrace.operators.joins import TILE, unit_vectors
+from millrace.plans.materialize import free, materialize
 
 # Fixed values.
 STOPWORDS = ["the", "a", "an", "of", "in", "for", "and", "or", "to", "with", "by", "on", "at"]
@@ -121,3 +122,41 @@ def link_canonical(entities: DataFrame, canonical: DataFrame, merge: float = 0.8
     linked = rest.select("id").join(best, "id", "left")
     decision = F.when(F.col("s") >= merge, "merge").when(F.col("s") >= review, "review").otherwise("new")
     return exact.union(linked.select("id", F.when(decision != "new", F.col("cid")), decision))
+
+
+def flatten_chains(hops: DataFrame) -> DataFrame:
+    """(old, new) with every chain of hops (old, new) followed to its end: A to B and B to C give A to C and B to C.
+
+    Each round doubles the length of what has been followed, so a chain of n hops takes log n joins. Of several hops from one
+    ``old`` the least ``new`` counts; hops to itself and nulls are left out. Where a chain ends in a circle there is no end: such
+    rows keep their own first hop.
+    """
+    first = materialize(hops.where("old is not null and new is not null and old <> new").groupBy("old").agg(F.min("new").alias("new")))
+    found = first
+    for _ in range(first.count().bit_length() + 1):
+        ahead = found.select(F.col("old").alias("new"), F.col("new").alias("next"))
+        if found.join(ahead, "new", "left_semi").isEmpty():
+            return found
+        done, found = found, materialize(found.join(ahead, "new", "left").select("old", F.coalesce("next", "new").alias("new")))
+        if done is not first:
+            free(done)
+    circling = found.join(found.select(F.col("old").alias("new")), "new", "left_semi").select("old")
+    return found.join(circling, "old", "left_anti").unionByName(first.join(circling, "old", "left_semi"))
+
+
+def resolve_with_vectors(entities: DataFrame, existing: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(old, new, old_label, new_label, stage): what each merged entity becomes, and its label, chains followed to the end.
+
+    ``entities``: (id, name, kind, confidence, vector); ``existing``: (id, name, kind, vector). Stage ``name``: an entity of the
+    batch names the same (``resolve``). Stage ``vector``: one that is left is as near as ``threshold`` (cosine) to an existing
+    entity of its kind, the nearest one counts. An entity that goes by name to one that goes by vector ends at the existing one.
+    """
+    named = materialize(resolve(entities))
+    left = entities.join(named.select(F.col("old").alias("id")), "id", "left_anti")
+    near = _nearest(left.select("id", "kind", "vector"), existing.select("id", "kind", "vector")).where(F.col("s") >= threshold)
+    near = materialize(near.select(F.col("id").alias("old"), F.col("cid").alias("new")).where("old <> new"))
+    hops = flatten_chains(named.unionByName(near))
+    labels = entities.select(F.col("id").alias("i"), F.col("name").alias("label")).unionByName(existing.select(F.col("id").alias("i"), F.col("name").alias("label"))).groupBy("i").agg(F.min("label").alias("label"))
+    out = hops.join(labels.toDF("old", "old_label"), "old").join(labels.toDF("new", "new_label"), "new", "left")
+    stage = near.select("old").withColumn("stage", F.lit("vector"))
+    return out.join(stage, "old", "left").select("old", "new", "old_label", "new_label", F.coalesce("stage", F.lit("name")).alias("stage"))

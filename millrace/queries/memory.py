@@ -79,6 +79,13 @@ def resolved_entities(spark, sf):
     return R.resolve(p)
 
 
+def vector_resolved(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") % 3).cast("string").alias("kind"))
+    new = e.where("vec_id % 4 = 0").select(F.concat(F.lit("n"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), F.substring(F.md5((F.col("vec_id") % 40).cast("string")), 1, 12).alias("name"), "kind", F.col("vec_id").alias("confidence"), F.col("embedding").alias("vector"))
+    old = e.where("vec_id % 4 = 1").select(F.concat(F.lit("x"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("id"), F.concat(F.lit("old "), F.col("vec_id")).alias("name"), "kind", F.col("embedding").alias("vector"))
+    return R.resolve_with_vectors(new, old, 0.3)
+
+
 def page_metadata(spark, sf):
     return table(spark, sf, "pages").select("page_id", *[v.alias(k) for k, v in H.metadata("html").items()])
 
@@ -148,6 +155,11 @@ SQL = {
         SELECT t.user_id, CASE WHEN hit = 1 THEN 'success' WHEN coalesce(streak, 0) >= 3 THEN 'unrecoverable' WHEN n >= 12 THEN 'budget' WHEN stalled THEN 'no_progress' WHEN swings THEN 'oscillation' ELSE 'continue' END AS decision
         FROM t LEFT JOIN f USING (user_id) LEFT JOIN n USING (user_id) LEFT JOIN o USING (user_id)""",
     "resolved_entities": """WITH p AS (SELECT p_partkey AS id, p_brand AS kind, p_retailprice AS c, md5(CAST(p_partkey % 700 AS VARCHAR))[1:9] AS n FROM part), g AS (SELECT *, first_value(id) OVER (PARTITION BY kind, n ORDER BY c DESC, id) AS new FROM p) SELECT id AS old, new FROM g WHERE id <> new""",
+    "vector_resolved": """WITH n AS (SELECT 'n' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS id, md5(CAST(vec_id % 40 AS VARCHAR))[1:12] AS name, label % 3 AS kind, vec_id AS c, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 4 = 0),
+        x AS (SELECT 'x' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS id, 'old ' || vec_id AS name, label % 3 AS kind, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 4 = 1),
+        g AS (SELECT *, first_value(id) OVER (PARTITION BY kind, name ORDER BY c DESC, id) AS head FROM n), p AS (SELECT g.id, arg_max(x.id, (round(list_cosine_similarity(g.v, x.v), 12), x.id)) AS cid, max(list_cosine_similarity(g.v, x.v)) AS s FROM g JOIN x ON g.kind = x.kind WHERE g.id = head GROUP BY g.id),
+        m AS (SELECT g.id AS old, CASE WHEN s >= 0.3 THEN cid WHEN g.id <> head THEN head END AS new, g.name AS old_label, CASE WHEN g.id = head THEN 'vector' ELSE 'name' END AS stage FROM g LEFT JOIN p ON p.id = head)
+        SELECT old, new, old_label, coalesce(x.name, n.name) AS new_label, stage FROM m LEFT JOIN x ON x.id = new LEFT JOIN n ON n.id = new WHERE new IS NOT NULL""",
     "due_threads": "WITH t AS (SELECT user_id, max(event_id) % 3 <> 0 AS active FROM events GROUP BY user_id) SELECT user_id, active FROM t WHERE active AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-27')",
     "merged_memories": "WITH p AS (SELECT x.vec_id AS a, y.vec_id AS b, 1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id), m AS (SELECT CASE WHEN a % 13 >= b % 13 THEN b ELSE a END AS loser, CASE WHEN a % 13 >= b % 13 THEN a ELSE b END AS winner, d FROM p WHERE d <= 0.75) SELECT loser, arg_min(winner, (d, winner)) AS winner, round(min(d), 6) AS distance FROM m GROUP BY loser",
     "topic_clusters": "WITH RECURSIVE p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id AND 1 - list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) <= 0.72), w(id, r) AS (SELECT DISTINCT a, a FROM p UNION SELECT w.id, b FROM w JOIN p ON a = r) SELECT id, min(r) AS cluster FROM w GROUP BY id",
