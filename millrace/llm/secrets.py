@@ -1,7 +1,7 @@
 """Secret scans: pattern candidates, then corpus-wide ownership frequency, with DataFrame functions only.
 
-A credential pasted from a manual turns up under many owners; a live one belongs to one. Candidates are hashed, counted by
-distinct repositories and owners, and told apart by that count and by how random they look.
+A credential pasted from a manual turns up under many owners, or in many repositories of one; a live one belongs to one. Candidates
+are hashed, counted by distinct repositories and owners, and told apart by both counts and by whether they look like a secret.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ HEX = r"[0-9a-f]{24,}"
 #: Method's own candidates: long runs of token characters that hold a digit, an upper and a lower letter.
 RANDOM = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex")
+#: Words of values that are examples, and the least length, distinct characters and character classes of one that looks live.
+EXAMPLES = r"(?i)change|example|sample|dummy|test|your|xxx|password|passwd|secret|placeholder|insert|todo|none|null|foobar|1234|abcd|qwert|0000|9999"
+LEAST_LENGTH, LEAST_DISTINCT, LEAST_CLASSES = 8, 6, 2
 ASSIGN_LEAST = 6
 
 
@@ -61,6 +64,13 @@ def _tagged(spans: Column, kind: str, order: int, value: Column | None = None, k
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), pick(s).alias("value")))
 
 
+def looks_live(value: Column) -> Column:
+    """Not short, of several classes of characters (digits, upper and lower letters, others), not repetitive, no word of an example."""
+    classes = sum((value.rlike(c).cast("int") for c in ("[0-9]", "[A-Z]", "[a-z]", "[^0-9A-Za-z]")), F.lit(0))
+    distinct = F.size(F.array_distinct(F.split(value, "")))
+    return (F.length(value) >= LEAST_LENGTH) & (distinct >= LEAST_DISTINCT) & (classes >= LEAST_CLASSES) & ~value.rlike(EXAMPLES)
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """All of ``docs``' columns but the text, and ``spans``: the base spans and the method's own, by start, then kind."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -84,12 +94,12 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
 
 
 @keeping("secret_spans")
-def scan(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", keep: list[str] | None = None, copied_owners: int = 3, prefix: str = "") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", keep: list[str] | None = None, copied_owners: int = 3, copied_repositories: int = 5, prefix: str = "") -> DataFrame:
     """``keep`` columns with ``secret_spans``: structs (kind, start, end, value_hash, n_owners, n_repositories, live, base).
 
-    Base spans (assignments, access keys, hexadecimal runs) are always kept. A value the method adds (a random-looking run) is
-    kept if it is owner-specific, that is held by fewer than ``copied_owners`` owners. ``live`` marks spans whose value is
-    owner-specific; others are widely copied examples. Offsets are code points, end exclusive. Null text counts as empty; null
+    ``live``: the value is held by fewer than ``copied_owners`` owners and stands in fewer than ``copied_repositories`` repositories,
+    and it looks like a secret (``looks_live``); others are widely copied or plain examples. Base spans (assignments, access keys,
+    hexadecimal runs) are always kept; a value the method adds (a random-looking run) is kept if it is live. Offsets are code points, end exclusive. Null text counts as empty; null
     owners count as none; repeated rows are scanned one by one. The values themselves never leave the operator.
     """
     keep = docs.columns if keep is None else keep
@@ -98,12 +108,12 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "source", owner:
         raise ValueError(f"column {name} exists; give a prefix")
     source = docs.select(F.monotonically_increasing_id().alias("__row"), *keep, *[F.col(c).alias(a) for c, a in ((text, "__t"), (repository, "__repository"), (owner, "__owner"))])
     found = candidates(source, "__t")
-    found = materialize(found.withColumn("spans", F.transform("spans", lambda s: s.withField("value", F.sha2(s["value"], 256)))))
+    found = materialize(found.withColumn("spans", F.transform("spans", lambda s: s.withField("looks", looks_live(s["value"])).withField("value", F.sha2(s["value"], 256)))))
     owners = materialize(ownership(found, "__repository", "__owner"))
     exploded = found.where(F.size("spans") > 0).select("__row", F.explode("spans").alias("s")).select("__row", "s.*")
     # spans of one widely copied value may be hot: the join's large side can be split
     judged = exploded.join(owners, F.sha2(F.col("value"), 256) == F.col("value_hash"), "left")
-    live = F.coalesce(F.col("n_owners"), F.lit(0)) < copied_owners
+    live = (F.coalesce(F.col("n_owners"), F.lit(0)) < copied_owners) & (F.coalesce(F.col("n_repositories"), F.lit(0)) < copied_repositories) & F.col("looks")
     judged = judged.where((F.col("kind") != "random") | live)
     span = F.struct("start", "ord", "end", "kind", F.col("value").alias("value_hash"), "n_owners", "n_repositories", live.alias("live"), (F.col("kind") != "random").alias("base"))
     by_row = judged.groupBy("__row").agg(F.array_sort(F.collect_list(span)).alias("__spans"))  # a row's own spans only

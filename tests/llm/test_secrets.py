@@ -48,6 +48,11 @@ def plain_spans(text):
     return sorted(spans, key=lambda s: (s[1], order[s[0]]))
 
 
+def plain_looks(v):
+    classes = sum(bool(re.search(c, v)) for c in ("[0-9]", "[A-Z]", "[a-z]", "[^0-9A-Za-z]"))
+    return len(v) >= 8 and len(set(v)) >= 6 and classes >= 2 and not re.search(secrets.EXAMPLES, v)
+
+
 def test_all_spans_and_owners_against_brute_force(spark, tmp_path):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
@@ -62,10 +67,11 @@ def test_all_spans_and_owners_against_brute_force(spark, tmp_path):
     out = {r.doc_id: r for r in op9_secrets(spark, str(tmp_path)).collect()}
     n_random = 0
     for i, text, *_ in rows:
-        kept = [s for s in plain_spans(text) if s[0] != "random" or len(owners[s[3]]) < 3]
+        live = lambda v: len(owners[v]) < 3 and len(repositories[v]) < 5 and plain_looks(v)
+        kept = [s for s in plain_spans(text) if s[0] != "random" or live(s[3])]
         n_random += sum(s[0] == "random" for s in kept)
         assert out[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in kept), i
-        assert out[i].n_live == sum(len(owners[v]) < 3 for *_, v in kept)
+        assert out[i].n_live == sum(live(v) for *_, v in kept)
         assert out[i].owners == ",".join(f"{len(owners[v])}/{len(repositories[v])}" for *_, v in kept)
     assert n_random == 3 and any(len(repositories[v]) > len(owners[v]) for v in owners)
 
@@ -107,6 +113,16 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert [(s.kind, s.live) for s in out[9]] == [("random", True), ("assign", True)]
 
 
+def test_repositories_and_looks_decide_too(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["password: changeme1", "token=000000", "token=aaaaaaaa", "secret=kT93hfWq20", "api_key=" + "0123456789abcdef" * 2, "token=9f8e7d6c5b4a39281706f5e4"]
+    rows = [(i, t, "en", f"o{i}", 1) for i, t in enumerate(texts)] + [(100 + i, "secret=mV71jdRz58", f"l{i}", "one", 1) for i in range(6)]
+    docs = frame(spark, rows, schema).withColumn("repo", F.concat("source", "lang"))
+    live = {r.doc_id: [s.live for s in r.secret_spans if s.kind == "assign"] for r in secrets.scan(docs, repository="repo", keep=["doc_id"]).collect()}
+    assert [live[i] for i in range(len(texts))] == [[False], [False], [False], [True], [False], [True]]
+    assert all(live[100 + i] == [False] for i in range(6))  # one owner, but in six repositories
+
+
 def test_awkward_rows_empty_table_and_clashes(spark):
     docs = frame(spark, awkward()).withColumn("secret_spans", F.lit(1)).withColumn("spans", F.lit(2))
     assert secrets.scan(docs, prefix="x_").count() == 10
