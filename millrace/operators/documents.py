@@ -174,3 +174,8 @@ def _entries(xml: str | None, since: str | None) -> Iterator[tuple]:
 def feed_records(feeds: DataFrame, xml: str, keep: list[str], since: str | None = None) -> DataFrame:
     """One row for each entry of an Atom or RSS feed; entries published before the day ``since`` are left out, unreadable dates kept."""
     return flat_map_text(feeds, xml, lambda x: _entries(x, since), "id string, title string, summary string, authors array<string>, pdf_url string, published string", keep)
+
+
+def missing_links(source: DataFrame, target: DataFrame, key: str, link: str) -> DataFrame:
+    """(key, link) of ``source`` that ``target`` lacks, as often as it lacks them: a link held twice and kept once is missing once."""
+    return source.select(key, link).exceptAll(target.select(key, link))

@@ -142,6 +142,22 @@ def fuse_rrf(lists: list[DataFrame], k: int, rrf_k: int = RRF_K, cap: float | No
     return all_.groupBy("id").agg((F.least(F.lit(cap), score) if cap else score).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def fuse_graph(semantic: DataFrame, edges: DataFrame, k: int, semantic_weight: float = 0.6, graph_weight: float = 0.4) -> DataFrame:
+    """(id, semantic_score, graph_score, score): a semantic list (id, score) with a score for how many edges (source, target) point
+    to the item, ln(1 + inbound) / 5; items that nothing points to have 0. Only edges to the list's items are counted."""
+    inbound = edges.join(semantic.select(F.col("id").alias("target")), "target", "left_semi").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    both = semantic.select("id", F.col("score").alias("semantic_score")).join(inbound, "id", "left")
+    both = both.withColumn("graph_score", F.log1p(F.coalesce("n", F.lit(0))) / 5.0).drop("n")
+    return both.withColumn("score", F.col("semantic_score") * semantic_weight + F.col("graph_score") * graph_weight).orderBy(F.desc("score"), "id").limit(k)
+
+
+def context_rank(items: DataFrame, query: list[float], k: int = 10, retention: str = "retention_score", id_col: str = "id", vector: str = "embedding", text: str = "content") -> DataFrame:
+    """(id, score, tokens) of the k items whose cosine with the query times their retention is largest; tokens: a quarter of the
+    characters. Null retention counts as 0."""
+    scored = vector_scores(items, query, id_col, vector).join(items.select(F.col(id_col).alias("id"), F.coalesce(retention, F.lit(0.0)).alias("r"), F.floor(F.length(text) / 4).cast("int").alias("tokens")), "id")
+    return scored.select("id", (F.col("score") * F.col("r")).alias("score"), "tokens").orderBy(F.desc("score"), "id").limit(k)
+
+
 def hybrid_search(items: DataFrame, query: list[float], terms: list[str], k: int, id_col: str = "id", vector: str = "embedding", text: str = "content", weights: tuple[float, float] = (0.7, 0.3), recall: int = 2) -> DataFrame:
     """Weighted hybrid search; both lists hold ``recall`` times k items."""
     return fuse_linear(vector_topk(items, query, recall * k, id_col, vector), keyword_topk(items, terms, recall * k, id_col, text), k, *weights)

@@ -100,3 +100,9 @@ def keyset_page(rows: DataFrame, time: str, id_col: str, before: Column, before_
     """n + 1 rows that come after a cursor in (time desc, id desc); the extra one tells that there are more."""
     after = (F.col(time) < before) | ((F.col(time) == before) & (F.col(id_col) < before_id))
     return rows.where(after).orderBy(F.desc(time), F.desc(id_col)).limit(n + 1)
+
+
+def latest_where(rows: DataFrame, key: str, order: list[str], status: str, wanted: list[str]) -> DataFrame:
+    """The last row of each key by ``order``, if its status is one of ``wanted``: an earlier row that has it doesn't count."""
+    last = W.Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order])
+    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n").where(F.col(status).isin(wanted))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as A
+from millrace.operators import documents as D
 from millrace.operators import joins as J
+from millrace.operators import windows as Wn
+from millrace.plans.materialize import shared_path
+from millrace.sources import tables as S
 from millrace.sources.tables import table
 
 
@@ -28,9 +32,30 @@ def canonical_entities(spark, sf):
     return out.select("canonical", "corpus_count", "total", types.alias("types"), "main_type", "under_review", "stopword_like", F.md5(aliases).alias("aliases"), F.round(F.element_at("centroid", 1), 6).alias("first"), F.round(total, 6).alias("sum"))
 
 
+def latest_failed(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    return Wn.latest_where(e, "user_id", ["ts", "event_id"], "event_type", ["error", "signup"]).select("user_id", "event_id", "event_type")
+
+
+def missing_links(spark, sf):
+    links = table(spark, sf, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+@[a-z.]+|https?://[a-z./]+"), F.lit(0))).alias("link"))
+    kept = table(spark, sf, "documents").where("doc_id % 3 > 0").select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+@[a-z.]+|https?://[a-z./]+"), F.lit(0))).alias("link"))
+    return D.missing_links(links, kept, "source", "link")
+
+
+def text_files(spark, sf):
+    path = shared_path(spark, "texts")
+    table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), "n_name").repartition("key").write.partitionBy("key").text(path)
+    found = S.read_texts(spark, f"{path}/key=*/*.txt")
+    return found.select(F.regexp_extract("path", "key=([0-9]+)/", 1).cast("int").alias("key"), "kind", F.trim(F.regexp_replace("text", "\n", "")).alias("text"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and getattr(v, "__module__", "") == __name__}
 
 SQL = {
+    "latest_failed": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type IN ('error', 'signup')",
+    "missing_links": "WITH l AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z]+@[a-z.]+|https?://[a-z./]+')) AS link FROM documents) SELECT source, link FROM l EXCEPT ALL SELECT source, link FROM l WHERE doc_id % 3 > 0",
+    "text_files": "SELECT CAST(n_nationkey AS INTEGER) AS key, 'txt' AS kind, n_name AS text FROM nation",
     "overlapping_windows": """WITH o AS (SELECT o_orderkey, o_custkey % 400 AS k, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 97 > 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) ELSE DATE '9999-01-01' END AS e FROM orders),
         l AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_suppkey % 400 AS k, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE) + CAST(CAST(l_quantity AS INTEGER) % 45 AS INTEGER) AS e FROM lineitem)
         SELECT o_orderkey, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM o JOIN l ON o.k = l.k AND o.s < l.e AND l.s < o.e AND o.s < o.e AND l.s < l.e GROUP BY o_orderkey""",

@@ -109,6 +109,16 @@ def fulltext_vocabulary(spark, sf):
     return I.vocabulary(spark, _index(spark, sf, "plain"))
 
 
+def graph_linear(spark, sf):
+    edges = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") % 300).alias("target"))
+    return _round(S.fuse_graph(S.vector_topk(_items(spark, sf), _query(spark, sf), 60), edges, 30), "semantic_score", "graph_score", "score")
+
+
+def context_rank(spark, sf):
+    items = _items(spark, sf).join(_docs(spark, sf), "id").withColumn("retention_score", F.when(F.col("id") % 9 > 0, F.col("id") % 9 / 9.0))
+    return _round(S.context_rank(items, _query(spark, sf), 25))
+
+
 def minmax_rerank(spark, sf):
     return _round(S.rerank_minmax(S.vector_topk(_items(spark, sf), _query(spark, sf), 50), 0.2, 10))
 
@@ -154,7 +164,7 @@ def federated_search(spark, sf):
     return _round(S.federated_fusion(seeds, graph, 20))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_many, cosine_columns, keyword_topk, hybrid_linear, rrf_search, rrf_many_lists, bm25_topk, bm25_scan_topk, fulltext_topk, fulltext_by_source, fulltext_vocabulary, minmax_rerank, intent_rerank, weight_rerank, prf_expansion, hierarchical_lift, recall_ladder, multi_corpus_citations, federated_search)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_many, cosine_columns, keyword_topk, hybrid_linear, rrf_search, rrf_many_lists, bm25_topk, bm25_scan_topk, fulltext_topk, fulltext_by_source, fulltext_vocabulary, graph_linear, context_rank, minmax_rerank, intent_rerank, weight_rerank, prf_expansion, hierarchical_lift, recall_ladder, multi_corpus_citations, federated_search)}
 
 _BM25 = """WITH docs AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM docs),
         q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM (QUERIES)) GROUP BY ALL),
@@ -190,6 +200,9 @@ SQL = {
     "fulltext_topk": _COVERS.replace("TERMS", "'ha', 'ea'").replace("WHERE_SOURCE", ""),
     "fulltext_by_source": _COVERS.replace("TERMS", "'ha', 'ea', 're'").replace("WHERE_SOURCE", "WHERE source IN ('src0', 'src3')"),
     "fulltext_vocabulary": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS lexeme FROM documents) SELECT lexeme, count(DISTINCT doc_id) AS documents, count(*) AS places FROM w GROUP BY lexeme",
+    "graph_linear": f"""WITH {SEM}, k AS (SELECT * FROM sem_all ORDER BY score DESC, id LIMIT 60), n AS (SELECT l_partkey % 300 AS id, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT k.id, score AS s, ln(1 + coalesce(n, 0)) / 5 AS g FROM k LEFT JOIN n ON n.id = k.id)
+        SELECT id, round(s, 6) AS semantic_score, round(g, 6) AS graph_score, round(s * 0.6::DOUBLE + g * 0.4::DOUBLE, 6) AS score FROM g ORDER BY s * 0.6::DOUBLE + g * 0.4::DOUBLE DESC, id LIMIT 30""",
+    "context_rank": f"""WITH {SEM} SELECT id, round(score * CASE WHEN id % 9 > 0 THEN id % 9 / 9.0::DOUBLE ELSE 0 END, 6) AS score, CAST(length(text) // 4 AS INTEGER) AS tokens FROM sem_all JOIN documents ON doc_id = id ORDER BY sem_all.score * CASE WHEN id % 9 > 0 THEN id % 9 / 9.0::DOUBLE ELSE 0 END DESC, id LIMIT 25""",
     "minmax_rerank": f"""WITH {SEM}, k AS (SELECT * FROM (SELECT * FROM sem_all ORDER BY score DESC, id LIMIT 50) WHERE score >= 0.2), b AS (SELECT min(score) AS lo, max(score) AS hi FROM k)
         SELECT id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE score END, 6) AS score FROM k, b ORDER BY k.score DESC, id LIMIT 10""",
     "intent_rerank": f"""WITH {SEM}, k AS (SELECT * FROM sem_all ORDER BY score DESC, id LIMIT 50), t AS (SELECT id, score, CASE label % 3 WHEN 0 THEN 'episodic' WHEN 1 THEN 'semantic' ELSE 'fact' END AS memory_type FROM k JOIN embeddings ON vec_id = id)
