@@ -19,6 +19,8 @@ from millrace.plans.materialize import broadcast_if_small, free, materialize, sh
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Shingles hashed at once; a longer text is summed in steps.
 STEP = 1 << 18
+#: Bins of a text's parity sketch.
+BINS = 512
 #: Distances in a bucket at which members of unlike classes meet, round after round.
 ROUNDS = ((0, 16), (16, 256), (256, None))
 #: Pairs of a row and a 64-lane word compared at once, and fingerprints of one bucket compared in one task.
@@ -355,14 +357,21 @@ def _nearest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield solve(pa.Table.from_batches(held))
 
 
-def _others(batches: Iterator[pa.RecordBatch], radius: int, low: int, high: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, id, label) sorted by key to (a, b), a < b: all members of a bucket that have unlike labels and are near."""
+def _others(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, low: int, high: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, id, label, n, sketch) sorted by key to (a, b), a < b: all members of a bucket of unlike labels that may be alike.
+
+    They must be near by fingerprint, and the bins in which their sketches differ, no more than the shingles that only one of them
+    has, must not be too many for the similarity.
+    """
     held: list[pa.RecordBatch] = []
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, fp, id_, label = (table.column(c).to_numpy() for c in ("key", "fp", "id", "label"))
+        key, fp, id_, label, n = (table.column(c).to_numpy() for c in ("key", "fp", "id", "label", "n"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
         for i, j in _links(key, fp.view(np.uint64), radius, label, low, high):
-            a, b = id_[i], id_[j]
+            apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+            may = apart <= (n[i] + n[j]) * (1 - similarity) / (1 + similarity) + 1e-6
+            a, b = id_[i[may]], id_[j[may]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     for batch in batches:
@@ -381,10 +390,12 @@ def _others(batches: Iterator[pa.RecordBatch], radius: int, low: int, high: int
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text) to (id, its distinct shingles as four bytes each)."""
+    """Rows (id, text) to (id, n, its distinct shingles as four bytes each, a sketch: which of BINS hold an odd number of them)."""
     for batch in batches:
-        out = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), width)]) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "shingles"])
+        sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t.as_py(), width)]) >> np.uint64(32)).astype(np.uint32) for t in batch.column(1)]
+        sketch = [np.packbits(np.bincount((x % BINS).astype(np.int64), minlength=BINS) & 1).tobytes() for x in sets]
+        out = [pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(sketch, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["id", "n", "shingles", "sketch"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -455,7 +466,7 @@ def similar_texts(
     # all texts that have a near one meet it in the first round
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(unique.select("id", "__k1", "__k2"), "id")
     once = source.select("__k1", "__k2", "__text").mapInArrow(_first_rows, "__k1 long, __k2 long, __text string")
-    found = once.join(broadcast_if_small(wanted), ["__k1", "__k2"]).select("id", "__text").mapInArrow(lambda it: _sets(it, width), "id long, shingles binary")
+    found = once.join(broadcast_if_small(wanted), ["__k1", "__k2"]).select("id", "__text").mapInArrow(lambda it: _sets(it, width), "id long, n int, shingles binary, sketch binary")
     content = materialize(found.dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -467,7 +478,8 @@ def similar_texts(
         labelled = keyed.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "fp", "id", F.coalesce("label", "id").alias("label"))
         labelled = materialize(labelled)
         mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        near = _deal(labelled.join(mixed, "key", "left_semi")).mapInArrow(lambda it, low=low, high=high: _others(it, radius, low, high), "a long, b long").distinct()
+        open_ = labelled.join(mixed, "key", "left_semi").join(content.select("id", "n", "sketch"), "id").select("key", "fp", "id", "label", "n", "sketch")
+        near = _deal(open_).mapInArrow(lambda it, low=low, high=high: _others(it, radius, similarity, low, high), "a long, b long").distinct()
         pairs = materialize(near.join(tried, ["a", "b"], "left_anti"))
         new, tried = verified(pairs), tried.union(pairs)
         if not new.isEmpty():
