@@ -21,6 +21,7 @@ from millrace.llm.columns import keeping
 from millrace.llm.textbatch import pieces
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
+PIECE = 250_000  # characters whose n-grams a task holds at once
 UNDETERMINED = "und"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
@@ -109,7 +110,7 @@ def fit(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for first, texts in pieces(batch, "text"):
+            for first, texts in pieces(batch, "text", PIECE):
                 h, row = _grams(texts, orders)
                 names = sorted({*langs[first : first + len(texts)]})
                 index = np.array([names.index(x) for x in langs[first : first + len(texts)]])[row]
@@ -186,7 +187,7 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text", keep: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for _, texts in pieces(batch, "__text"):
+            for _, texts in pieces(batch, "__text", PIECE):
                 a, b = _decide(shared.value, texts)
                 langs += a
                 scores.append(b)
