@@ -9,7 +9,7 @@ from millrace.plans.materialize import shared_path
 from millrace.sources import versioned
 from millrace.sources.tables import append_in_batches, table
 from millrace.streaming.events import fold_versions, to_table
-from millrace.streaming.source import append_events, read_event_table
+from millrace.streaming.source import append_batches, read_event_table
 
 #: Vector indexes of this process by application and tables.
 _INDEXES: dict[tuple[str, str], str] = {}
@@ -75,8 +75,7 @@ def streamed_events(spark, sf):
     rows = append_in_batches(table(spark, sf, "events").select("event_id", "event_type", "value"), "event_id", 4000)
     rows = rows.select(F.col("row_no").cast("long").alias("sequence_num"), "event_id", "event_type", "value", "batch")
     path, out = shared_path(spark, "events"), shared_path(spark, "streamed")
-    for batch in range(rows.agg(F.max("batch")).first()[0] + 1):
-        append_events(rows.where(F.col("batch") == batch).drop("batch"), path)
+    append_batches(rows, path, "batch")
     stream = read_event_table(spark, path if ":" in path else f"file://{path}", rows.drop("batch").schema)
     to_table(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("sequence_num", "event_id", "event_type", "value")

@@ -17,10 +17,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: What to do where sequence numbers are missing: wait for them, fail, or go on without them.
 GAPS = ("wait", "fail", "skip")
+#: Sequence numbers up to which neighbouring batches are read by one task.
+TASK_EVENTS = 100_000
 
 
 def append_events(events: DataFrame, path: str, sequence: str = "sequence_num") -> tuple[int, int] | None:
@@ -47,14 +49,49 @@ def append_events(events: DataFrame, path: str, sequence: str = "sequence_num")
     return first, last
 
 
+def append_batches(events: DataFrame, path: str, batch: str, sequence: str = "sequence_num") -> list[tuple[int, int]]:
+    """Add the events as one batch for each value of ``batch`` (a whole number), all written by one job: their (first, last), in order.
+
+    Each batch appears by its own rename, the earliest first. If the numbers of any repeat, break off or were written before, all
+    are refused and nothing is added.
+    """
+    spark = events.sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    kept = [c for c in events.columns if c != batch]
+    events.select(*kept, F.col(batch).cast("long").alias("__batch")).repartition("__batch").write.partitionBy("__batch").parquet(staged)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(staged)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not any(s.isDirectory() for s in files.listStatus(where)):
+        files.delete(where, True)
+        return []
+    rows = spark.read.schema(StructType([*events.select(*kept).schema, StructField("__batch", LongType())])).parquet(staged)
+    found = rows.groupBy("__batch").agg(F.min(sequence).alias("first"), F.max(sequence).alias("last"), F.count(F.lit(1)).alias("n"), F.count_distinct(sequence).alias("distinct"))
+    told = sorted(tuple(r) for r in found.select("first", "last", "__batch", "n", "distinct").collect())  # a row for each folder
+    before = _batches([s.getPath().getName() for s in files.listStatus(jvm.org.apache.hadoop.fs.Path(path))])
+    spans = sorted([*((a, b) for a, b, _ in before), *((a, b) for a, b, *_ in told)])
+    wrong = [(a, b) for a, b, key, n, distinct in told if key is None or distinct != n or b - a + 1 != n]
+    wrong += [y for x, y in zip(spans, spans[1:], strict=False) if y[0] <= x[1]]
+    done = []
+    for first, last, key, *_ in [] if wrong else told:
+        if not files.rename(jvm.org.apache.hadoop.fs.Path(f"{staged}/__batch={key}"), jvm.org.apache.hadoop.fs.Path(f"{path}/batch-{first:020d}-{last:020d}")):
+            wrong = [(first, last)]
+            break
+        done.append((first, last))
+    files.delete(where, True)
+    if wrong:
+        raise ValueError(f"sequence numbers {wrong[0][0]} to {wrong[0][1]} repeat, break off or were written before")
+    return done
+
+
 def _batches(names: list[str]) -> list[tuple[int, int, str]]:
     """(first, last, name) of the batches among the names, in order."""
     return sorted((int(m[1]), int(m[2]), n) for n in names if (m := re.fullmatch(r"batch-(\d+)-(\d+)", n)))
 
 
 class _Span(InputPartition):
-    def __init__(self, folder: str, first: int, end: int) -> None:
-        self.folder, self.first, self.end = folder, first, end
+    def __init__(self, folders: list[str], first: int, end: int) -> None:
+        self.folders, self.first, self.end = folders, first, end
 
 
 class EventReader(DataSourceStreamReader):
@@ -86,13 +123,23 @@ class EventReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         low, high = start["next"], end["next"]
-        return [_Span(name, max(low, first), min(high, last + 1)) for first, last, name in self._listed() if first < high and last >= low]
+        spans: list[_Span] = []
+        for first, last, name in self._listed():
+            if first >= high or last < low:
+                continue
+            if spans and min(high, last + 1) - spans[-1].first <= TASK_EVENTS:  # small batches share a task
+                spans[-1].folders.append(name)
+                spans[-1].end = min(high, last + 1)
+            else:
+                spans.append(_Span([name], max(low, first), min(high, last + 1)))
+        return spans
 
     def read(self, partition: _Span) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(self._path)
-        rows = ds.dataset(f"{root}/{partition.folder}", filesystem=files, format="parquet", exclude_invalid_files=False)
         wanted = (pc.field(self._sequence) >= partition.first) & (pc.field(self._sequence) < partition.end)
-        yield from rows.to_batches(columns=self._names, filter=wanted)
+        for folder in partition.folders:
+            rows = ds.dataset(f"{root}/{folder}", filesystem=files, format="parquet", exclude_invalid_files=False)
+            yield from rows.to_batches(columns=self._names, filter=wanted)
 
     def commit(self, end: dict) -> None:
         """Offsets are kept in the checkpoint; the table itself is never changed by a reader."""

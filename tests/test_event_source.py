@@ -75,3 +75,19 @@ def test_what_may_be_appended(spark, tmp_path):
             E.append_events(bad, path)
     assert E.append_events(events(spark, 5, 4), path) is None
     assert drain(spark, tmp_path) == [0, 1, 2, 3, 4]
+
+
+def test_many_batches_are_written_by_one_job_and_share_tasks(spark, tmp_path):
+    path = f"file://{tmp_path}/events"
+    rows = events(spark, 0, 499).withColumn("batch", F.floor(F.col("sequence_num") / 5))
+    assert E.append_batches(rows, path, "batch") == [(a, a + 4) for a in range(0, 500, 5)]
+    reader = E.EventReader(spark.createDataFrame([], SCHEMA).schema, path, 0, "wait", "sequence_num")
+    assert len(reader.partitions({"next": 0}, {"next": 500})) == 1
+    assert drain(spark, tmp_path) == list(range(500))
+    with pytest.raises(ValueError, match="495 to 499"):
+        E.append_batches(events(spark, 495, 504).withColumn("batch", F.floor(F.col("sequence_num") / 5)), path, "batch")
+    with pytest.raises(ValueError, match="500 to 509"):
+        E.append_batches(events(spark, 500, 509).where("sequence_num <> 504").withColumn("batch", F.lit(0)), path, "batch")
+    assert E.append_batches(rows.limit(0), path, "batch") == []
+    assert E.append_batches(events(spark, 500, 502).withColumn("batch", F.lit(7)), path, "batch") == [(500, 502)]
+    assert drain(spark, tmp_path) == list(range(503))
