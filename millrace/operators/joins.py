@@ -235,7 +235,8 @@ def _points_within(points: DataFrame, intervals: DataFrame, keys: list[str], bit
     covered = intervals.select("i", *keys, F.explode(dyadic_cover(F.col("low"), F.col("high"), bits)).alias("b")).select("i", *keys, "b.*")
     level = F.explode(F.sequence(F.lit(0), F.lit(bits)))
     blocks = points.select("p", "t", *keys, level.alias("level")).select("p", *keys, "level", F.expr("shiftright(t, level)").alias("node"))
-    return blocks.join(covered, [*keys, "level", "node"]).select("p", "i")
+    # both sides are many times what the planner estimates of them before the blocks are laid out, so neither is broadcast
+    return blocks.join(covered.hint("merge"), [*keys, "level", "node"]).select("p", "i")
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str], start: str = "start", end: str = "end", unit: int = 1) -> DataFrame:

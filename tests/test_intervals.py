@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as A
 from millrace.operators import joins as J
@@ -48,3 +49,9 @@ def test_canonical_aggregates_of_planted_mentions(spark):
     assert (b.main_type, b.under_review, b.stopword_like) == ("person", True, False)
     assert b.centroid == pytest.approx([3**-0.5] * 3)  # of lengths held equally often, the longer one
     assert A.canonical_aggregates(spark.createDataFrame([], schema), 8).count() == 0
+
+
+def test_no_side_is_broadcast(spark):
+    rows = spark.range(50).select("id", F.lit(1).alias("k"), F.col("id").alias("start"), (F.col("id") + 5).alias("end"))
+    plan = J.overlapping(rows, rows, "id", "id", ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
