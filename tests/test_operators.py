@@ -311,3 +311,16 @@ def test_temporal_links_of_a_busy_key_and_ties(spark):
             other = sorted((abs(t - u), j) for q, j, u in rows[:300] if q == k and j != i and abs(t - u) <= 1800)
             want |= {(i, j, round(max(0.3, 1 - g / 1800), 9)) for g, j in other[:limit]}
         assert {(x.a, x.b, round(x.weight, 9)) for x in J.temporal_links(frame, "k", "id", "ts", 30.0, limit).collect()} == want
+
+
+def test_texts_are_mapped_in_bounded_pieces(spark):
+    import pyarrow as pa
+
+    from millrace.operators import textmap as M
+
+    texts = ["x" * (M.BYTES // 3)] * 8 + [None, ""] + ["y" * (2 * M.BYTES)] + ["z"] * (3 * M.ROWS)
+    pieces = list(M._pieces(pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"]), 1))
+    assert [x for p in pieces for x in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or (p.num_rows <= M.ROWS and sum(len(t or "") for t in p.column(1).to_pylist()[:-1]) <= M.BYTES) for p in pieces)
+    assert len(pieces) == 6
+    assert list(M._pieces(pa.record_batch([pa.array([], pa.string())], names=["text"]), 0)) == []
