@@ -324,3 +324,17 @@ def test_texts_are_mapped_in_bounded_pieces(spark):
     assert all(p.num_rows == 1 or (p.num_rows <= M.ROWS and sum(len(t or "") for t in p.column(1).to_pylist()[:-1]) <= M.BYTES) for p in pieces)
     assert len(pieces) == 6
     assert list(M._pieces(pa.record_batch([pa.array([], pa.string())], names=["text"]), 0)) == []
+
+
+def test_many_queries_are_scored_in_bounded_parts(spark):
+    import numpy as np
+
+    from millrace.operators import search as R
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(R.QUERIES_AT_ONCE * 2 + 5, 4))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").coalesce(1)
+    found = R.vector_topk_many(items, items.selectExpr("id as query_id", "embedding as vector"), 3).collect()
+    y = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = {(i, j) for i, row in enumerate(y @ y.T) for j in np.argsort(-row)[:3].tolist()}
+    assert {(r.query_id, r.id) for r in found} == want and len(found) == 3 * len(x)
