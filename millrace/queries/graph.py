@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import graph as G
 from millrace.operators.leiden import community_levels
-from millrace.plans.materialize import materialize
+from millrace.plans.materialize import materialize, shuffle_parts
 from millrace.sources.tables import table
 
 _SQL_EDGES = "e AS (SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target, min(o_orderpriority) AS type, CAST(sum(l_quantity) AS DOUBLE) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
@@ -15,6 +15,8 @@ _SQL_BOTH = _SQL_EDGES + ", b AS (SELECT source AS src, target AS dst, weight, t
 
 #: Edges of this process by application and tables: written once, read by all graph queries.
 _EDGES: dict = {}
+#: Order lines that a task joins and adds up.
+LINES = 200_000
 
 
 def _edges(spark, sf):
@@ -24,9 +26,18 @@ def _edges(spark, sf):
     return _EDGES[key]
 
 
+def _edge_parts(spark, lines: int) -> int:
+    """Partitions in which edges are made: more lines need more of them, not more memory of a task."""
+    return max(shuffle_parts(spark), -(-lines // LINES))
+
+
 def _joined(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("c"), F.col("o_custkey")).alias("source"), "o_orderpriority")
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"), "l_quantity")
+    parts = _edge_parts(spark, table(spark, sf, "lineitem").count())
+    if parts > shuffle_parts(spark):
+        o, li = o.repartition(parts, "k"), li.repartition(parts, "k")
+        return o.join(li.hint("merge"), "k").repartition(parts, "source", "target").groupBy("source", "target").agg(F.min("o_orderpriority").alias("type"), F.sum("l_quantity").alias("weight"))
     return o.join(li, "k").groupBy("source", "target").agg(F.min("o_orderpriority").alias("type"), F.sum("l_quantity").alias("weight"))
 
 

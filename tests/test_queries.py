@@ -54,3 +54,14 @@ def test_entry(spark, sf):
 def test_all_sql_belongs_to_a_query():
     assert set(core.SQL) <= set(core.QUERIES)
     assert os.path.isdir("/root/testdata/sf0.001")
+
+
+def test_more_lines_give_more_partitions_of_the_same_edges(spark, sf, monkeypatch):
+    from millrace.queries import graph
+
+    want = sorted(tuple(r) for r in graph._joined(spark, sf).select("source", "target", "type", "weight").collect())
+    monkeypatch.setattr(graph, "LINES", 200)
+    split = graph._joined(spark, sf)
+    assert split.rdd.getNumPartitions() > 8
+    assert sorted(tuple(r) for r in split.select("source", "target", "type", "weight").collect()) == want
+    assert not any("parts" in name for name in graph.QUERIES)
