@@ -95,7 +95,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("line", "other", 1).between(0, 1)).select(*KEY).distinct()
 
 
-@keeping("n_lines", "n_removed", "kept_text")
+@keeping("n_lines", "n_removed", "kept_text", all_columns=True)
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = 20, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns with ``n_lines``, ``n_removed`` and ``kept_text``: the text without lines that repeat an earlier one.
 
