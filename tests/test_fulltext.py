@@ -102,3 +102,22 @@ def test_a_source_is_replaced_and_only_its_buckets_are_read(spark, corpus, tmp_p
     found = versioned.read(spark, path).where((F.col("bucket") == 3) & F.col("lexeme").isin("zebra"))
     plan = found._jdf.queryExecution().toString()
     assert "(bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(lexeme" in plan or "EqualTo(lexeme" in plan
+
+
+def test_index_is_dealt_by_the_size_of_its_text(spark, tmp_path):
+    few = spark.createDataFrame([(i, "running cats run", f"s{i % 3}") for i in range(30)], "id long, content string, source string")
+    assert T.index_parts(few, "content", "source") == (int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    many = few.withColumn("content", F.repeat("content", 1_000_000))
+    parts, split = T.index_parts(many, "content", "source")
+    assert parts == -(-30 * 16_000_000 // T.PIECE) and split == -(-10 * 16_000_000 // (T.BUCKETS * T.PIECE))
+    # words are stemmed where they are found: neither a join nor a table of them
+    found = T.postings(few, "id", "content", "source")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.source, r.id, r.lexeme, r.tf, tuple(r.positions), r.len) for r in found.collect())
+    want = [(f"s{i % 3}", i, w, len(p), p, 3) for i in range(30) for w, p in (("", ()), ("run", (1,)), ("cat", (2,)), ("run", (3,)))]
+    assert got == sorted(want)
+    # the scores of all queries for a document are added up where its postings are
+    path = str(tmp_path / "index")
+    T.write_index(few, path, analyzer="plain")
+    plan = T.bm25(spark, path, spark.createDataFrame([(1, "cats"), (2, "run cats")], "query_id long, query string"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "REPARTITION_BY_NUM" in plan
