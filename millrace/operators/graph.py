@@ -16,7 +16,7 @@ from millrace.functions.predicates import valid_at
 from millrace.operators.components import component_labels
 from millrace.operators.joins import incident_counts, with_both_ends
 from millrace.operators.search import vector_topk_many
-from millrace.plans.materialize import free, materialize
+from millrace.plans.materialize import broadcast_if_small, free, materialize
 
 
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
@@ -245,6 +245,7 @@ def expire(edges: DataFrame, ids: DataFrame, id_col: str, at: Column) -> DataFra
 
 def rewrite_endpoints(edges: DataFrame, id_map: DataFrame, kept: DataFrame) -> DataFrame:
     """Endpoints by a merge map (old, new); edges to unknown vertices and loops go; parallel edges add up."""
+    id_map = broadcast_if_small(id_map)
     for end in ("source", "target"):
         m = id_map.select(F.col("old").alias(end), F.col("new").alias("__new"))
         edges = edges.join(m, end, "left").withColumn(end, F.coalesce("__new", end)).drop("__new")
