@@ -119,12 +119,12 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.
 def decay_expansion(edges: DataFrame, seeds: DataFrame, depth: int = 2, alpha: float = 0.5, k: int = 20) -> DataFrame:
     """(id, score) spread from seeds (id): a new vertex gains alpha ** level times its heaviest edge from the level before; top k,
     scaled to 1. Visited vertices gain nothing more."""
-    links = materialize(both_ways(edges, "weight").groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    links = both_ways(edges, "weight")  # the heaviest of parallel edges is told with the heaviest of all
     seen = materialize(seeds.select("id").distinct().withColumn("score", F.lit(1.0)))
     frontier = seen
     for d in range(1, min(depth, 5) + 1):
-        gain = frontier.select(F.col("id").alias("src")).join(links, "src").groupBy(F.col("dst").alias("id")).agg((F.lit(alpha**d) * F.max("weight")).alias("score"))
-        frontier = materialize(gain.join(seen, "id", "left_anti"))
+        gain = links.join(broadcast_if_small(frontier.select(F.col("id").alias("src"))), "src").groupBy(F.col("dst").alias("id")).agg((F.lit(alpha**d) * F.max("weight")).alias("score"))
+        frontier = materialize(gain.join(broadcast_if_small(seen), "id", "left_anti"))
         if frontier.isEmpty():
             break
         seen = materialize(seen.union(frontier))

@@ -40,3 +40,16 @@ def test_rewritten_endpoints_are_looked_up_in_place(spark, written):
         b = {"s3": "s2", "s6": "s5"}.get(b, b)
         want[a, b] = want.get((a, b), 0.0) + w
     assert {(r.source, r.target): r.weight for r in found.collect()} == want
+
+
+def test_decay_expansion_groups_no_links(spark, written):
+    got = {r.id: r.score for r in G.decay_expansion(edges(spark), spark.createDataFrame([("s1",)], "id string"), 2, 0.5, 100).collect()}
+    assert not [p for p in written if "keys=[src" in p]
+    links, score, front = [tuple(r) for r in G.both_ways(edges(spark), "weight").collect()], {"s1": 1.0}, {"s1"}
+    for d in (1, 2):
+        gain = {}
+        for a, b, w in links:
+            if a in front and b not in score:
+                gain[b] = max(gain.get(b, 0.0), 0.5**d * w)
+        score, front = score | gain, set(gain)
+    assert got == pytest.approx({k: v / max(score.values()) for k, v in score.items()})
