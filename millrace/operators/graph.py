@@ -16,7 +16,15 @@ from millrace.functions.predicates import valid_at
 from millrace.operators.components import component_labels
 from millrace.operators.joins import incident_counts, with_both_ends
 from millrace.operators.search import vector_topk_many
-from millrace.plans.materialize import broadcast_if_small, free, materialize
+from millrace.plans.materialize import broadcast_if_small, bucketed, free, materialize, shuffle_parts
+
+#: Links of a bucket: more links need more buckets, not more memory of a task.
+LINKS = 4_000_000
+
+
+def link_parts(links: DataFrame) -> int:
+    """Buckets of a table of links."""
+    return max(shuffle_parts(links.sparkSession), -(-links.count() // LINKS))
 
 
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
@@ -87,15 +95,18 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.
     Mass of vertices without outgoing edges, and teleports, go to all vertices or, if given, to the seeds (personalised). Stops
     when the scores move by less than vertices * tolerance in sum. No valid seed gives an empty result.
     """
-    weights = edges.groupBy("source", "target").agg(F.sum(F.col("weight").cast("double")).alias("w")).where("w > 0")
-    out = weights.groupBy("source").agg(F.sum("w").alias("total"))
-    share = materialize(weights.join(out, "source").select("source", "target", (F.col("w") / F.col("total")).alias("share")))
+    # dealt once by source: sums, shares and all iterations find them there
+    parts = link_parts(edges)
+    weights = edges.select("source", "target", "weight").repartition(parts, "source").groupBy("source", "target").agg(F.sum(F.col("weight").cast("double")).alias("w")).where("w > 0")
+    total = F.sum("w").over(W.Window.partitionBy("source"))
+    share = bucketed(weights.select("source", "target", (F.col("w") / total).alias("share")), "source", parts)
     ids = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     if seeds is not None:
         marks = seeds.select("id").distinct().withColumn("p", F.lit(1.0))
         ids = ids.join(marks, "id", "left").fillna(0.0, ["p"])
     else:
         ids = ids.withColumn("p", F.lit(1.0))
+    ids = materialize(ids)
     total = ids.agg(F.sum("p").alias("all"), F.count(F.lit(1)).alias("n")).first()
     spark = edges.sparkSession
     if not total["n"] or not total["all"]:
@@ -106,7 +117,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.
     ranks = base.select("id", "p", "has_out", F.lit(1.0 / n).alias("score"))
     for _ in range(iterations):
         dangling = ranks.where("not has_out").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        moved = ranks.join(share, ranks["id"] == share["source"]).groupBy(F.col("target").alias("to")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        moved = share.join(ranks.select(F.col("id").alias("source"), "score").hint("shuffle_hash"), "source").groupBy(F.col("target").alias("to")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         step = ranks.join(moved, ranks["id"] == moved["to"], "left").crossJoin(F.broadcast(dangling))  # one row
         new = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + F.lit(1 - alpha) * F.col("p")
         done, ranks = ranks, materialize(step.select("id", "p", "has_out", new.alias("score"), F.abs(new - F.col("score")).alias("moved")))
@@ -142,25 +153,30 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10) ->
 
     Deterministic: halves by hash, ties to the smaller community. Exact labels differ from other heuristics; compare modularity.
     """
-    links = both_ways(edges, "weight").groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("w"))
-    links = materialize(links)
-    strength = materialize(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+    links = both_ways(edges, "weight")
+    parts = link_parts(links)
+    links = bucketed(links.repartition(parts, "dst").groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("w")), "dst", parts)
+    strength = materialize(links.groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("k")))
     m2 = strength.agg(F.sum("k")).first()[0]
     labels = materialize(strength.select("id", "k", F.col("id").alias("community")))
     if not m2:
         return labels.select("id", "community")
     for r in range(rounds):
         sizes = labels.groupBy("community").agg(F.sum("k").alias("total"))
-        near = links.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("to"))
-        own = labels.select("id", "k", F.col("community").alias("old"))
-        gain = near.join(own, "id").join(sizes, "community")
+        named = materialize(labels.join(sizes, "community"))
+        # links stay in their buckets, those of the half that may move travel once, to their vertex
+        turn = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == r % 2  # noqa: B023, E731
+        there = named.select(F.col("id").alias("dst"), "community", "total").hint("shuffle_hash")
+        near = links.where(turn("src")).join(there, "dst").select(F.col("src").alias("id"), "community", "total", "w").repartition(parts, "id")
+        own = named.where(turn("id")).select("id", "k", F.col("community").alias("old")).hint("shuffle_hash")
+        gain = near.groupBy("id", "community", "total").agg(F.sum("w").alias("to")).join(own, "id")
         total = F.col("total") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)
         gain = gain.withColumn("gain", F.col("to") - F.lit(resolution / m2) * F.col("k") * total)
         best = gain.groupBy("id").agg(F.max(F.struct("gain", "community")).alias("g"), F.max(F.when(F.col("community") == F.col("old"), F.col("gain"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        moves = best.where(turn & (F.col("g.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12)).select("id", F.col("g.community").alias("new"))
+        moves = best.where(F.col("g.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12).select("id", F.col("g.community").alias("new"))
         updated = materialize(labels.join(moves, "id", "left").select("id", "k", F.coalesce("new", "community").alias("community"), F.col("new").isNotNull().alias("moved")))
         changed = updated.where("moved").limit(1).count()
+        free(named)
         labels = updated.drop("moved")
         if not changed and r % 2:
             break

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import graph as G
+from millrace.plans.materialize import bucketed, free, shuffle_parts
 
 
 @pytest.fixture
@@ -30,16 +31,22 @@ def edges(spark):
     return spark.createDataFrame(rows, "source string, target string, weight double")
 
 
-def test_rewritten_endpoints_are_looked_up_in_place(spark, written):
-    merges = spark.createDataFrame([("s3", "s2"), ("s6", "s5")], "old string, new string")
-    kept = edges(spark).select(F.explode(F.array("source", "target")).alias("id")).distinct().where("id not in ('s3', 's6')")
-    found = G.rewrite_endpoints(edges(spark).withColumn("type", F.lit("t")), merges, kept)
-    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
-    want: dict = {}
-    for a, b, w in (tuple(r) for r in edges(spark).collect()):
-        b = {"s3": "s2", "s6": "s5"}.get(b, b)
-        want[a, b] = want.get((a, b), 0.0) + w
-    assert {(r.source, r.target): r.weight for r in found.collect()} == want
+def test_bucketed_tables_are_joined_in_place(spark, written):
+    n = shuffle_parts(spark)
+    table = bucketed(edges(spark).repartition(n, "source"), "source", n)
+    joined = table.join(edges(spark).groupBy("source").agg(F.sum("weight").alias("total")), "source")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert f"SelectedBucketsCount: {n} out of {n}" in plan and joined.count() == 300
+    free(table)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("millrace_")]
+
+
+def test_pagerank_and_communities_leave_links_in_their_buckets(spark, written):
+    G.pagerank(edges(spark), iterations=2, tolerance=0.0).collect()
+    assert sum("SelectedBucketsCount" in p for p in written) >= 2
+    written.clear()
+    G.communities(edges(spark), rounds=2).collect()
+    assert sum("SelectedBucketsCount" in p for p in written) >= 2
 
 
 def test_decay_expansion_groups_no_links(spark, written):
@@ -53,3 +60,15 @@ def test_decay_expansion_groups_no_links(spark, written):
                 gain[b] = max(gain.get(b, 0.0), 0.5**d * w)
         score, front = score | gain, set(gain)
     assert got == pytest.approx({k: v / max(score.values()) for k, v in score.items()})
+
+
+def test_rewritten_endpoints_are_looked_up_in_place(spark, written):
+    merges = spark.createDataFrame([("s3", "s2"), ("s6", "s5")], "old string, new string")
+    kept = edges(spark).select(F.explode(F.array("source", "target")).alias("id")).distinct().where("id not in ('s3', 's6')")
+    found = G.rewrite_endpoints(edges(spark).withColumn("type", F.lit("t")), merges, kept)
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
+    want: dict = {}
+    for a, b, w in (tuple(r) for r in edges(spark).collect()):
+        b = {"s3": "s2", "s6": "s5"}.get(b, b)
+        want[a, b] = want.get((a, b), 0.0) + w
+    assert {(r.source, r.target): r.weight for r in found.collect()} == want
