@@ -31,10 +31,14 @@ from millrace.plans.materialize import broadcast_if_small, free, materialize, sh
 
 #: Largest size for which naming subsets is considered; their number explodes beyond.
 LIGHT = 24
+#: List entries that cost as much as one named subset: that is hashed in Python, shuffled and grouped, an entry is a row of an array.
+SUBSET = 16
 #: Bits of a set's parity sketch, and members of a list that one task compares; longer lists are dealt over pairs of blocks.
 BITS, BLOCK = 512, 1 << 14
 #: Distances in a list, in order of size, at which members of different classes meet, round after round; the last has no end.
 ROUNDS = ((0, 16), (16, 256), (256, 1 << 60))
+#: Lists of a member, the first ones, by which a list knows that an earlier one tells a pair.
+FIRST = 8
 
 
 def need(s, t, percent: int):
@@ -132,14 +136,14 @@ def light_links(light: DataFrame, most: int, percent: int) -> DataFrame:
 
 
 def boundary(sizes: dict[int, int], scanned: dict[int, int], percent: int) -> int:
-    """The size up to which sets are light: least sum of subsets named up to it and list entries scanned above it.
+    """The size up to which sets are light: least cost of subsets named up to it and list entries scanned above it.
 
     ``sizes`` counts sets by size, ``scanned`` sums the lengths of their lists; both for sizes up to LIGHT.
     """
     costs = {}
     for most in range(LIGHT + 1):
         subsets = sum(n * sum(comb(s, c) for c in subset_sizes(s, most, percent)) for s, n in sizes.items() if s <= most)
-        costs[most] = subsets + sum(n for s, n in scanned.items() if s > most)
+        costs[most] = SUBSET * subsets + sum(n for s, n in scanned.items() if s > most)
     return min(costs, key=lambda x: (costs[x], x))
 
 
@@ -166,16 +170,23 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+_NO_LIST = (1 << 63) - 1  # no list is less than another by it
+
+
 def _meet(batches: Iterator[pa.RecordBatch], percent: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, n, id, label, sketch, most), sorted, to pairs (a, b) of one key that may link though their labels differ.
+    """Rows (key, n, id, label, sketch, most, g, first), sorted, to pairs (a, b) of one key that may link though their labels differ.
 
     Only members more than ``low`` and at most ``high`` places apart are told. The bins in which parities differ are no more than
     the n-grams that are in one set only, so no linked pair is left out. Of two light sets (at most ``most``) nothing is told.
+    A pair that meets in many lists is left to the least of them: ``first`` are a member's least lists, and where two have one in
+    common that is less than this list g, that one tells the pair, in the round of its distance there.
     """
     held: list[pa.RecordBatch] = []
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, n, id_, label, most = (table.column(c).to_numpy() for c in ("key", "n", "id", "label", "most"))
+        key, n, id_, label, most, g = (table.column(c).to_numpy() for c in ("key", "n", "id", "label", "most", "g"))
+        lists = table.column("first").to_pylist()
+        first = np.array([x + [_NO_LIST] * (FIRST - len(x)) for x in lists], np.int64)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
         n = n.astype(np.int64)
         # a key's members are sorted by size, and those too large for a member are no more than a prefix of what follows
@@ -187,6 +198,8 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int, low: int, high: int)
             if len(j):
                 apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
                 j = j[apart <= n[i] + n[j] - 2 * need(n[i], n[j], percent)]
+                if len(j):
+                    j = j[~np.isin(first[j], first[i][first[i] < g[i]]).any(1)]
                 a.append(np.full(len(j), id_[i]))
                 b.append(id_[j])
                 if len(a) > 4096:
@@ -302,8 +315,10 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         mixed = labelled.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("g")
         if mixed.isEmpty():
             break
-        open_ = labelled.join(mixed, "g", "left_semi").join(content.select("id", "sketch"), "id").withColumn("most", F.lit(most))
-        keyed = _dealt(open_, BLOCK).select("key", "n", "id", "label", "sketch", "most")
+        mine = labelled.join(mixed, "g", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_list("g")).alias("lists"))
+        mine = mine.join(content.select("id", "sketch"), "id").withColumn("first", F.slice("lists", 1, FIRST))
+        open_ = mine.select(F.explode("lists").alias("g"), "n", "id", "label", "sketch", F.lit(most).alias("most"), "first").withColumn("list", F.col("g"))
+        keyed = _dealt(open_, BLOCK).withColumnRenamed("list", "g").select("key", "n", "id", "label", "sketch", "most", "g", "first")
         keyed = keyed.repartition(shuffle_parts(docs.sparkSession), "key").sortWithinPartitions("key", "n", "id")
         pairs = keyed.mapInArrow(lambda it, low=low, high=high: _meet(it, percent, low, high), "a long, b long").distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))

@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard_join as J
@@ -111,6 +112,27 @@ def test_prefixes_and_subsets_keep_every_link():
             assert any(c >= J.need(len(a), len(b), 85) for c, _ in names[0] & names[1])
 
 
+def test_a_pair_of_many_lists_is_told_in_the_least_one():
+    """Three lists hold the same members, a fourth only two of them; every pair is told, each once."""
+    rows = []
+    members = {g: [1, 2, 3] for g in (-7, 5, 40)} | {2: [2, 4]}
+    for g, ids in members.items():
+        for i in ids:
+            first = sorted(h for h, of in members.items() if i in of)[: J.FIRST]
+            rows.append({"key": g, "n": 30, "id": i, "label": i, "sketch": bytes(J.BITS // 8), "most": 0, "g": g, "first": first})
+    rows.sort(key=lambda r: (r["key"], r["n"], r["id"]))
+    told = [(r["a"], r["b"]) for out in J._meet(iter(pa.Table.from_pylist(rows).to_batches()), 85, 0, 1 << 60) for r in out.to_pylist()]
+    assert sorted(told) == [(1, 2), (1, 3), (2, 3), (2, 4)]
+    # batches of one key's rows each
+    by_key = [pa.RecordBatch.from_pylist([r for r in rows if r["key"] == g]) for g in sorted(members)]
+    assert sum(out.num_rows for out in J._meet(iter(by_key), 85, 0, 1 << 60)) >= 4
+
+
+def test_naming_a_subset_costs_more_than_scanning_an_entry():
+    assert J.boundary({5: 10}, {5: 100}, 85) == 0
+    assert J.boundary({5: 10}, {5: 100 * J.SUBSET}, 85) == 5
+
+
 def test_boundary_follows_the_cost():
     assert J.boundary({}, {}, 85) == 0
     assert J.boundary({5: 10, 20: 10}, {5: 1000, 20: 1000}, 85) == 5  # subsets of 20 are too many
