@@ -25,7 +25,7 @@ from pyspark.sql import window as W
 from millrace.llm.columns import keeping
 from millrace.llm.hotkeys import left_join
 from millrace.llm.simhash import _first_rows, shingle_hashes
-from millrace.llm.textbatch import pieces
+from millrace.llm.textbatch import BATCH_BYTES, pieces, trimmed
 from millrace.operators.components import component_labels
 from millrace.plans.materialize import broadcast_if_small, free, materialize, shuffle_parts
 
@@ -126,7 +126,7 @@ def light_links(light: DataFrame, most: int, percent: int) -> DataFrame:
     Of the sets that name a subset of c n-grams, two link by it if need(s, t) <= c. The smallest links with every set that any
     other one links with, so it alone is joined with the others.
     """
-    named = light.select("id", "n", "prefix").mapInArrow(lambda it: _subsets(it, most, percent), "key long, c int, id long, n int")
+    named = light.select("id", "n", "prefix").mapInArrow(trimmed(lambda it: _subsets(it, most, percent)), "key long, c int, id long, n int")
     named = materialize(named)
     hubs = named.groupBy("key", "c").agg(F.min(F.struct("n", "id")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "c", "hub.*").toDF("key", "c", "hub_n", "hub")
     linked = named.join(hubs, ["key", "c"]).where((F.col("id") != F.col("hub")) & ((F.col("n") + F.col("hub_n")) * percent <= F.col("c") * (100 + percent)))
@@ -243,12 +243,12 @@ def _dealt(lists: DataFrame, block: int) -> DataFrame:
 
 def _postings(prefixes: DataFrame, percent: int) -> DataFrame:
     """(g, df, id, n) of each set's second prefix, for n-grams in the first prefix of two sets or more."""
-    spread = prefixes.select("id", "prefix").mapInArrow(_spread, "g long, id long")
+    spread = prefixes.select("id", "prefix").mapInArrow(trimmed(_spread), "g long, id long")
     shared = spread.withColumn("df", F.count(F.lit(1)).over(W.Window.partitionBy("g"))).where("df > 1")
     shared = shared.join(prefixes.select("id", "n"), "id")
     # what a set holds alone comes first in the order of frequency
     sizes = prefixes.select("n").distinct()
-    lengths = sizes.mapInArrow(lambda it: _lengths(it, percent), "n int, whole int, take int")
+    lengths = sizes.mapInArrow(trimmed(lambda it: _lengths(it, percent)), "n int, whole int, take int")
     mine = W.Window.partitionBy("id")
     ranked = shared.join(lengths, "n").withColumn("r", F.row_number().over(mine.orderBy("df", "g"))).withColumn("m", F.count(F.lit(1)).over(mine))
     return ranked.where(F.col("r") <= F.col("take") - (F.col("whole") - F.col("m"))).select("g", "df", "id", "n")
@@ -282,7 +282,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     source = docs.select(*kept, F.col(doc_id).alias("doc"), *t, body.alias("body"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.drop("body").schema)
-    rows = materialize(source.mapInArrow(lambda it: _sets(it, width, percent), f"{fields}n int, k1 long, k2 long, prefix binary").withColumn("row", F.monotonically_increasing_id()))
+    rows = materialize(source.mapInArrow(trimmed(lambda it: _sets(it, width, percent)), f"{fields}n int, k1 long, k2 long, prefix binary").withColumn("row", F.monotonically_increasing_id()), batch_bytes=BATCH_BYTES)
     classes = materialize(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("id"), F.min("doc").alias("low"), F.count(F.lit(1)).alias("copies")))
     firsts = rows.select(F.col("row").alias("id"), "n", "prefix", "t1", "t2").join(broadcast_if_small(classes.select("id")), "id", "left_semi")
     firsts = materialize(firsts)
@@ -299,14 +299,14 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     pairs = materialize(met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct())
     # whatever may link is in a list of two or more
     wanted = lists.join(hubs.select("g"), "g", "left_semi").select("id").distinct().join(firsts.select("id", "t1", "t2"), "id")
-    once = source.select("t1", "t2", "body").mapInArrow(_first_rows, "t1 long, t2 long, body string")
-    found = once.join(broadcast_if_small(materialize(wanted)), ["t1", "t2"]).select("id", "body").mapInArrow(lambda it: _content(it, width), "id long, n int, grams binary, sketch binary")
-    content = materialize(found.dropDuplicates(["id"]))
+    once = source.select("t1", "t2", "body").mapInArrow(trimmed(_first_rows), "t1 long, t2 long, body string")
+    found = once.join(broadcast_if_small(materialize(wanted)), ["t1", "t2"]).select("id", "body").mapInArrow(trimmed(lambda it: _content(it, width)), "id long, n int, grams binary, sketch binary")
+    content = materialize(found.dropDuplicates(["id"]), batch_bytes=BATCH_BYTES)
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda k, c: content.select(F.col("id").alias(k), F.col("grams").alias(c))
         both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-        return materialize(both.mapInArrow(lambda it: _linked(it, percent), "a long, b long"))
+        return materialize(both.mapInArrow(trimmed(lambda it: _linked(it, percent)), "a long, b long"), batch_bytes=BATCH_BYTES)
 
     labels, tried = component_labels(links.union(verified(pairs))), pairs
     for low, high in ROUNDS:
@@ -320,7 +320,7 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         open_ = mine.select(F.explode("lists").alias("g"), "n", "id", "label", "sketch", F.lit(most).alias("most"), "first").withColumn("list", F.col("g"))
         keyed = _dealt(open_, BLOCK).withColumnRenamed("list", "g").select("key", "n", "id", "label", "sketch", "most", "g", "first")
         keyed = keyed.repartition(shuffle_parts(docs.sparkSession), "key").sortWithinPartitions("key", "n", "id")
-        pairs = keyed.mapInArrow(lambda it, low=low, high=high: _meet(it, percent, low, high), "a long, b long").distinct()
+        pairs = keyed.mapInArrow(trimmed(lambda it, low=low, high=high: _meet(it, percent, low, high)), "a long, b long").distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
         new, tried = verified(pairs), tried.union(pairs)
         if not new.isEmpty():
