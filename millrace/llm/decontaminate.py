@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.columns import keeping
-from millrace.llm.textbatch import pieces
+from millrace.llm.textbatch import pieces, trimmed
 from millrace.plans.materialize import materialize
 
 WORD = re.compile(r"[^\W_]+")
@@ -121,7 +121,7 @@ def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"
     """
     kind = items.schema[item_id].dataType.simpleString()
     numbered = items.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("id"), F.col(text).alias("t"))
-    parts = materialize(numbered.mapInArrow(_parts, f"item long, id {kind}, part int, words array<string>"))
+    parts = materialize(numbered.mapInArrow(trimmed(_parts), f"item long, id {kind}, part int, words array<string>"))
     n, total = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
     if not n:
         return []
@@ -331,7 +331,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, keep: list[str], text:
                 values = (pa.array(c, t) for c, t in zip(columns[1:], (*[pa.float64()] * 4, pa.int32()), strict=True))
                 yield pa.RecordBatch.from_arrays([*taken.columns, ids, *values], names=[*taken.schema.names, *names])
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(trimmed(run), schema)
         out = part if out is None else out.union(part)
     return out
 
@@ -350,5 +350,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
                         bad[first + i] |= _verified(*overlaps, similarity)
                 yield batch.filter(pa.array(~bad))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

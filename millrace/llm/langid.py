@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.columns import keeping
-from millrace.llm.textbatch import pieces
+from millrace.llm.textbatch import pieces, trimmed
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
 PIECE = 250_000  # characters whose n-grams a task holds at once
@@ -118,7 +118,7 @@ def fit(
                     grams, counts = np.unique(h[index == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
+    counted = rows.mapInArrow(trimmed(count), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
     # bounded by the sample: its rows' distinct n-grams
     found = counted.toArrow()
     languages = tuple(sorted({*found.column("lang").to_pylist()}))
@@ -196,4 +196,4 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text", keep: list[s
 
     source = docs.select(*keep, F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("__text").schema)
-    return source.mapInArrow(run, f"{fields}{', ' * bool(fields)}`{names[0]}` string, `{names[1]}` double")
+    return source.mapInArrow(trimmed(run), f"{fields}{', ' * bool(fields)}`{names[0]}` string, `{names[1]}` double")

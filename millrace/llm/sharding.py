@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from millrace.llm.columns import keeping
+from millrace.llm.textbatch import trimmed
 from millrace.plans.materialize import broadcast_if_small, free, materialize
 
 #: Groups of one size that are numbered in one task.
@@ -119,7 +120,7 @@ def shard(docs: DataFrame, shards: int, group: Column, size: Column, keep: list[
     both = some.union(rest)
     schema = T.StructType([*both.schema.fields, T.StructField("__task", T.IntegerType()), T.StructField("__place", T.LongType())])
     # each task numbers its own rows and the numbers are written down, so a task that runs again changes nothing
-    counted = materialize(both.mapInArrow(_count_slots, schema))
+    counted = materialize(both.mapInArrow(trimmed(_count_slots), schema))
     before = W.Window.partitionBy("__shard").orderBy("__task").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = counted.groupBy("__shard", "__task").agg(F.count(F.lit(1)).alias("__n")).select("__shard", "__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     free(groups, classes, placed)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.columns import keeping
-from millrace.llm.textbatch import pieces
+from millrace.llm.textbatch import BATCH_BYTES, pieces, trimmed
 from millrace.operators.components import component_labels
 from millrace.plans.materialize import broadcast_if_small, free, materialize, shuffle_parts
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 4) ->
 
     source = docs.select(*keep, F.col(text).alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.drop("__text").schema)
-    return source.mapInArrow(run, f"{fields}fp long")
+    return source.mapInArrow(trimmed(run), f"{fields}fp long")
 
 
 # --- comparison ---------------------------------------------------------------------------------------------------------------
@@ -250,7 +250,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 4) -> DataFrame:
         mask -= (1 << 64) if mask >= 1 << 63 else 0
         keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))))
     keyed = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    return _deal(keyed).mapInArrow(lambda it: _compare(it, radius), "a long, b long").distinct()
+    return _deal(keyed).mapInArrow(trimmed(lambda it: _compare(it, radius)), "a long, b long").distinct()
 
 
 @keeping("fingerprint", "component_id")
@@ -454,7 +454,7 @@ def similar_texts(
     key = [F.xxhash64(body).alias("__k1"), F.xxhash64(F.lit("b"), body).alias("__k2")]
     source = docs.select(*keep, F.col(doc_id).alias("__id"), *key, body.alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.drop("__text").schema)
-    rows = materialize(source.mapInArrow(lambda it: _sketch(it, width, bands, band_rows), f"{fields}fp long, bands array<bigint>"))
+    rows = materialize(source.mapInArrow(trimmed(lambda it: _sketch(it, width, bands, band_rows)), f"{fields}fp long, bands array<bigint>"), batch_bytes=BATCH_BYTES)
     unique = rows.groupBy("__k1", "__k2").agg(F.min("__id").alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     unique = materialize(unique.withColumn("id", F.monotonically_increasing_id()))
     keyed = unique.select(F.explode("bands").alias("key"), "fp", "id")
@@ -462,16 +462,16 @@ def similar_texts(
     shared = keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
     keyed = materialize(keyed.join(shared, "key", "left_semi"))
 
-    pairs = materialize(_deal(keyed.withColumn("label", F.col("id"))).mapInArrow(lambda it: _nearest(it, radius), "a long, b long").distinct())
+    pairs = materialize(_deal(keyed.withColumn("label", F.col("id"))).mapInArrow(trimmed(lambda it: _nearest(it, radius)), "a long, b long").distinct())
     # all texts that have a near one meet it in the first round
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(unique.select("id", "__k1", "__k2"), "id")
-    once = source.select("__k1", "__k2", "__text").mapInArrow(_first_rows, "__k1 long, __k2 long, __text string")
-    found = once.join(broadcast_if_small(wanted), ["__k1", "__k2"]).select("id", "__text").mapInArrow(lambda it: _sets(it, width), "id long, n int, shingles binary, sketch binary")
-    content = materialize(found.dropDuplicates(["id"]))
+    once = source.select("__k1", "__k2", "__text").mapInArrow(trimmed(_first_rows), "__k1 long, __k2 long, __text string")
+    found = once.join(broadcast_if_small(wanted), ["__k1", "__k2"]).select("id", "__text").mapInArrow(trimmed(lambda it: _sets(it, width)), "id long, n int, shingles binary, sketch binary")
+    content = materialize(found.dropDuplicates(["id"]), batch_bytes=BATCH_BYTES)
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(content.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(content.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, similarity), "a long, b long"))
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(trimmed(lambda it: _alike(it, similarity)), "a long, b long"), batch_bytes=BATCH_BYTES)
 
     labels, tried = component_labels(verified(pairs)), pairs
     for low, high in ROUNDS:
@@ -479,7 +479,7 @@ def similar_texts(
         labelled = materialize(labelled)
         mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
         open_ = labelled.join(mixed, "key", "left_semi").join(content.select("id", "n", "sketch"), "id").select("key", "fp", "id", "label", "n", "sketch")
-        near = _deal(open_).mapInArrow(lambda it, low=low, high=high: _others(it, radius, similarity, low, high), "a long, b long").distinct()
+        near = _deal(open_).mapInArrow(trimmed(lambda it, low=low, high=high: _others(it, radius, similarity, low, high)), "a long, b long").distinct()
         pairs = materialize(near.join(tried, ["a", "b"], "left_anti"))
         new, tried = verified(pairs), tried.union(pairs)
         if not new.isEmpty():
