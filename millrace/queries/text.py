@@ -22,7 +22,8 @@ def token_counts(spark, sf):
 
 
 def sentence_counts(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.size(T.sentences("text")).alias("sentences"), F.md5(F.element_at(T.sentences("text"), 1)).alias("first"))
+    found = F.when(F.col("text").isNotNull(), T.sentences("text"))  # a text may have none, a null one has no count either
+    return _docs(spark, sf).select("doc_id", F.size(found).alias("sentences"), F.md5(F.get(found, 0)).alias("first"))
 
 
 def sentences_by_space(spark, sf):

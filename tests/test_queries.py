@@ -65,3 +65,11 @@ def test_more_lines_give_more_partitions_of_the_same_edges(spark, sf, monkeypatc
     assert split.rdd.getNumPartitions() > 8
     assert sorted(tuple(r) for r in split.select("source", "target", "type", "weight").collect()) == want
     assert not any("parts" in name for name in graph.QUERIES)
+
+
+def test_sentence_counts_of_empty_and_null_texts(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM (VALUES (1, ''), (2, NULL), (3, '  \n '), (4, 'a. b'), (5, '...')) d(doc_id, text)) TO '{tmp_path}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    out = core.QUERIES["sentence_counts"](spark, str(tmp_path)).toPandas()
+    assert rows(out) == rows(con.execute(core.SQL["sentence_counts"]).df())
