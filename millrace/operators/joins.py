@@ -262,3 +262,28 @@ def overlapping(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     before = b.withColumn("low", F.col("low") + 1)  # equal starts are told once
     earlier = _points_within(starts(a), before, keys, bits).select(F.col("p").alias("a"), F.col("i").alias("b"))
     return later.union(earlier)
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, left_id: str, value: str, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """(a, n, total): of each id of ``left`` that ``overlapping`` pairs, the number of its pairs and the sum of ``value``, an integer.
+
+    No pair is made: an interval overlaps what starts before its end, less what ends at its start or before. Both are running sums
+    over the times of a key, which an interval looks up at its ends, so work and disk grow with rows and not with pairs. Times are
+    integers; sums are taken wide, as those of a whole key may leave the range in which a total lies. Null values count 0.
+    """
+    open_end = F.lit((1 << 62) - 1)
+    side = lambda d, c: d.select(c.alias("v"), *keys, F.col(start).cast("long").alias("low"), F.coalesce(F.col(end).cast("long"), open_end).alias("high")).where("low < high").dropna(subset=keys)
+    a, b = side(left, F.col(left_id)), side(right, F.coalesce(F.col(value).cast("long"), F.lit(0)))
+    ends = F.explode(F.array(F.struct(F.col("low").alias("t"), F.lit(False).alias("last")), F.struct(F.col("high").alias("t"), F.lit(True).alias("last"))))
+    told = b.select("v", *keys, ends.alias("e")).groupBy(*keys, F.col("e.t").alias("t")).agg(
+        *[F.sum(F.when(F.col("e.last") == last, one).otherwise(0)).alias(name) for last, name, one in ((False, "n", F.lit(1)), (False, "s", F.col("v").cast("decimal(20,0)")), (True, "n_end", F.lit(1)), (True, "s_end", F.col("v").cast("decimal(20,0)")))]
+    )
+    # what starts before an end does so a step earlier at the latest
+    asked = a.select("v", *keys, F.explode(F.array(F.struct((F.col("high") - 1).alias("t"), F.lit(True).alias("last")), F.struct(F.col("low").alias("t"), F.lit(False).alias("last")))).alias("e")).select("v", *keys, "e.*")
+    asked_at = asked.select(*keys, "t").distinct()
+    so_far = W.Window.partitionBy(*keys).orderBy("t").rowsBetween(W.Window.unboundedPreceding, 0)
+    sums = told.join(asked_at, [*keys, "t"], "full_outer").select(*keys, "t", *[F.sum(F.coalesce(c, F.lit(0))).over(so_far).alias(c) for c in ("n", "s", "n_end", "s_end")])
+    met = asked.join(sums, [*keys, "t"])
+    signed = lambda c: F.when(F.col("last"), F.col(c)).otherwise(-F.col(f"{c}_end"))
+    out = met.groupBy(F.col("v").alias("a")).agg(F.sum(signed("n")).alias("n"), F.sum(signed("s")).cast("long").alias("total"))
+    return out.where("n > 0")

@@ -37,6 +37,34 @@ def test_overlaps_of_any_length_are_told_once(spark, scale):
     assert J.overlapping(none, spark.createDataFrame(right, SCHEMA), "id", "id", ["k"]).count() == 0
 
 
+def test_overlap_totals_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+
+    def some(n):
+        start = [rng.randrange(-50, 100) for _ in range(n)]
+        return [(rng.randrange(60), rng.choice(["x", "y", None]), rng.choice([s, s, s, None]), rng.choice([s + rng.choice([0, 1, 2, 17, 300, -3]), None])) for s in start]
+
+    left, right = some(150), some(120)
+    want = {}
+    for a, b in overlaps(left, right):
+        n, total = want.get(a, (0, 0))
+        want[a] = n + 1, total + b
+    got = J.overlap_totals(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), "id", "id", ["k"])
+    assert {r.a: (r.n, r.total) for r in got.collect()} == want
+    assert J.overlap_totals(spark.createDataFrame([], SCHEMA), spark.createDataFrame(right, SCHEMA), "id", "id", ["k"]).count() == 0
+    # sums of the key leave the range of its totals
+    big = spark.createDataFrame([((1 << 62), "x", t, t + 1) for t in range(9)], "id long, k string, start long, end long")
+    assert [tuple(r) for r in J.overlap_totals(spark.createDataFrame([(1, "x", 8, 9)], SCHEMA), big, "id", "id", ["k"]).collect()] == [(1, 1, 1 << 62)]
+
+
+def test_overlapping_windows_makes_no_pairs(spark, monkeypatch, sf):
+    """Pairs grow with the square of the tables."""
+    from millrace.queries import intervals
+
+    monkeypatch.setattr(J, "overlapping", None)
+    assert intervals.overlapping_windows(spark, sf).count() > 0
+
+
 def test_canonical_aggregates_of_planted_mentions(spark):
     schema = "canonical string, corpus string, name string, type string, n int, vector array<double>, seq long, review boolean"
     rows = [("a", f"c{i % 3}", f"n{i}", "concept", 1, [1.0, 0.0], i, False) for i in range(40)] + [("a", "c9", "late", "Person", None, [0.0, 1.0], 100 + i, True) for i in range(8)]
